@@ -10,19 +10,29 @@ from corpusflow.operators.replies import clean_variants
 
 
 def chunks(t: Tables) -> DataFrame:
-    """Every document as one chunk; vectors are aligned by id."""
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return t.documents.join(vectors, "doc_id", "left").select(
+    """Every document as one chunk."""
+    return t.documents.select(
         F.col("doc_id").alias("chunk_id"),
         "text",
         F.col("source").alias("parent_id"),
         F.concat("source", F.lit(".txt")).alias("filename"),
         (F.col("doc_id") % 7 + 1).alias("page"),
         F.col("lang").alias("section"),
-        "embedding",
     )
 
 
+def vectors(t: Tables) -> DataFrame:
+    """Vectors of the chunks, aligned by id and stored apart from the text."""
+    ids = t.documents.select(F.col("doc_id").alias("chunk_id"))
+    stored = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return stored.join(ids, "chunk_id", "left_semi")
+
+
+def dense_chunks(t: Tables) -> DataFrame:
+    """Chunks with their vectors in one table, as a filtered search needs."""
+    return chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+
+
 def questions(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding")
     return t.benchmark.join(vectors, "item_id", "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.catalog import sqlparts as sp
-from corpusflow.catalog.fixtures import chunks, phrasings, questions, replies, variants
+from corpusflow.catalog.fixtures import chunks, dense_chunks, phrasings, questions, replies, variants, vectors
 from corpusflow.catalog.registry import Tables, query
 from corpusflow.operators import keyword as kw
 from corpusflow.operators import ranking as rk
@@ -41,13 +41,13 @@ def metadata_filter(t: Tables) -> DataFrame:
     "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dn",
 )
 def dense(t: Tables) -> DataFrame:
-    hits = dense_topk(chunks(t), questions(t), 20)
+    hits = dense_topk(vectors(t), questions(t), 20)
     return hits.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
 @query("dense_topk_ann")
 def dense_ann(t: Tables) -> DataFrame:
-    hits = dense_topk_ann(chunks(t), questions(t), 20)
+    hits = dense_topk_ann(vectors(t), questions(t), 20)
     return hits.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
@@ -57,7 +57,7 @@ def dense_ann(t: Tables) -> DataFrame:
     "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dn",
 )
 def similarity_floor(t: Tables) -> DataFrame:
-    hits = rk.similarity_floor(dense_topk(chunks(t), questions(t), 20))
+    hits = rk.similarity_floor(dense_topk(vectors(t), questions(t), 20))
     return hits.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
@@ -98,7 +98,7 @@ def idf(t: Tables) -> DataFrame:
 )
 def query_term_postings(t: Tables) -> DataFrame:
     terms = kw.query_terms(questions(t))
-    postings = kw.term_frequency(chunks(t), terms.select("term").distinct())
+    postings, _ = kw.query_postings(chunks(t), terms)
     return postings.join(terms, "term").select("query_id", "chunk_id", "term", "tf", "qtf")
 
 
@@ -145,7 +145,7 @@ def topk_overfetch(t: Tables) -> DataFrame:
     "AS list_name, chunk_id, rank FROM lists",
 )
 def rankings_union(t: Tables) -> DataFrame:
-    lists = se.rankings(chunks(t), phrasings(t), CFG)
+    lists = se.rankings(chunks(t), phrasings(t), CFG, vectors(t))
     return lists.select("query_id", "list_no", "list_name", "chunk_id", "rank")
 
 
@@ -154,7 +154,7 @@ def rankings_union(t: Tables) -> DataFrame:
     f"WITH {sp.hybrid(5)} SELECT query_id, chunk_id, round(score, 6) AS score, frank AS rank FROM fused",
 )
 def rank_fusion(t: Tables) -> DataFrame:
-    fused = rk.fuse(se.rankings(chunks(t), questions(t), CFG))
+    fused = rk.fuse(se.rankings(chunks(t), questions(t), CFG, vectors(t)))
     return fused.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
@@ -164,7 +164,7 @@ def rank_fusion(t: Tables) -> DataFrame:
     "round(keyword_score, 6) AS keyword_score, matched_by, found_by_variant FROM fused",
 )
 def hybrid_merge(t: Tables) -> DataFrame:
-    fused = rk.fuse(se.rankings(chunks(t), phrasings(t), CFG))
+    fused = rk.fuse(se.rankings(chunks(t), phrasings(t), CFG, vectors(t)))
     return fused.select(
         "query_id", "chunk_id", *r6("dense_score", "keyword_score"), "matched_by", "found_by_variant"
     )
@@ -176,7 +176,7 @@ def hybrid_merge(t: Tables) -> DataFrame:
     "SELECT query_id, chunk_id, half, round(max(score), 6) AS best_score FROM lists GROUP BY 1, 2, 3",
 )
 def best_score_per_chunk(t: Tables) -> DataFrame:
-    lists = se.rankings(chunks(t), phrasings(t), CFG)
+    lists = se.rankings(chunks(t), phrasings(t), CFG, vectors(t))
     return (
         lists.groupBy("query_id", "chunk_id", "half")
         .agg(F.max("score").alias("best_score"))
@@ -189,7 +189,7 @@ def best_score_per_chunk(t: Tables) -> DataFrame:
     f"WITH {sp.hybrid(5)} SELECT query_id, chunk_id, parent_id, rank FROM collapsed",
 )
 def collapse_passages(t: Tables) -> DataFrame:
-    shortlist = se.fused(chunks(t), questions(t), CFG)
+    shortlist = se.fused(chunks(t), questions(t), CFG, vectors=vectors(t))
     return shortlist.select("query_id", "chunk_id", "parent_id", "rank")
 
 
@@ -208,7 +208,7 @@ def hybrid_columns(df: DataFrame) -> DataFrame:
 
 @query("hybrid_search", f"WITH {sp.hybrid(5)} SELECT {HYBRID_OUT} FROM collapsed WHERE rank <= 5")
 def hybrid_search(t: Tables) -> DataFrame:
-    return hybrid_columns(se.hybrid_search(chunks(t), questions(t), CFG))
+    return hybrid_columns(se.hybrid_search(chunks(t), questions(t), CFG, vectors=vectors(t)))
 
 
 def one_list(half: str) -> str:
@@ -222,12 +222,12 @@ def one_list(half: str) -> str:
 
 @query("dense_search", one_list("dense"))
 def dense_search(t: Tables) -> DataFrame:
-    return hybrid_columns(se.single_list_search(chunks(t), questions(t), "dense", CFG))
+    return hybrid_columns(se.single_list_search(chunks(t), questions(t), "dense", CFG, vectors=vectors(t)))
 
 
 @query("keyword_search", one_list("keyword"))
 def keyword_search(t: Tables) -> DataFrame:
-    return hybrid_columns(se.single_list_search(chunks(t), questions(t), "keyword", CFG))
+    return hybrid_columns(se.single_list_search(chunks(t), questions(t), "keyword", CFG, vectors=vectors(t)))
 
 
 @query(
@@ -240,7 +240,7 @@ out AS (SELECT query_id, chunk_id, parent_id, round(score, 6) AS score,
 SELECT * FROM out WHERE rank <= 5""",
 )
 def filtered_search(t: Tables) -> DataFrame:
-    hits = se.filtered_search(chunks(t), questions(t), CFG, section="en", filename="")
+    hits = se.filtered_search(dense_chunks(t), questions(t), CFG, section="en", filename="")
     return hits.select("query_id", "chunk_id", "parent_id", *r6("score"), "rank")
 
 
@@ -249,7 +249,7 @@ def filtered_search(t: Tables) -> DataFrame:
     f"WITH {sp.hybrid(5, sp.ALL_QUESTIONS)} SELECT {HYBRID_OUT} FROM collapsed WHERE rank <= 5",
 )
 def multi_query_search(t: Tables) -> DataFrame:
-    return hybrid_columns(se.hybrid_search(chunks(t), phrasings(t), CFG))
+    return hybrid_columns(se.hybrid_search(chunks(t), phrasings(t), CFG, vectors=vectors(t)))
 
 
 RERANKED = f"WITH {sp.hybrid(5)},{sp.reranked(5)} "
@@ -260,7 +260,7 @@ RERANKED = f"WITH {sp.hybrid(5)},{sp.reranked(5)} "
     RERANKED + "SELECT query_id, chunk_id, rank, round(rerank_score, 6) AS rerank_score FROM reranked",
 )
 def reranked_search(t: Tables) -> DataFrame:
-    hits = se.reranked_search(chunks(t), questions(t), CFG)
+    hits = se.reranked_search(chunks(t), questions(t), CFG, vectors=vectors(t))
     return hits.select("query_id", "chunk_id", "rank", *r6("rerank_score"))
 
 
@@ -269,7 +269,7 @@ def reranked_search(t: Tables) -> DataFrame:
     RERANKED + "SELECT query_id, chunk_id, rank FROM reranked",
 )
 def rerank_order(t: Tables) -> DataFrame:
-    return se.reranked_search(chunks(t), questions(t), CFG).select("query_id", "chunk_id", "rank")
+    return se.reranked_search(chunks(t), questions(t), CFG, vectors=vectors(t)).select("query_id", "chunk_id", "rank")
 
 
 @query(
@@ -278,7 +278,7 @@ def rerank_order(t: Tables) -> DataFrame:
     "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, old_rank) <= 5",
 )
 def rerank_floor(t: Tables) -> DataFrame:
-    hits = se.reranked_search(chunks(t), questions(t), se.Settings(top_k=5, rerank_min=0.3))
+    hits = se.reranked_search(chunks(t), questions(t), se.Settings(top_k=5, rerank_min=0.3), vectors=vectors(t))
     return hits.select("query_id", "chunk_id", *r6("rerank_score"))
 
 
@@ -296,7 +296,7 @@ graded AS (
 )
 def grade_retrieval(t: Tables) -> DataFrame:
     asked = questions(t)
-    graded = rk.grade(asked, se.reranked_search(chunks(t), asked, CFG))
+    graded = rk.grade(asked, se.reranked_search(chunks(t), asked, CFG, vectors=vectors(t)))
     return graded.select("query_id", "verdict", *r6("best_score"))
 
 
@@ -324,7 +324,7 @@ WHERE best >= 0.2"""
 
 @query("corrective_search", corrective_sql())
 def corrective_search(t: Tables) -> DataFrame:
-    hits = se.corrective_search(chunks(t), questions(t), variants(t), CORRECTIVE)
+    hits = se.corrective_search(chunks(t), questions(t), variants(t), CORRECTIVE, vectors=vectors(t))
     return hits.select("query_id", "chunk_id", "rank", "attempt", *r6("rerank_score"))
 
 
@@ -335,7 +335,7 @@ def corrective_search(t: Tables) -> DataFrame:
     "FROM collapsed WHERE rank <= 5",
 )
 def citation_projection(t: Tables) -> DataFrame:
-    hits = se.hybrid_search(chunks(t), questions(t), CFG, "filename", "page", "section", "text")
+    hits = se.hybrid_search(chunks(t), questions(t), CFG, "filename", "page", "section", "text", vectors=vectors(t))
     cited = se.citations(hits)
     rounded = {n: F.round(F.col(n), 6) for n in ("score", "dense_score", "keyword_score")}
     return cited.withColumns(rounded)
@@ -351,7 +351,7 @@ ctx AS (
 
 @query("context_render", f"WITH {sp.hybrid(5)},{CONTEXT} SELECT query_id, n_sources, context FROM ctx")
 def context_render(t: Tables) -> DataFrame:
-    hits = se.hybrid_search(chunks(t), questions(t), CFG, "filename", "page", "text")
+    hits = se.hybrid_search(chunks(t), questions(t), CFG, "filename", "page", "text", vectors=vectors(t))
     return se.rendered_context(hits)
 
 
@@ -371,7 +371,7 @@ FROM questions q LEFT JOIN ctx USING (query_id)""",
 )
 def answer_or_refuse_rows(t: Tables) -> DataFrame:
     corpus, asked = chunks(t), questions(t)
-    hits = rk.cut(rk.similarity_floor(dense_topk(corpus, asked, CFG.candidates), 0.3), 5)
+    hits = rk.cut(rk.similarity_floor(dense_topk(vectors(t), asked, CFG.candidates), 0.3), 5)
     return se.answer_rows(asked, se.with_chunk_columns(hits, corpus, asked, CFG, "filename", "page", "text"))
 
 
@@ -397,7 +397,7 @@ def variant_dedup(t: Tables) -> DataFrame:
     f"WITH {sp.hybrid(3)},{sp.reranked(3)} SELECT query_id, chunk_id, rank FROM reranked",
 )
 def corpus_search_function(t: Tables) -> DataFrame:
-    found = se.search(chunks(t), questions(t), rerank=True, top_k=3)
+    found = se.search(chunks(t), questions(t), rerank=True, top_k=3, vectors=vectors(t))
     found.createOrReplaceTempView("corpus_search")
     return t.spark.sql("SELECT query_id, chunk_id, rank FROM corpus_search")
 

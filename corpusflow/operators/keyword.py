@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
+from corpusflow.operators.sizing import at_most, broadcast_if_small
+from corpusflow.session import staged
 
 K1 = 1.2
 B = 0.75
 # Scores are ranked at this many decimals, so that the order in which partial
 # sums arrive cannot swap two chunks; ties go to the smaller chunk id.
 RANK_DIGITS = 9
+BROADCAST_TERMS = 200_000
 
 
 def require_positive(**values: int) -> None:
@@ -28,19 +31,41 @@ def require_positive(**values: int) -> None:
             raise ValueError(f"{name} must be a positive integer.")
 
 
-def term_frequency(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(chunk_id, term, tf, doc_len)``; only vocabulary terms when given."""
+def term_frequency(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, term, tf, doc_len)`` for every term of every chunk."""
+    return _counted(_occurrences(chunks).filter(F.col("term").isNotNull()))
+
+
+def _occurrences(chunks: DataFrame) -> DataFrame:
+    """One row per token, plus one row with a NULL term for the chunk itself."""
     words = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("tokens"))
-    exploded = words.select(
-        "chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term")
+    with_self = F.concat(F.col("tokens"), F.array(F.lit(None).cast("string")))
+    # The outer form keeps the optimizer from adding a second tokenization as
+    # a "not empty" filter at the scan.
+    return words.select(
+        "chunk_id", F.size("tokens").alias("doc_len"), F.explode_outer(with_self).alias("term")
     )
-    if vocabulary is not None:
-        exploded = exploded.join(vocabulary.select("term"), "term", "left_semi")
-    return exploded.groupBy("chunk_id", "term").agg(
+
+
+def _counted(occurrences: DataFrame) -> DataFrame:
+    return occurrences.groupBy("chunk_id", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")
     )
 
 
+def query_postings(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the query terms and the corpus statistics in one text pass.
+
+    The counted rows are staged: the text is read and tokenized once, however
+    many later steps use the counts.
+    """
+    vocabulary = broadcast_if_small(terms.select("term").distinct()).withColumn("known", F.lit(True))
+    occurrences = _occurrences(chunks).join(vocabulary, "term", "left")
+    counted = staged(_counted(occurrences.filter(F.col("term").isNull() | F.col("known"))))
+    own = counted.filter(F.col("term").isNull())
+    return counted.filter(F.col("term").isNotNull()), corpus_stats(own)
+
+
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tx.tokens(F.col("text"))).cast("bigint").alias("doc_len"))
 
@@ -81,12 +106,17 @@ def bm25_scores(
 ) -> DataFrame:
     """``(query_id, chunk_id, score)`` for chunks sharing a term with a query."""
     weights = inverse_document_frequency(postings, stats)
-    wanted = terms.join(weights, "term").withColumn("weight", F.col("idf") * F.col("qtf"))
+    wanted = terms.join(weights, "term").select(
+        "query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight")
+    )
+    # One row per (query, term): never larger than ``terms``, which is checked.
+    if at_most(terms, BROADCAST_TERMS):
+        wanted = F.broadcast(wanted)
     average = stats.select("avg_len").scalar()
     norm = 1 - b + b * (F.col("doc_len") / average)
     part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
     return (
-        postings.join(wanted.select("query_id", "term", "weight"), "term")
+        postings.join(wanted, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(part).alias("score"))
         .filter("score > 0")
@@ -114,8 +144,7 @@ def bm25_topk(
     """Top ``k`` chunks per query straight from text, without a stored index."""
     require_positive(top_k=k)
     terms = query_terms(queries)
-    stats = corpus_stats(doc_lengths(chunks))
-    postings = term_frequency(chunks, terms.select("term").distinct())
+    postings, stats = query_postings(chunks, terms)
     return rank_topk(bm25_scores(postings, stats, terms, k1, b), k)
 
 

@@ -17,6 +17,7 @@ from corpusflow.operators import ranking as rk
 from corpusflow.operators.dense import dense_topk
 from corpusflow.operators.keyword import bm25_topk, require_positive
 from corpusflow.operators.sizing import at_most
+from corpusflow.session import staged
 
 MAX_PHRASINGS = 64
 MODES = ("dense", "keyword", "hybrid")
@@ -59,15 +60,22 @@ def metadata_filter(df: DataFrame, **conditions: str | None) -> DataFrame:
     return df
 
 
-def rankings(chunks: DataFrame, questions: DataFrame, cfg: Settings) -> DataFrame:
-    """One ranked list per (phrasing, half)."""
+def rankings(
+    chunks: DataFrame, questions: DataFrame, cfg: Settings, vectors: DataFrame | None = None
+) -> DataFrame:
+    """One ranked list per (phrasing, half).
+
+    ``vectors`` (``chunk_id, embedding``) is given where vectors are stored
+    apart from the text, so that neither half reads the other's columns.
+    """
+    vectors = chunks if vectors is None else vectors
     keyed = questions.withColumn(
         "query_id", F.col("query_id").cast("bigint") * MAX_PHRASINGS + F.col("variant_no")
     )
     lists = []
     if cfg.mode in ("dense", "hybrid"):
         hits = rk.similarity_floor(
-            dense_topk(chunks, keyed.select("query_id", "embedding"), cfg.candidates), cfg.min_similarity
+            dense_topk(vectors, keyed.select("query_id", "embedding"), cfg.candidates), cfg.min_similarity
         )
         lists.append(_split_key(hits, "dense", cfg.dense_weight if cfg.mode == "hybrid" else 1.0))
     if cfg.mode in ("keyword", "hybrid"):
@@ -97,24 +105,39 @@ def with_chunk_columns(
     return small.join(chunks.select("chunk_id", *columns), "chunk_id")
 
 
-def fused(chunks: DataFrame, questions: DataFrame, cfg: Settings, *columns: str) -> DataFrame:
+def fused(
+    chunks: DataFrame,
+    questions: DataFrame,
+    cfg: Settings,
+    *columns: str,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """Fused, passage-deduplicated shortlist with provenance."""
-    hits = rk.fuse(rankings(chunks, questions, cfg), cfg.rrf_k)
+    hits = rk.fuse(rankings(chunks, questions, cfg, vectors), cfg.rrf_k)
     wide = with_chunk_columns(hits, chunks, questions, cfg, "parent_id", *columns)
     return rk.collapse_passages(wide)
 
 
 def hybrid_search(
-    chunks: DataFrame, questions: DataFrame, cfg: Settings = Settings(), *columns: str
+    chunks: DataFrame,
+    questions: DataFrame,
+    cfg: Settings = Settings(),
+    *columns: str,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    return rk.cut(fused(chunks, questions, cfg, *columns), cfg.top_k)
+    return rk.cut(fused(chunks, questions, cfg, *columns, vectors=vectors), cfg.top_k)
 
 
 def single_list_search(
-    chunks: DataFrame, questions: DataFrame, mode: str, cfg: Settings = Settings(), *columns: str
+    chunks: DataFrame,
+    questions: DataFrame,
+    mode: str,
+    cfg: Settings = Settings(),
+    *columns: str,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Dense or keyword only: raw scores, no fusion."""
-    return hybrid_search(chunks, questions, replace(cfg, mode=mode), *columns)
+    return hybrid_search(chunks, questions, replace(cfg, mode=mode), *columns, vectors=vectors)
 
 
 def filtered_search(
@@ -132,9 +155,10 @@ def reranked_search(
     questions: DataFrame,
     cfg: Settings = Settings(),
     scorer: Scorer = overlap_score,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Shortlist scored against the original question, then cut."""
-    shortlist = fused(chunks, questions, cfg, "text")
+    shortlist = fused(chunks, questions, cfg, "text", vectors=vectors)
     originals = questions.filter("variant_no = 0").select("query_id", F.col("text").alias("question"))
     scored = shortlist.join(originals, "query_id").withColumn(
         "rerank_score", scorer(F.col("question"), F.col("text"))
@@ -149,19 +173,22 @@ def corrective_search(
     variants: DataFrame | None,
     cfg: Settings = Settings(),
     scorer: Scorer = overlap_score,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Grade, retry the poor ones with more phrasings, refuse the hopeless.
 
     ``variants`` has the shape of ``questions`` with ``variant_no`` > 0. A retry
     replaces the first attempt only where its best score is higher.
     """
-    base = reranked_search(chunks, questions, cfg, scorer).withColumn("attempt", F.lit(1))
+    # Staged, because it is graded, kept and compared with the retry.
+    first = reranked_search(chunks, questions, cfg, scorer, vectors)
+    base = staged(first.withColumn("attempt", F.lit(1)))
     attempts = base
     if variants is not None:
         graded = rk.grade(questions, base, cfg.accept, cfg.reject)
         weak = graded.filter("verdict <> 'correct'").select("query_id")
-        wider = questions.unionByName(variants).join(weak, "query_id", "left_semi")
-        retry = reranked_search(chunks, wider, cfg, scorer).withColumn("attempt", F.lit(2))
+        wider = staged(questions.unionByName(variants).join(weak, "query_id", "left_semi"))
+        retry = reranked_search(chunks, wider, cfg, scorer, vectors).withColumn("attempt", F.lit(2))
         attempts = base.unionByName(retry)
     query = Window.partitionBy("query_id")
     best = F.max("rerank_score").over(Window.partitionBy("query_id", "attempt"))
@@ -207,8 +234,15 @@ def answer_rows(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def search(
-    chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", rerank: bool = False, top_k: int = 5
+    chunks: DataFrame,
+    questions: DataFrame,
+    mode: str = "hybrid",
+    rerank: bool = False,
+    top_k: int = 5,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """The search as one function; register the result as a view for SQL users."""
     cfg = Settings(top_k=top_k, mode=mode)
-    return reranked_search(chunks, questions, cfg) if rerank else hybrid_search(chunks, questions, cfg)
+    if rerank:
+        return reranked_search(chunks, questions, cfg, vectors=vectors)
+    return hybrid_search(chunks, questions, cfg, vectors=vectors)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import corpusflow
 from pyspark import cloudpickle
@@ -57,10 +58,13 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, for iterative jobs."""
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts lineage, so a lost executor costs a re-read instead of a recompute,
+    and gives later steps real sizes, column pruning and filter pushdown.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/corpusflow-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
