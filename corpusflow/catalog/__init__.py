@@ -6,7 +6,7 @@ import importlib
 
 from corpusflow.catalog.registry import ENTRIES, Entry
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "documents")
 
 
 def load_all() -> dict[str, Entry]:
