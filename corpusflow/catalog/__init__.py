@@ -6,7 +6,7 @@ import importlib
 
 from corpusflow.catalog.registry import ENTRIES, Entry
 
-MODULES = ("retrieval", "documents")
+MODULES = ("retrieval", "documents", "conversation", "storage")
 
 
 def load_all() -> dict[str, Entry]:
