@@ -140,12 +140,12 @@ def history_tail_render(t: Tables) -> DataFrame:
 
 
 ASOF = f"""{MSG},
-asof AS (
+as_of AS (
   SELECT *, last_value(CASE WHEN modality = 'image' THEN attachment_ref END IGNORE NULLS)
     OVER (PARTITION BY conv_id ORDER BY msg_id ROWS UNBOUNDED PRECEDING) AS last_ref FROM messages)"""
 
 
-@query("last_attachment_asof", f"WITH {ASOF} SELECT conv_id, msg_id, last_ref FROM asof")
+@query("last_attachment_asof", f"WITH {ASOF} SELECT conv_id, msg_id, last_ref FROM as_of")
 def last_attachment_asof(t: Tables) -> DataFrame:
     return me.last_attachment(messages(t), "image").select("conv_id", "msg_id", "last_ref")
 
@@ -216,9 +216,9 @@ def message_search(t: Tables) -> DataFrame:
 
 @query(
     "search_snippet",
-    f"""WITH {MSG}, p AS (SELECT *, instr(lower(content), 'st') - 1 AS at FROM messages),
-q AS (SELECT *, greatest(0, at - 40) AS lo, least(length(content), at + 2 + 40) AS hi FROM p)
-SELECT conv_id, msg_id, CASE WHEN at < 0 THEN left(content, 80) ELSE CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(content, lo + 1, hi - lo)
+    f"""WITH {MSG}, p AS (SELECT *, instr(lower(content), 'st') - 1 AS pos0 FROM messages),
+q AS (SELECT *, greatest(0, pos0 - 40) AS lo, least(length(content), pos0 + 2 + 40) AS hi FROM p)
+SELECT conv_id, msg_id, CASE WHEN pos0 < 0 THEN left(content, 80) ELSE CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(content, lo + 1, hi - lo)
   || CASE WHEN hi < length(content) THEN '…' ELSE '' END END AS snippet FROM q""",
 )
 def search_snippet(t: Tables) -> DataFrame:

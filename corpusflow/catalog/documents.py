@@ -482,22 +482,22 @@ def runs_of(t: Tables, size: int) -> DataFrame:
 
 @query("recursive_chunks")
 def recursive_chunks(t: Tables) -> DataFrame:
-    return ch.chunk_with("recursive", runs_of(t, 500), 500, 80)
+    return ch.chunk_with("recursive", runs_of(t, 500), 80)
 
 
 @query("parent_document_chunks")
 def parent_document_chunks(t: Tables) -> DataFrame:
-    return ch.chunk_with("parent_document", runs_of(t, 500), 500, 80)
+    return ch.chunk_with("parent_document", runs_of(t, 500), 80)
 
 
 @query("sentence_window_chunks")
 def sentence_window_chunks(t: Tables) -> DataFrame:
-    return ch.chunk_with("sentence_window", runs_of(t, 500), 500, 80)
+    return ch.chunk_with("sentence_window", runs_of(t, 500), 80)
 
 
 @query("semantic_chunks")
 def semantic_chunks(t: Tables) -> DataFrame:
-    return ch.chunk_with("semantic", runs_of(t, 500), 500, 80, embed=models.hashed_embedding)
+    return ch.chunk_with("semantic", runs_of(t, 500), 80, embed=models.hashed_embedding)
 
 
 @query("propositional_chunks")
@@ -509,7 +509,7 @@ def propositional_chunks(t: Tables) -> DataFrame:
     replies = runs.select(
         ch.passage_id(F.col("doc_id"), F.col("page_no"), F.col("group_no"), F.lit(0)).alias("passage_id"), reply.alias("reply")
     )
-    return ch.chunk_with("propositional", runs, 500, 80, replies=replies)
+    return ch.chunk_with("propositional", runs, 80, replies=replies)
 
 
 @query("chunk_strategy_select")
@@ -517,7 +517,7 @@ def chunk_strategy_select(t: Tables) -> DataFrame:
     runs = runs_of(t, 500)
     out = None
     for name in ("recursive", "parent_document"):
-        chunks = ch.chunk_with(name, runs, 500, 80)
+        chunks = ch.chunk_with(name, runs, 80)
         counted = chunks.groupBy(F.lit(name).alias("strategy")).agg(F.count(F.lit(1)).alias("n_chunks"))
         out = counted if out is None else out.unionByName(counted)
     return out

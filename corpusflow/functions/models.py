@@ -29,19 +29,23 @@ class Measure:
 
     name: str
     count: Callable[[Column], Column]
-    suffix: Callable[[Column, int], Column]
+    suffix: Callable[[Column, Column], Column]
 
 
 def _words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, f"{tx.SPACE}+"), lambda w: w != ""))
 
 
-def _word_suffix(text: Column, budget: int) -> Column:
+def _word_suffix(text: Column, budget: Column) -> Column:
     space, other = tx.SPACE, tx.SPACE.replace("[", "[^", 1)
-    return F.regexp_extract(text, f"((?:{space}*{other}+){{0,{budget}}}{space}*)$", 1)
+    # Each piece is a word with the space in front of it.
+    pieces = F.regexp_extract_all(text, F.lit(f"{space}*{other}+|{space}+$"), F.lit(0))
+    trailing = F.when(text.rlike(f"{space}$"), 1).otherwise(0)
+    n = F.least(F.size(pieces), budget + trailing)
+    return F.array_join(F.slice(pieces, F.size(pieces) - n + 1, n), "")
 
 
-CHARACTERS = Measure("characters", F.length, lambda text, n: F.right(text, F.lit(n)))
+CHARACTERS = Measure("characters", F.length, F.right)
 WORDS = Measure("words", _words, _word_suffix)
 
 

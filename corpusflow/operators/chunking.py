@@ -57,17 +57,22 @@ def pack(pieces: Column, budget: Column | int, measure: Measure = CHARACTERS) ->
     return F.aggregate(pieces, empty, step, finish)
 
 
-def _cut_blind(piece: Column, limit: int, measure: Measure) -> Column:
+def _cut_blind(piece: Column, limit: Column, measure: Measure) -> Column:
     if measure is CHARACTERS:
         starts = F.sequence(F.lit(0), F.floor((F.length(piece) - 1) / limit).cast("int"))
-        return F.transform(starts, lambda i: F.substring(piece, i * limit + 1, F.lit(limit)))
+        return F.transform(starts, lambda i: F.substring(piece, i * limit + 1, limit))
     return pack(F.filter(F.split(piece, ""), lambda c: c != ""), limit, measure)
 
 
+def _column(value: Column | int) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def split_pieces(
-    text: Column, limit: int, measure: Measure = CHARACTERS, levels: tuple[str, ...] = LEVELS
+    text: Column, limit: Column | int, measure: Measure = CHARACTERS, levels: tuple[str, ...] = LEVELS
 ) -> Column:
     """Pieces of at most ``limit``; joined they give the text back."""
+    limit = _column(limit)
     cutters = {
         "paragraph": lambda p: tx.split_keep(p, "\n\n"),
         "line": lambda p: tx.split_keep(p, "\n"),
@@ -91,16 +96,16 @@ def snap(tail: Column) -> Column:
     return F.when(snapped != "", snapped).otherwise(tail)
 
 
-def with_overlap(windows: Column, overlap: int, measure: Measure = CHARACTERS) -> Column:
+def with_overlap(windows: Column, overlap: Column | int, measure: Measure = CHARACTERS) -> Column:
     """Each window with the tail of everything before it repeated in front."""
-    if overlap == 0:
+    if isinstance(overlap, int) and overlap == 0:
         return F.filter(F.transform(windows, tx.strip), lambda c: c != "")
     start = F.struct(F.lit("").alias("carry"), _strings().alias("out"))
 
     def step(acc: Column, window: Column) -> Column:
         chunk = tx.strip(F.concat(snap(acc["carry"]), window))
         return F.struct(
-            measure.suffix(F.concat(acc["carry"], window), overlap).alias("carry"),
+            measure.suffix(F.concat(acc["carry"], window), _column(overlap)).alias("carry"),
             F.when(chunk != "", F.concat(acc["out"], F.array(chunk))).otherwise(acc["out"]).alias("out"),
         )
 
@@ -109,13 +114,14 @@ def with_overlap(windows: Column, overlap: int, measure: Measure = CHARACTERS) -
 
 def split_text(
     text: Column,
-    size: int = CHUNK_SIZE,
-    overlap: int = CHUNK_OVERLAP,
+    size: Column | int = CHUNK_SIZE,
+    overlap: Column | int = CHUNK_OVERLAP,
     measure: Measure = CHARACTERS,
     levels: tuple[str, ...] = LEVELS,
 ) -> Column:
     """Overlapping chunks of at most ``size``, cut where a reader would cut."""
-    check_budget(size, overlap)
+    if isinstance(size, int) and isinstance(overlap, int):
+        check_budget(size, overlap)
     step = size - overlap
     pieces = split_pieces(tx.normalize(text), step, measure, levels)
     return with_overlap(pack(pieces, step, measure), overlap, measure)
@@ -125,7 +131,7 @@ def is_divider(line: Column) -> Column:
     return tx.strip(line).rlike("^[|\\-: ]+$")
 
 
-def table_parts(table: Column, size: int, measure: Measure = CHARACTERS) -> Column:
+def table_parts(table: Column, size: Column | int, measure: Measure = CHARACTERS) -> Column:
     """An oversized pipe table cut between rows, the header on every part."""
     lines = F.split(table, "\n")
     header_rows = F.when((F.size(lines) > 1) & is_divider(F.get(lines, F.lit(1))), 2).otherwise(1)
@@ -160,13 +166,22 @@ def table_parts(table: Column, size: int, measure: Measure = CHARACTERS) -> Colu
 # Blocks -> runs of text ------------------------------------------------------
 
 
-def text_runs(blocks: DataFrame, size: int, measure: Measure = CHARACTERS) -> DataFrame:
-    """``doc_id, page_no, run_no, group_no, section, section_path, atomic, text``.
+def text_runs(
+    blocks: DataFrame, size: int, measure: Measure = CHARACTERS, headers: bool = False
+) -> DataFrame:
+    """``doc_id, page_no, run_no, group_no, section, section_path, header, body, atomic, text``.
 
     Blocks (``doc_id, page_no, block_no, kind, text, section_path``) are cut
     into section runs, tables into row parts, and neighbouring prose is joined.
-    All windows share one key, so the blocks are shuffled once.
+    With ``headers`` a section header is reserved out of ``size``; ``body`` is
+    what is left for text. All windows share one key, so the blocks are
+    shuffled once.
     """
+    if size <= 0:
+        raise ValueError("chunk_size must be a positive integer.")
+    header = section_header(F.col("section_path"), size, measure) if headers else F.lit("")
+    blocks = blocks.withColumn("header", header).withColumn("body", F.lit(size) - measure.count(F.col("header")))
+    body = F.col("body")
     page = Window.partitionBy("doc_id", "page_no").orderBy("block_no")
     label = F.array_join("section_path", " > ")
     runs = (
@@ -174,11 +189,11 @@ def text_runs(blocks: DataFrame, size: int, measure: Measure = CHARACTERS) -> Da
         .withColumn("_new", (~F.lag("section").over(page).eqNullSafe(F.col("section"))).cast("int"))
         .withColumn("run_no", F.sum("_new").over(page))
     )
-    fence = F.ltrim(F.col("text")).rlike("^(```|~~~)") & (measure.count(F.col("text")) <= size)
+    fence = F.ltrim(F.col("text")).rlike("^(```|~~~)") & (measure.count(F.col("text")) <= body)
     segments = runs.withColumn("atomic", (F.col("kind") == "table") | fence).select(
-        "doc_id", "page_no", "block_no", "run_no", "section", "section_path", "atomic",
+        "doc_id", "page_no", "block_no", "run_no", "section", "section_path", "header", "body", "atomic",
         F.posexplode(
-            F.when(F.col("kind") == "table", table_parts(F.col("text"), size, measure)).otherwise(F.array("text"))
+            F.when(F.col("kind") == "table", table_parts(F.col("text"), body, measure)).otherwise(F.array("text"))
         ).alias("seg_no", "segment"),
     )
     ordered = Window.partitionBy("doc_id", "page_no").orderBy("block_no", "seg_no")
@@ -194,6 +209,8 @@ def text_runs(blocks: DataFrame, size: int, measure: Measure = CHARACTERS) -> Da
     return grouped.groupBy("doc_id", "page_no", "run_no", "group_no").agg(
         F.first("section").alias("section"),
         F.first("section_path").alias("section_path"),
+        F.first("header").alias("header"),
+        F.first("body").alias("body"),
         F.max("atomic").alias("atomic"),
         F.array_join(F.transform(pieces, lambda s: s["segment"]), "\n\n").alias("text"),
     )
@@ -211,13 +228,15 @@ def number_chunks(drafts: DataFrame) -> DataFrame:
     """Chunk ids, page-wise chunk numbers and namespaced parent ids.
 
     Input: one row per draft with ``doc_id, page_no, group_no, piece_no,
-    section, text, embed_text, parent_key``.
+    section, header, text, embed_text, parent_key``; the header goes in front
+    of both texts.
     """
     page = Window.partitionBy("doc_id", "page_no").orderBy("group_no", "piece_no")
     base = F.concat(F.col("doc_id").cast("string"), F.lit("::p"), F.col("page_no").cast("string"))
     return drafts.withColumn("chunk_index", F.row_number().over(page) - 1).select(
-        "doc_id", "page_no", "chunk_index", "section", "text",
-        F.coalesce("embed_text", "text").alias("embed_text"),
+        "doc_id", "page_no", "chunk_index", "section",
+        F.concat("header", "text").alias("text"),
+        F.concat("header", F.coalesce("embed_text", "text")).alias("embed_text"),
         F.concat(base, F.lit("::c"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.when(
             F.col("parent_key").isNotNull(),
@@ -228,9 +247,9 @@ def number_chunks(drafts: DataFrame) -> DataFrame:
 
 def _finish(runs: DataFrame, drafts: Column) -> DataFrame:
     exploded = runs.select(
-        "doc_id", "page_no", "group_no", "section", F.posexplode(drafts).alias("piece_no", "draft")
+        "doc_id", "page_no", "group_no", "section", "header", F.posexplode(drafts).alias("piece_no", "draft")
     )
-    return number_chunks(exploded.select("doc_id", "page_no", "group_no", "piece_no", "section", "draft.*"))
+    return number_chunks(exploded.select("doc_id", "page_no", "group_no", "piece_no", "section", "header", "draft.*"))
 
 
 def _alone() -> Column:
@@ -238,26 +257,31 @@ def _alone() -> Column:
     return F.array(_draft(F.col("text"), _none(), _none()))
 
 
+def budget(overlap: int) -> tuple[Column, Column]:
+    """Chunk size and overlap of a run: what its header leaves."""
+    return F.col("body"), F.least(F.lit(overlap), F.col("body") - 1)
+
+
 # Strategies ------------------------------------------------------------------
 
 
-def recursive_chunks(runs: DataFrame, size: int, overlap: int, measure: Measure = CHARACTERS) -> DataFrame:
-    cut = F.transform(split_text(F.col("text"), size, overlap, measure), lambda c: _draft(c, _none(), _none()))
+def recursive_chunks(runs: DataFrame, overlap: int, measure: Measure = CHARACTERS) -> DataFrame:
+    cut = F.transform(split_text(F.col("text"), *budget(overlap), measure), lambda c: _draft(c, _none(), _none()))
     return _finish(runs, F.when(F.col("atomic"), _alone()).otherwise(cut))
 
 
 def parent_document_chunks(
-    runs: DataFrame, size: int, overlap: int, measure: Measure = CHARACTERS, child: int = CHILD_SIZE
+    runs: DataFrame, overlap: int, measure: Measure = CHARACTERS, child: int = CHILD_SIZE
 ) -> DataFrame:
     """Small children are embedded, the parent they came from is returned."""
-    parents = F.when(F.col("atomic"), F.array("text")).otherwise(split_text(F.col("text"), size, overlap, measure))
+    parents = F.when(F.col("atomic"), F.array("text")).otherwise(split_text(F.col("text"), *budget(overlap), measure))
     exploded = runs.select("*", F.posexplode(parents).alias("parent_pos", "parent"))
     # Parents are counted through the whole section run.
     order = Window.partitionBy("doc_id", "page_no", "run_no").orderBy("group_no", "parent_pos")
     keyed = exploded.withColumn("parent_no", F.row_number().over(order) - 1)
-    children = split_text(F.col("parent"), min(child, size), 0, measure)
+    children = split_text(F.col("parent"), F.least(F.lit(child), F.col("body")), 0, measure)
     small = keyed.select(
-        "doc_id", "page_no", "group_no", "section", "parent_pos",
+        "doc_id", "page_no", "group_no", "section", "header", "parent_pos",
         F.concat(F.lit("p"), F.col("parent_no").cast("string")).alias("parent_key"),
         F.col("parent").alias("text"),
         F.posexplode(children).alias("child_no", "embed_text"),
@@ -265,7 +289,7 @@ def parent_document_chunks(
     return number_chunks(small.withColumn("piece_no", F.struct("parent_pos", "child_no")))
 
 
-def grown_window(sentences: Column, position: Column, window: int, size: int, measure: Measure) -> Column:
+def grown_window(sentences: Column, position: Column, window: int, size: Column | int, measure: Measure) -> Column:
     """The neighbourhood of a sentence, widened left then right while it fits."""
     n = F.size(sentences)
 
@@ -291,7 +315,7 @@ def grown_window(sentences: Column, position: Column, window: int, size: int, me
 
 
 def sentence_window_chunks(
-    runs: DataFrame, size: int, overlap: int, measure: Measure = CHARACTERS, window: int = WINDOW_SENTENCES
+    runs: DataFrame, overlap: int, measure: Measure = CHARACTERS, window: int = WINDOW_SENTENCES
 ) -> DataFrame:
     """Each sentence is embedded; its grown neighbourhood is returned."""
     region = max(1, window)
@@ -302,9 +326,9 @@ def sentence_window_chunks(
     )
 
     def draft(sentence: Column, i: Column) -> Column:
-        too_long = F.get(split_text(sentence, size, 0, measure), F.lit(0))
-        text = F.when(measure.count(sentence) > size, F.coalesce(too_long, sentence)).otherwise(
-            grown_window(F.col("sentences"), i, window, size, measure)
+        too_long = F.get(split_text(sentence, F.col("body"), 0, measure), F.lit(0))
+        text = F.when(measure.count(sentence) > F.col("body"), F.coalesce(too_long, sentence)).otherwise(
+            grown_window(F.col("sentences"), i, window, F.col("body"), measure)
         )
         key = F.concat(
             F.lit("w"), F.col("group_in_run").cast("string"), F.lit(":"),
@@ -337,7 +361,7 @@ def semantic_groups(sentences: DataFrame, keys: tuple[str, ...], percentile: flo
 
 
 def semantic_chunks(
-    runs: DataFrame, size: int, overlap: int, embed, measure: Measure = CHARACTERS
+    runs: DataFrame, overlap: int, embed, measure: Measure = CHARACTERS
 ) -> DataFrame:
     """Sentences grouped by meaning; only oversized groups are split further.
 
@@ -345,7 +369,7 @@ def semantic_chunks(
     """
     keys = ("doc_id", "page_no", "run_no", "group_no")
     prose = runs.filter(~F.col("atomic")).select(
-        *keys, "section", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence")
+        *keys, "section", "header", "body", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence")
     )
     prose = prose.filter(tx.strip(F.col("sentence")) != "").withColumn("text", tx.strip(F.col("sentence")))
     order = Window.partitionBy(*keys).orderBy("sent_no")
@@ -358,21 +382,21 @@ def semantic_chunks(
     measured = vectors.withColumn("distance", 1.0 - dot).drop("embedding", "before", "text")
     grouped = semantic_groups(measured, keys)
     pieces = F.array_sort(F.collect_list(F.struct("sent_no", "sentence")))
-    passages = grouped.groupBy(*keys, "section", "passage_no").agg(
+    passages = grouped.groupBy(*keys, "section", "header", "body", "passage_no").agg(
         F.array_join(F.transform(pieces, lambda s: s["sentence"]), "").alias("text")
     )
     cut = passages.select(
-        *keys, "section", "passage_no",
-        F.posexplode(split_text(F.col("text"), size, overlap, measure)).alias("pos", "chunk"),
+        *keys, "section", "header", "body", "passage_no",
+        F.posexplode(split_text(F.col("text"), *budget(overlap), measure)).alias("pos", "chunk"),
     )
     drafts = cut.select(
-        "doc_id", "page_no", "group_no", F.struct("passage_no", "pos").alias("piece_no"), "section",
+        "doc_id", "page_no", "group_no", F.struct("passage_no", "pos").alias("piece_no"), "section", "header",
         F.col("chunk").alias("text"), _none().alias("embed_text"), _none().alias("parent_key"),
     )
     alone = runs.filter("atomic").select(
         "doc_id", "page_no", "group_no",
         F.struct(F.lit(0).cast("bigint").alias("passage_no"), F.lit(0).alias("pos")).alias("piece_no"),
-        "section", "text", _none().alias("embed_text"), _none().alias("parent_key"),
+        "section", "header", "text", _none().alias("embed_text"), _none().alias("parent_key"),
     )
     return number_chunks(drafts.unionByName(alone))
 
@@ -382,7 +406,7 @@ def passage_id(doc: Column, page: Column, group: Column, pos: Column) -> Column:
 
 
 def propositional_chunks(
-    runs: DataFrame, size: int, overlap: int, replies: DataFrame, measure: Measure = CHARACTERS
+    runs: DataFrame, overlap: int, replies: DataFrame, measure: Measure = CHARACTERS
 ) -> DataFrame:
     """Passages indexed by the propositions a model found in them.
 
@@ -390,16 +414,17 @@ def propositional_chunks(
     kept whole.
     """
     order = Window.partitionBy("doc_id", "page_no", "run_no").orderBy("group_no", "pos")
-    cut = F.when(F.col("atomic"), F.array("text")).otherwise(split_text(F.col("text"), size, overlap, measure))
+    cut = F.when(F.col("atomic"), F.array("text")).otherwise(split_text(F.col("text"), *budget(overlap), measure))
     passages = runs.select(
-        "doc_id", "page_no", "run_no", "group_no", "section", "atomic", F.posexplode(cut).alias("pos", "passage")
+        "doc_id", "page_no", "run_no", "group_no", "section", "header", "body", "atomic", F.posexplode(cut).alias("pos", "passage")
     ).withColumn("passage_id", passage_id(F.col("doc_id"), F.col("page_no"), F.col("group_no"), F.col("pos")))
     keyed = passages.withColumn("q", F.sum((~F.col("atomic")).cast("int")).over(order) - 1)
-    found = keyed.join(clean_propositions(replies, size, measure), "passage_id", "left")
+    sized = keyed.select("passage_id", "body").join(replies, "passage_id")
+    found = keyed.join(clean_propositions(sized, F.col("body"), measure), "passage_id", "left")
     usable = F.col("proposition").isNotNull() & ~F.col("atomic")
     drafts = found.select(
         "doc_id", "page_no", "group_no",
-        F.struct("pos", F.coalesce("prop_no", F.lit(0)).alias("prop_no")).alias("piece_no"), "section",
+        F.struct("pos", F.coalesce("prop_no", F.lit(0)).alias("prop_no")).alias("piece_no"), "section", "header",
         F.col("passage").alias("text"),
         F.when(usable, F.col("proposition")).alias("embed_text"),
         F.when(usable, F.concat(F.lit("q"), F.col("q").cast("string"))).alias("parent_key"),
@@ -407,25 +432,26 @@ def propositional_chunks(
     return number_chunks(drafts)
 
 
-def chunk_with(name: str, runs: DataFrame, size: int, overlap: int, *, embed=None, replies=None,
+def chunk_with(name: str, runs: DataFrame, overlap: int, *, embed=None, replies=None,
                measure: Measure = CHARACTERS) -> DataFrame:
     """The named strategy; an unknown or unsupported one is an error."""
-    check_budget(size, overlap)
+    if overlap < 0:
+        raise ValueError("chunk_overlap must not be negative.")
     if name not in STRATEGIES:
         raise ValueError(f"Unknown chunking strategy '{name}'. Valid options: {', '.join(STRATEGIES)}.")
     if name == "semantic":
         if embed is None:
             raise ValueError("The 'semantic' chunking strategy needs an embedding function.")
-        return semantic_chunks(runs, size, overlap, embed, measure)
+        return semantic_chunks(runs, overlap, embed, measure)
     if name == "propositional":
         if replies is None:
             raise ValueError("The 'propositional' chunking strategy needs a table of replies.")
-        return propositional_chunks(runs, size, overlap, replies, measure)
+        return propositional_chunks(runs, overlap, replies, measure)
     if name == "sentence_window":
-        return sentence_window_chunks(runs, size, overlap, measure)
+        return sentence_window_chunks(runs, overlap, measure)
     if name == "parent_document":
-        return parent_document_chunks(runs, size, overlap, measure)
-    return recursive_chunks(runs, size, overlap, measure)
+        return parent_document_chunks(runs, overlap, measure)
+    return recursive_chunks(runs, overlap, measure)
 
 
 # Headers and context ---------------------------------------------------------

@@ -56,7 +56,7 @@ def clean_variants(replies: DataFrame, count: int = 3) -> DataFrame:
 
 
 def clean_propositions(
-    replies: DataFrame, size: int = 256, measure: Measure = CHARACTERS, cap: int = MAX_PROPOSITIONS
+    replies: DataFrame, size: Column | int = 256, measure: Measure = CHARACTERS, cap: int = MAX_PROPOSITIONS
 ) -> DataFrame:
     """``passage_id, prop_no, proposition``; the cap is the feature's own."""
     cleaned = reply_lines(replies).withColumn(
