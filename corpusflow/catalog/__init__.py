@@ -6,7 +6,7 @@ import importlib
 
 from corpusflow.catalog.registry import ENTRIES, Entry
 
-MODULES = ("retrieval", "documents", "conversation", "storage")
+MODULES = ("retrieval", "documents", "conversation", "storage", "agents", "streams")
 
 
 def load_all() -> dict[str, Entry]:

@@ -19,7 +19,7 @@ NOTHING_SEEN = "(no notable observations)"
 
 
 def _size_text(n_bytes: Column) -> Column:
-    return F.format_number(n_bytes / (1024 * 1024), "0.0")
+    return F.format_string("%.1f", n_bytes / (1024 * 1024))
 
 
 def frame_reason(session_id: Column, mime: Column, n_bytes: Column, max_mb: int = MAX_FRAME_MB) -> Column:
