@@ -143,8 +143,7 @@ walk AS (
 
 @query("interval_sample", f"WITH RECURSIVE {GREEDY} SELECT session_id, frame_id FROM walk WHERE kept")
 def interval_sample(t: Tables) -> DataFrame:
-    # Small blocks, so that the walk over block borders is part of the check.
-    return fr.interval_sample(frames(t), INTERVAL, block_intervals=2).select("session_id", "frame_id")
+    return fr.interval_sample(frames(t), INTERVAL).select("session_id", "frame_id")
 
 
 GAPS = f"""{FRAMES},

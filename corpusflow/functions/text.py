@@ -115,13 +115,16 @@ def sentences(text: Column) -> Column:
     )
 
 
+_KEEPING = {
+    "\n\n": "(?s).*?\n\n|.+$",
+    "\n": "[^\n]*+\n|[^\n]++",
+    " ": "[^ ]*+ |[^ ]++",
+}
+
+
 def split_keep(text: Column, separator: str) -> Column:
     """Split on a literal, leaving the separator on the piece before it."""
-    parts = F.split(text, separator, -1)
-    last = F.size(parts) - 1
-    return F.transform(
-        parts, lambda part, i: F.when(i < last, F.concat(part, F.lit(separator))).otherwise(part)
-    )
+    return F.regexp_extract_all(text, F.lit(_KEEPING[separator]), F.lit(0))
 
 
 def digits(text: Column) -> Column:

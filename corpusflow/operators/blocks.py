@@ -104,25 +104,26 @@ def html_blocks(pages: DataFrame) -> DataFrame:
         body, rf"(?i)</h[1-6]\s*>|</?(?:{'|'.join(BOUNDARY_TAGS)})\b[^>]*>", CUT + "0"
     )
     is_table = F.col("segment").startswith(TABLE_MARK)
+
+    def part(text: Column) -> Column:
+        return F.struct(
+            F.left(text, F.lit(1)).cast("int").alias("lv"),
+            tx.collapse(unescape(_drop_tags(F.substring(text, F.lit(2), F.length(text))))).alias("text"),
+        )
+
+    table = F.array(F.struct(F.lit(None).cast("int").alias("lv"), _table_text(F.col("segment")).alias("text")))
+    prose = F.transform(F.split(F.concat(F.lit("0"), body), CUT), part)
+    # Cleaned inside the generator, so that the filter below reads a finished
+    # column instead of cleaning every part a second time.
     parts = segments.select(
-        "doc_id", "seg_no", is_table.alias("is_table"),
-        F.posexplode(
-            F.when(is_table, F.array(_table_text(F.col("segment")))).otherwise(
-                F.split(F.concat(F.lit("0"), body), CUT)
-            )
-        ).alias("part_no", "part"),
-    )
-    level = F.when(~F.col("is_table"), F.left("part", F.lit(1)).cast("int"))
-    content = F.when(F.col("is_table"), F.col("part")).otherwise(
-        tx.collapse(unescape(_drop_tags(F.expr("substring(part, 2)"))))
-    )
-    kept = parts.select("doc_id", "seg_no", "part_no", "is_table", level.alias("lv"), content.alias("text"))
+        "doc_id", "seg_no", F.posexplode(F.when(is_table, table).otherwise(prose)).alias("part_no", "p")
+    ).select("doc_id", "seg_no", "part_no", "p.lv", "p.text")
     order = Window.partitionBy("doc_id").orderBy("seg_no", "part_no")
-    return kept.filter("text <> ''").select(
+    return parts.filter("text <> ''").select(
         "doc_id",
         F.lit(1).alias("page_no"),
         F.row_number().over(order).alias("block_no"),
-        F.when(F.col("is_table"), "table").when(F.col("lv") > 0, "heading").otherwise("text").alias("kind"),
+        F.when(F.col("lv").isNull(), "table").when(F.col("lv") > 0, "heading").otherwise("text").alias("kind"),
         "text",
         F.when(F.col("lv") > 0, F.col("lv")).alias("level"),
     )

@@ -92,8 +92,7 @@ def split_pieces(
 
 def snap(tail: Column) -> Column:
     """Drop the broken word at the start of a repeated tail, if one is there."""
-    snapped = F.regexp_extract(tail, f"(?s)^{tx.SPACE.replace('[', '[^', 1)}*{tx.SPACE}(.+)$", 1)
-    return F.when(snapped != "", snapped).otherwise(tail)
+    return F.regexp_replace(tail, f"(?s)^{tx.SPACE.replace('[', '[^', 1)}*{tx.SPACE}(?=.)", "")
 
 
 def with_overlap(windows: Column, overlap: Column | int, measure: Measure = CHARACTERS) -> Column:
@@ -103,13 +102,12 @@ def with_overlap(windows: Column, overlap: Column | int, measure: Measure = CHAR
     start = F.struct(F.lit("").alias("carry"), _strings().alias("out"))
 
     def step(acc: Column, window: Column) -> Column:
-        chunk = tx.strip(F.concat(snap(acc["carry"]), window))
         return F.struct(
             measure.suffix(F.concat(acc["carry"], window), _column(overlap)).alias("carry"),
-            F.when(chunk != "", F.concat(acc["out"], F.array(chunk))).otherwise(acc["out"]).alias("out"),
+            F.concat(acc["out"], F.array(tx.strip(F.concat(snap(acc["carry"]), window)))).alias("out"),
         )
 
-    return F.aggregate(windows, start, step, lambda acc: acc["out"])
+    return F.filter(F.aggregate(windows, start, step, lambda acc: acc["out"]), lambda c: c != "")
 
 
 def split_text(

@@ -9,6 +9,7 @@ from corpusflow.functions import text as tx
 from corpusflow.functions.scalars import is_refusal, states_value, unverified_values
 from corpusflow.operators.ordered import running_sum
 from corpusflow.operators.sizing import broadcast_if_small
+from corpusflow.session import staged
 
 SHINGLE = 3
 
@@ -41,6 +42,9 @@ def containing_documents(documents: DataFrame, passages: DataFrame) -> DataFrame
     )
     shingles = parts.select("chunk_id", F.explode_outer(F.array_distinct(spans)).alias("anchor"))
     candidates = shingles.join(broadcast_if_small(anchored), "anchor").select("query_id", "chunk_id", "passage")
+    # Staged to know its size: a short list is sent to the texts, so that the
+    # texts are not shuffled.
+    candidates = broadcast_if_small(staged(candidates), 100_000)
     found = (
         candidates.join(documents.select("chunk_id", "text"), "chunk_id")
         .filter(F.contains("text", "passage"))

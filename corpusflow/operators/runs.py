@@ -123,15 +123,10 @@ def budget_audit(
 
 def rollup(steps: DataFrame) -> DataFrame:
     """Steps, seconds and distinct tools per tree and agent (and per tree)."""
-    return (
-        steps.rollup("root_id", "agent")
-        .agg(
-            F.count(F.lit(1)).alias("steps"),
-            F.sum("seconds").alias("seconds"),
-            F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"),
-            F.grouping_id().alias("level"),
-        )
-        .filter("level <= 1")
+    return steps.groupingSets([["root_id"], ["root_id", "agent"]], "root_id", "agent").agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.sum("seconds").alias("seconds"),
+        F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"),
     )
 
 

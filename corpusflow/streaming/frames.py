@@ -119,26 +119,34 @@ def interval_sample(frames: DataFrame, interval: float = INTERVAL_SECONDS, block
             ["session_id", "island", "block", "entry"]
         ]
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame_id"])
-        t, ids = pdf["t"].to_numpy(), pdf["frame_id"].to_numpy()
-        entry = pdf["entry"].iloc[0]
-        kept = []
-        if pdf["block"].iloc[0] == 0 or not pd.isna(entry):
-            cur = 0 if pd.isna(entry) else int(np.flatnonzero(ids == entry)[0])
-            follow = _next_kept(t, interval)
-            while cur < len(t):
-                kept.append(ids[cur])
-                cur = follow[cur]
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "frame_id": np.array(kept, dtype=np.int64)})
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by group and time; only the last kept time is held."""
+        key, last, started = None, None, False
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            columns = (pdf[c].tolist() for c in ("session_id", "island", "block", "frame_id", "t", "entry"))
+            for i, (session, island, block, frame_id, t, entry) in enumerate(zip(*columns)):
+                if (session, island, block) != key:
+                    key, last, started = (session, island, block), None, block == 0
+                started = started or entry == frame_id
+                if started and (last is None or t - last >= interval):
+                    keep[i], last = True, t
+            yield pdf.loc[keep, ["session_id", "frame_id"]]
 
     key_type = frames.schema["session_id"].dataType.simpleString()
     head = f"session_id {key_type}, island double, block bigint, entry bigint"
     many = blocks.filter("many")
     pointers = many.groupBy(*group).applyInPandas(transitions, head + ", onward bigint")
     entries = pointers.groupBy("session_id", "island").applyInPandas(follow_pointers, head)
-    inside = blocks.filter(F.col("own") == F.col("block")).join(entries, group, "left")
-    kept = inside.groupBy(*group).applyInPandas(walk, f"session_id {key_type}, frame_id bigint")
+    inside = blocks.filter(F.col("own") == F.col("block"))
+    short = inside.filter(~F.col("many")).withColumn("entry", F.lit(None).cast("bigint"))
+    rows = inside.filter("many").join(entries, group, "left").unionByName(short)
+    kept = (
+        rows.select(*group, "frame_id", "t", F.coalesce("entry", F.lit(-1)).alias("entry"))
+        .repartition(*group)
+        .sortWithinPartitions(*group, "t", "frame_id")
+        .mapInPandas(walk, f"session_id {key_type}, frame_id bigint")
+    )
     firsts = placed.filter("opens").select("session_id", "frame_id")
     chosen = firsts.unionByName(kept).distinct()
     return frames.join(chosen, ["session_id", "frame_id"], "left_semi").select("session_id", "frame_id", "t", *extra)
