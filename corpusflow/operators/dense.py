@@ -1,7 +1,6 @@
 """Exact and approximate cosine search.
 
-``chunks`` has ``chunk_id`` (bigint) and ``embedding`` (array of float),
-``queries`` has ``query_id`` and ``embedding``. Every task multiplies its chunk
+``chunks`` has ``chunk_id`` and ``embedding`` (array of float), ``queries`` has ``query_id`` and ``embedding``. Every task multiplies its chunk
 batches with the query matrix and keeps only its own best ``k`` per query, so
 neither all pairs nor any chunk vector is ever shuffled. The query matrix is
 shipped to the tasks only behind a size check; a larger batch of questions is
@@ -18,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.keyword import RANK_DIGITS, rank_topk, require_positive
+from corpusflow.operators.keyword import rank_topk, require_positive
 from corpusflow.operators.sizing import at_most
+from corpusflow.operators.topk import Best, id_array, result_schema
 
 # At 1024 dimensions of float64 this many query vectors are 160 MB.
 MAX_SHIPPED_QUERIES = 20_000
 CELL_QUERIES = 4_000
 CELL_CHUNKS = 50_000
-SCHEMA = "query_id bigint, chunk_id bigint, score double"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -62,35 +61,8 @@ def _arrow_matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return stacked / np.where(norms == 0, 1.0, norms)
 
 
-class _Best:
-    """Best ``k`` (score, chunk) pairs per query over the batches of one task."""
-
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
-        self.scores = np.full((n_queries, 0), -np.inf)
-        self.ids = np.zeros((n_queries, 0), dtype=np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is queries x chunks; -inf marks a pair that does not count."""
-        scores = np.round(scores, RANK_DIGITS)
-        scores = np.concatenate([self.scores, scores], axis=1)
-        ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
-        if scores.shape[1] > self.k:
-            # Everything at or above the k-th best score stays a candidate, so
-            # that ties are settled by chunk id and not by position.
-            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-            scores = np.take_along_axis(scores, order, axis=1)
-            ids = np.take_along_axis(ids, order, axis=1)
-        self.scores, self.ids = scores, ids
-
-    def columns(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = np.isfinite(self.scores)
-        width = self.scores.shape[1]
-        return np.repeat(query_ids, width)[found.ravel()], self.ids[found], self.scores[found]
-
-
 def _local_topk(
-    best: _Best, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, keep=None
+    best: Best, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, keep=None
 ) -> None:
     step = max(1, 4_000_000 // max(1, len(queries)))
     for start in range(0, len(ids), step):
@@ -98,21 +70,12 @@ def _local_topk(
         scores = queries @ vectors[part].T
         if keep is not None:
             scores = np.where(keep(vectors[part]), scores, -np.inf)
-        width = scores.shape[1]
-        if width > best.k:
-            # Cheap pre-cut before the exact sort of _Best.
-            cut = np.partition(scores, width - best.k, axis=1)[:, width - best.k]
-            low = scores < (cut - 10.0**-RANK_DIGITS)[:, None]
-            column = ~low.all(axis=0)
-            scores = np.where(low, -np.inf, scores)[:, column]
-            best.add(scores, ids[part][column])
-        else:
-            best.add(scores, ids[part])
+        best.add(scores, ids[part])
 
 
 def _sides(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = chunks.filter(F.col("embedding").isNotNull()).select(
-        F.col("chunk_id").cast("bigint"), "embedding"
+        "chunk_id", "embedding"
     )
     right = queries.filter(F.col("embedding").isNotNull()).select(
         F.col("query_id").cast("bigint"), "embedding"
@@ -127,21 +90,18 @@ def _shipped(chunks: DataFrame, queries: DataFrame, k: int, keep_for=None) -> Da
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, matrix = payload.value
-        best = _Best(len(ids_q), k)
+        best = Best(len(ids_q), k)
         keep = keep_for(matrix) if keep_for is not None else None
         for batch in batches:
             if batch.num_rows == 0 or len(ids_q) == 0:
                 continue
-            ids = batch.column("chunk_id").to_numpy()
             vectors = _arrow_matrix(batch.column("embedding"), batch.num_rows)
-            _local_topk(best, ids, vectors, matrix, keep)
-        q, c, s = best.columns(ids_q)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())],
-            ["query_id", "chunk_id", "score"],
-        )
+            _local_topk(best, id_array(batch.column("chunk_id")), vectors, matrix, keep)
+        kept = best.batch(ids_q)
+        if kept is not None:
+            yield kept
 
-    return chunks.mapInArrow(score, SCHEMA)
+    return chunks.mapInArrow(score, result_schema(chunks))
 
 
 def _grid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -161,16 +121,16 @@ def _grid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = cells(queries, "query_id", "q_cell", query_cells, "c_cell", chunk_cells)
 
     def score(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(q), k)
+        best = Best(len(q), k)
         if len(c) and len(q):
-            _local_topk(best, c["chunk_id"].to_numpy(), _matrix(c["embedding"]), _matrix(q["embedding"]))
+            _local_topk(best, id_array(pa.array(c["chunk_id"])), _matrix(c["embedding"]), _matrix(q["embedding"]))
         ids_q, ids_c, scores = best.columns(q["query_id"].to_numpy(dtype=np.int64))
         return pd.DataFrame({"query_id": ids_q, "chunk_id": ids_c, "score": scores})
 
     return (
         left.groupBy("c_cell", "q_cell")
         .cogroup(right.groupBy("c_cell", "q_cell"))
-        .applyInPandas(score, SCHEMA)
+        .applyInPandas(score, result_schema(chunks))
     )
 
 

@@ -8,19 +8,20 @@ shuffled is one row per (chunk, term), never one per token.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators.sizing import at_most, broadcast_if_small
+from corpusflow.operators.topk import RANK_DIGITS, Best, id_array, result_schema
 from corpusflow.session import staged
 
 K1 = 1.2
 B = 0.75
-# Scores are ranked at this many decimals, so that the order in which partial
-# sums arrive cannot swap two chunks; ties go to the smaller chunk id.
-RANK_DIGITS = 9
 BROADCAST_TERMS = 200_000
 
 
@@ -66,6 +67,26 @@ def query_postings(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, Data
     return counted.filter(F.col("term").isNotNull()), corpus_stats(own)
 
 
+def chunk_postings(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One staged row per chunk: ``chunk_id, doc_len, hits`` (term number, tf).
+
+    ``vocabulary``: ``term, term_no``. A chunk without a hit keeps its row,
+    because its length counts in the average.
+    """
+    known = _occurrences(chunks).join(F.broadcast(vocabulary), "term", "left").filter(
+        F.col("term").isNull() | F.col("term_no").isNotNull()
+    )
+    counted = known.groupBy("chunk_id", "term_no").agg(
+        F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len")
+    )
+    hit = F.when(F.col("term_no").isNotNull(), F.struct("term_no", "tf"))
+    return staged(
+        counted.groupBy("chunk_id").agg(
+            F.first("doc_len").cast("bigint").alias("doc_len"), F.collect_list(hit).alias("hits")
+        )
+    )
+
+
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tx.tokens(F.col("text"))).cast("bigint").alias("doc_len"))
 
@@ -140,14 +161,78 @@ def bm25_topk(
     k: int = 5,
     k1: float = K1,
     b: float = B,
+    max_shipped: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """Top ``k`` chunks per query straight from text, without a stored index."""
+    """Top ``k`` chunks per query straight from text, without a stored index.
+
+    While the (query, term) rows are few they are shipped to the tasks, which
+    score their chunks and keep only their best ``k`` per query. A larger batch
+    of questions is joined with the postings instead.
+    """
     require_positive(top_k=k)
     terms = query_terms(queries)
+    few = terms.limit(max_shipped + 1).collect()  # bounded
+    if len(few) <= max_shipped:
+        return rank_topk(_scored_in_tasks(chunks, few, k, k1, b), k)
     postings, stats = query_postings(chunks, terms)
     return rank_topk(bm25_scores(postings, stats, terms, k1, b), k)
 
 
+def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: float) -> DataFrame:
+    spark = chunks.sparkSession
+    numbers = {term: n for n, term in enumerate(sorted({r["term"] for r in rows}))}
+    vocabulary = spark.createDataFrame(list(numbers.items()), "term string, term_no int")
+    table = chunk_postings(chunks, vocabulary)
+    # One row for the corpus and one per query term.
+    n_chunks, average = corpus_stats(table).first()
+    found = table.select(F.explode("hits").alias("h")).groupBy("h.term_no").agg(F.count(F.lit(1)).alias("df"))
+    df = np.zeros(len(numbers))
+    for term_no, count in found.collect():
+        df[term_no] = count
+    idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+    # Queries of each term, as one slice of two flat arrays.
+    query_ids = np.array(sorted({r["query_id"] for r in rows}), dtype=np.int64)
+    place = {q: n for n, q in enumerate(query_ids.tolist())}
+    pairs = sorted((numbers[r["term"]], place[r["query_id"]], r["qtf"]) for r in rows)
+    term_of = np.array([p[0] for p in pairs], dtype=np.int64)
+    query_of = np.array([p[1] for p in pairs], dtype=np.int64)
+    weight_of = idf[term_of] * np.array([p[2] for p in pairs], dtype=np.float64) if pairs else np.zeros(0)
+    first = np.searchsorted(term_of, np.arange(len(numbers) + 1))
+    payload = spark.sparkContext.broadcast((query_ids, query_of, weight_of, first))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_q, queries_of, weights, slices = payload.value
+        best = Best(len(ids_q), k)
+        step = max(1, 2_000_000 // max(1, len(ids_q)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                hits = batch.column("hits")
+                flat = hits.flatten()
+                if len(flat) == 0:
+                    continue
+                term_no, tf = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                sizes = np.diff(hits.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                length = batch.column("doc_len").to_numpy()[row]
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+                # Every hit meets all queries of its term.
+                fan = slices[term_no + 1] - slices[term_no]
+                begin = np.repeat(slices[term_no] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan)
+                at = begin + np.arange(fan.sum())
+                cell = queries_of[at] * batch.num_rows + np.repeat(row, fan)
+                total = np.bincount(
+                    cell, weights=weights[at] * np.repeat(part, fan), minlength=len(ids_q) * batch.num_rows
+                ).reshape(len(ids_q), batch.num_rows)
+                best.add(np.where(total > 0, total, -np.inf), id_array(batch.column("chunk_id")))
+        kept = best.batch(ids_q)
+        if kept is not None:
+            yield kept
+
+    hit_rows = table.filter(F.size("hits") > 0)
+    return hit_rows.mapInArrow(score, result_schema(chunks))
+
+
 def write_index(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
     """Store postings, hashed by term, and the statistics as parquet."""
     spark = chunks.sparkSession
