@@ -262,7 +262,7 @@ def compaction_stream_marks(t: Tables) -> DataFrame:
     staged_parts(rows, F.when(F.col("msg_id") <= 4, 0).otherwise(1), 2, f"{base}/in")
     source = read_file_stream(t.spark, f"{base}/in", "*.parquet", rows.schema, files_per_batch=1)
     compaction_stream(source, base, WINDOW, TRIGGER)
-    return st.read_store(t.spark, f"{base}/marks")
+    return st.read_store(t.spark, f"{base}/marks", "conv_id")
 
 
 def files_of(t: Tables) -> DataFrame:

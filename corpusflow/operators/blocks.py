@@ -63,7 +63,7 @@ def unescape(text: Column) -> Column:
         hexed = F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
         decimal = F.regexp_extract(ref, "^&#([0-9]{1,7});$", 1)
         code = F.when(hexed != "", hexed).when(decimal != "", F.conv(decimal, 10, 16))
-        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32BE"), table[ref], ref)
+        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), table[ref], ref)
 
     replaced = F.aggregate(
         F.filter(found, lambda ref: ref != "&amp;"), text, lambda acc, ref: F.replace(acc, ref, character(ref))

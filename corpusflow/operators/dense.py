@@ -113,8 +113,8 @@ def _grid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def cells(df: DataFrame, key: str, own: str, own_cells: int, other: str, others: int) -> DataFrame:
         return df.select(
             "*",
-            F.pmod(F.xxhash64(key), F.lit(own_cells)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("bigint").alias(other),
+            F.pmod(F.xxhash64(key), F.lit(own_cells).cast("bigint")).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))).alias(other),
         )
 
     left = cells(chunks, "chunk_id", "c_cell", chunk_cells, "q_cell", query_cells)

@@ -20,11 +20,11 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition an input that arrives in fewer files than there are cores.
+    """Hash-partition an input that is read in fewer splits than there are cores.
 
-    A large table has more files than cores and is returned as it is.
+    A large table has many more splits than cores and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, *keys)

@@ -82,20 +82,15 @@ def ingest(
 def store_batch(files: DataFrame, folder: str, **options) -> DataFrame:
     """Ingest a batch into the store below ``folder`` and return its registry rows.
 
-    Chunks are upserted, postings appended per batch; a batch that is handled
-    twice after a failure writes the same version of the same chunks.
+    A batch that is handled twice after a failure writes the same chunks again,
+    which an upsert by chunk id does not notice.
     """
-    spark = files.sparkSession
     chunks, registry = ingest(files, **options)
-    columns = ["chunk_id", "doc_id", "page_no", "chunk_index", "section", "text", "embed_text", "parent_id"]
-    stored = st.read_store(spark, f"{folder}/chunks")
-    batch = chunks.select(*columns)
-    merged = batch if stored is None else st.upsert(stored.select(*columns), batch.withColumn("seq", F.lit(1)))
-    st.publish(merged, f"{folder}/chunks")
+    st.append(chunks, f"{folder}/chunks")
     return registry
 
 
 def refresh_postings(spark, folder: str) -> int:
-    """Rebuild the postings of the current chunk version as the next version."""
+    """Count the postings of the current chunks again, as a new snapshot."""
     chunks = st.read_store(spark, f"{folder}/chunks")
     return st.publish(term_frequency(chunks), f"{folder}/postings")

@@ -25,7 +25,10 @@ CP1252_HIGH = bytes(b for b in range(0x80, 0xA0) if chr(b) not in CP1252_UNDEFIN
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``filename, content, n_bytes`` of every file below ``folder``."""
+    """``filename, content, n_bytes`` of every file below ``folder``.
+
+    Spark's file readers pass over files of zero bytes, so those give no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(
         F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content", F.col("length").alias("n_bytes")

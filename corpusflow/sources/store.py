@@ -1,8 +1,10 @@
 """Chunk store and registry tables: upsert, delete, fingerprint, caches.
 
-A store is a folder of versions. A writer puts a complete new version beside
-the old one; a version counts once its ``_SUCCESS`` file is there, so readers
-never see half a write and a lost writer leaves the old version in place.
+A store is a folder of numbered layers: complete snapshots (``b<n>``) and the
+batches written since (``d<n>``). A layer counts once its ``_SUCCESS`` file is
+there, so readers never see half a write and a lost writer leaves the old state
+in place. Reading lays the batches over the snapshot, last write first; a
+writer folds them into a new snapshot when there are many.
 """
 
 from __future__ import annotations
@@ -22,34 +24,60 @@ from corpusflow.functions.scalars import (
 READY, FAILED, PROCESSING = "READY", "FAILED", "PROCESSING"
 
 
-# Versioned folder --------------------------------------------------------------
+# Layers ------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete versions below ``folder``."""
+def _layers(spark: SparkSession, folder: str) -> tuple[int | None, list[int]]:
+    """Number of the newest complete snapshot and of the batches after it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return []
-    found = []
+        return None, []
+    found: dict[str, list[int]] = {"b": [], "d": []}
     for status in fs.listStatus(path):
         name = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
+        if name[:1] in found and name[1:].isdigit() and fs.exists(done):
+            found[name[0]].append(int(name[1:]))
+    base = max(found["b"], default=None)
+    return base, sorted(n for n in found["d"] if base is None or n > base)
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame | None:
-    versions = _versions(spark, folder)
-    return spark.read.parquet(f"{folder}/v{versions[-1]}") if versions else None
+def _next(layers: tuple[int | None, list[int]]) -> int:
+    base, batches = layers
+    return max([base or 0, *batches]) + 1
+
+
+def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataFrame | None:
+    """The current rows, or None for an empty store."""
+    base, batches = _layers(spark, folder)
+    snapshot = None if base is None else spark.read.parquet(f"{folder}/b{base}")
+    if not batches:
+        return snapshot
+    parts = [spark.read.parquet(f"{folder}/d{n}").withColumn("_layer", F.lit(n)) for n in batches]
+    written = parts[0]
+    for part in parts[1:]:
+        written = written.unionByName(part)
+    if snapshot is None:
+        return last_written(written, key, "_layer")
+    return upsert(snapshot, written, key, "_layer")
 
 
 def publish(df: DataFrame, folder: str) -> int:
-    """Write ``df`` as the next version and return its number."""
-    versions = _versions(df.sparkSession, folder)
-    number = versions[-1] + 1 if versions else 1
-    df.write.mode("overwrite").parquet(f"{folder}/v{number}")
+    """Write ``df`` as a complete snapshot and return its number."""
+    number = _next(_layers(df.sparkSession, folder))
+    df.write.mode("overwrite").parquet(f"{folder}/b{number}")
+    return number
+
+
+def append(batch: DataFrame, folder: str, key: str = "chunk_id", max_batches: int = 16) -> int:
+    """Write a batch of upserts; its cost does not grow with the store."""
+    spark = batch.sparkSession
+    layers = _layers(spark, folder)
+    number = _next(layers)
+    batch.write.mode("overwrite").parquet(f"{folder}/d{number}")
+    if len(layers[1]) + 1 > max_batches:
+        number = publish(read_store(spark, folder, key), folder)
     return number
 
 

@@ -46,7 +46,14 @@ def frame_count_sample(frames: DataFrame, every: int = SAMPLE_EVERY, keys: tuple
 
 def _next_kept(t: np.ndarray, interval: float) -> np.ndarray:
     """Index of the frame kept after each frame; ``len(t)`` when none is left."""
-    return np.searchsorted(t, t + interval, side="left")
+    after = np.searchsorted(t, t + interval, side="left")
+    # The rule is a difference of times; the sum above may round the other way.
+    while (early := (after > 0) & (t[after - 1] - t >= interval)).any():
+        after = after - early
+    padded = np.append(t, np.inf)
+    while (late := (after < len(t)) & (padded[after] - t < interval)).any():
+        after = after + late
+    return after
 
 
 def interval_sample(frames: DataFrame, interval: float = INTERVAL_SECONDS, block_intervals: int = 4096) -> DataFrame:
@@ -148,7 +155,7 @@ def interval_sample(frames: DataFrame, interval: float = INTERVAL_SECONDS, block
         .mapInPandas(walk, f"session_id {key_type}, frame_id bigint")
     )
     firsts = placed.filter("opens").select("session_id", "frame_id")
-    chosen = firsts.unionByName(kept).distinct()
+    chosen = firsts.unionByName(kept)
     return frames.join(chosen, ["session_id", "frame_id"], "left_semi").select("session_id", "frame_id", "t", *extra)
 
 

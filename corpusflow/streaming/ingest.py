@@ -35,11 +35,11 @@ def compaction_stream(
         batch.write.mode("overwrite").parquet(f"{folder}/messages/batch={batch_id}")
         touched = batch.select("conv_id").distinct()
         log = spark.read.schema(batch.schema).parquet(f"{folder}/messages").join(touched, "conv_id", "left_semi")
-        stored = st.read_store(spark, f"{folder}/marks")
+        stored = st.read_store(spark, f"{folder}/marks", "conv_id")
         marks = spark.createDataFrame([], "conv_id bigint, covered_through_id bigint") if stored is None else stored
         moved = compaction_slice(log, marks, limit, trigger).groupBy("conv_id").agg(
             F.max("msg_id").alias("covered_through_id")
         )
-        st.publish(st.upsert(marks, moved.withColumn("seq", F.lit(1)), key="conv_id"), f"{folder}/marks")
+        st.append(moved, f"{folder}/marks", "conv_id")
 
     run_batches(messages, handle)

