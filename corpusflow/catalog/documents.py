@@ -132,7 +132,7 @@ parts AS (
   SELECT doc_id, unnest(string_split('0' || h, chr(1))) AS p,
          generate_subscripts(string_split('0' || h, chr(1)), 1) AS i FROM cut),
 clean AS (
-  SELECT doc_id, i, left(p, 1)::INT AS lv,
+  SELECT doc_id, i, left(p, 1)::BIGINT AS lv,
     {sp.collapse("replace(replace(replace(replace(regexp_replace(substr(p, 2), '</?[A-Za-z!?][^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')")} AS text
   FROM parts),
 pblocks AS (
@@ -267,7 +267,7 @@ labelled AS (SELECT *, array_to_string(path, ' > ') AS section FROM pathed),
 fresh AS (
   SELECT *, CASE WHEN lag(section) OVER w IS DISTINCT FROM section OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS f
   FROM labelled WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
-runs AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY block_no) AS run_no FROM fresh)"""
+runs AS (SELECT *, (sum(f) OVER (PARTITION BY doc_id ORDER BY block_no))::BIGINT AS run_no FROM fresh)"""
 
 
 @query(
@@ -291,7 +291,7 @@ opened AS (
     CASE WHEN kind = 'table' OR coalesce(lag(kind) OVER w = 'table', true) OR lag(run_no) OVER w IS DISTINCT FROM run_no
       THEN 1 ELSE 0 END AS o
   FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
-numbered AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY block_no) AS group_no FROM opened),
+numbered AS (SELECT *, (sum(o) OVER (PARTITION BY doc_id ORDER BY block_no))::BIGINT AS group_no FROM opened),
 groups AS (
   SELECT doc_id, run_no, group_no, any_value(section) AS section, any_value(path) AS path, bool_or(atomic) AS atomic,
     string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM numbered GROUP BY 1, 2, 3)"""
@@ -567,8 +567,8 @@ def semantic_threshold(t: Tables) -> DataFrame:
 @query(
     "semantic_breaks",
     f"""WITH {DISTANCES}
-SELECT label, part, vec_id AS sent_no, sum(CASE WHEN d > threshold AND n >= 4 THEN 1 ELSE 0 END)
-  OVER (PARTITION BY label, part ORDER BY vec_id) AS passage_no FROM dist JOIN limits USING (label, part)""",
+SELECT label, part, vec_id AS sent_no, (sum(CASE WHEN d > threshold AND n >= 4 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY label, part ORDER BY vec_id))::BIGINT AS passage_no FROM dist JOIN limits USING (label, part)""",
 )
 def semantic_breaks(t: Tables) -> DataFrame:
     return vector_steps(t).select("label", "part", "sent_no", "passage_no")

@@ -52,8 +52,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Positions and counts leave every query as 64-bit numbers.
+WIDE = frozenset(
+    "rank list_no found_by_variant variant_no block_no level raw_level first_block chunk_index n_chars line_no "
+    "piece_no chunk_no pos prop_no longest recency stated total".split()
+)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    narrow = [f.name for f in df.schema if f.name in WIDE and f.dataType.simpleString() == "int"]
+    return df.withColumns({name: df[name].cast("bigint") for name in narrow}) if narrow else df
+
+
 def runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return entry.run(Tables(prepare(spark), sf_dir))
+        return widened(entry.run(Tables(prepare(spark), sf_dir)))
 
     return run

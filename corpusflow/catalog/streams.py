@@ -148,7 +148,7 @@ def interval_sample(t: Tables) -> DataFrame:
 
 GAPS = f"""{FRAMES},
 gaps AS (SELECT *, CASE WHEN t - lag(t) OVER w > {TTL} THEN 1 ELSE 0 END AS o FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY t, frame_id)),
-sessions AS (SELECT *, sum(o) OVER (PARTITION BY session_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS session_no FROM gaps)"""
+sessions AS (SELECT *, (sum(o) OVER (PARTITION BY session_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session_no FROM gaps)"""
 
 
 @query(
@@ -163,7 +163,7 @@ def session_expiry(t: Tables) -> DataFrame:
 
 
 ENDED = f"""{FRAMES},
-epochs AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY session_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - (event_type = 'error')::INT AS epoch FROM frames),
+epochs AS (SELECT *, (sum((event_type = 'error')::INT) OVER (PARTITION BY session_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) - (event_type = 'error')::INT)::BIGINT AS epoch FROM frames),
 after_end AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY t, frame_id) AS n FROM epochs WHERE event_type <> 'error')"""
 
 
