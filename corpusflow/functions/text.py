@@ -72,8 +72,12 @@ def none_if_blank(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Index terms: lower-cased runs of ``[a-z0-9]`` without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of ``[a-z0-9]``, stop words included."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def normalize(text: Column) -> Column:

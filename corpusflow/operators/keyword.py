@@ -73,17 +73,19 @@ def chunk_postings(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``vocabulary``: ``term, term_no``. A chunk without a hit keeps its row,
     because its length counts in the average.
     """
-    known = _occurrences(chunks).join(F.broadcast(vocabulary), "term", "left").filter(
-        F.col("term").isNull() | F.col("term_no").isNotNull()
+    word = F.col("word")
+    # A stop word becomes NULL and is not counted, but keeps its chunk.
+    occurrences = chunks.select("chunk_id", F.explode_outer(tx.words(F.col("text"))).alias("word")).select(
+        "chunk_id", F.when(~word.isin(tx.STOP_WORDS), word).alias("term")
     )
-    counted = known.groupBy("chunk_id", "term_no").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len")
+    counted = (
+        occurrences.join(F.broadcast(vocabulary), "term", "left")
+        .groupBy("chunk_id", "term_no")
+        .agg(F.count("term").cast("int").alias("tf"))
     )
     hit = F.when(F.col("term_no").isNotNull(), F.struct("term_no", "tf"))
     return staged(
-        counted.groupBy("chunk_id").agg(
-            F.first("doc_len").cast("bigint").alias("doc_len"), F.collect_list(hit).alias("hits")
-        )
+        counted.groupBy("chunk_id").agg(F.sum("tf").alias("doc_len"), F.collect_list(hit).alias("hits"))
     )
 
 
