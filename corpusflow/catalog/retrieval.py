@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.catalog import sqlparts as sp
 from corpusflow.catalog.fixtures import chunks, dense_chunks, phrasings, questions, replies, variants, vectors
 from corpusflow.catalog.registry import Tables, query
+from corpusflow.functions.models import hashed_embedding
 from corpusflow.operators import keyword as kw
 from corpusflow.operators import ranking as rk
 from corpusflow.operators.dense import dense_topk, dense_topk_ann
@@ -402,3 +403,13 @@ def corpus_search_function(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT query_id, chunk_id, rank FROM corpus_search")
 
 
+
+
+@query(
+    "text_embedding",
+    f"SELECT doc_id, CASE WHEN len({sp.tok('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_norm, 256 AS dimensions FROM documents",
+)
+def text_embedding(t: Tables) -> DataFrame:
+    embedded = hashed_embedding(t.documents)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    return embedded.select("doc_id", F.round(squares, 4).alias("squared_norm"), F.size("embedding").alias("dimensions"))
