@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.simhash import near_duplicates
 from corpusflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id", "kept")
