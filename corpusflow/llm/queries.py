@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.llm.byte_bpe import encode_decode
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.simhash import near_duplicates
@@ -45,6 +46,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_decode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
