@@ -55,23 +55,19 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(starts, lengths)
 
 
-def mix64(values: np.ndarray, seed: int) -> np.ndarray:
-    """A seeded 64-bit mixer over unsigned 64-bit values."""
+def mix64(values: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """A seeded 64-bit mixer over unsigned 64-bit values; seeds may differ by value."""
     with np.errstate(over="ignore"):
-        z = values.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))
+        step = (np.asarray(seed, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = values.astype(np.uint64) + step
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
 
-def scaled(values: np.ndarray, size: int) -> np.ndarray:
+def scaled(values: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values spread evenly over 0..size-1 (size below 2**31)."""
-    return ((values >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-
-
-def fine_parts(df: DataFrame) -> int:
-    """The number of shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ((values >> np.uint64(32)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def sorted_by_key(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.byte_bpe import encode_decode
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.simhash import near_duplicates
 from corpusflow.session import prepare
@@ -57,6 +58,26 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(
+    "op6_line_dedup",
+    r"""
+    with t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line_no from documents),
+    k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key from t),
+    often as (select line_key, max(doc_id) as last from k where length(line_key) >= 40
+              group by line_key having count(distinct doc_id) >= 5),
+    f as (select k.*, often.last is not null and k.doc_id < often.last as gone from k left join often using (line_key))
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '')) as kept_sha256
+    from f group by doc_id
+    """,
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
