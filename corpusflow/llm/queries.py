@@ -13,6 +13,7 @@ from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.simhash import near_duplicates
+from corpusflow.llm.token_counts import token_counts
 from corpusflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
