@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.byte_bpe import encode_decode
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.license_scan import license_scan
 from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.simhash import near_duplicates
@@ -48,6 +49,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan(table(spark, folder, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
