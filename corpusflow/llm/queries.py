@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.byte_bpe import encode_decode
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.language_id import language_id, model_of
 from corpusflow.llm.license_scan import license_scan
 from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
@@ -55,6 +56,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("spans", F.to_json("spans"))
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id(docs.select("doc_id", "text"), model_of(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
