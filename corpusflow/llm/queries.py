@@ -16,6 +16,7 @@ from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.simhash import near_duplicates
 from corpusflow.llm.token_counts import token_counts
+from corpusflow.llm.warc import warc_round_trip
 from corpusflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,26 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "n_spans")
 
 
+@query(
+    "op3_warc_index",
+    """
+    with t as (select page_id, encode(coalesce(html, '')) as body from pages),
+    g as (select *, sha1(body) as hexed, min(page_id) over (partition by body) as first from t),
+    w as (select *, list_transform(range(8), lambda i: ('0x' || substr(hexed, 5 * i + 1, 5))::bigint) as groups from g)
+    select page_id, octet_length(body) as payload_bytes,
+           list_aggregate(list_transform(range(32), lambda j:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((groups[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1, 1)),
+               'string_agg', '') as payload_digest,
+           case when page_id = first then 'response' else 'revisit' end as record_type,
+           case when page_id <> first then first end as refers_to
+    from w
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
