@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.byte_bpe import encode_decode
+from corpusflow.llm.cover_search import top_products
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.language_id import language_id, model_of
 from corpusflow.llm.license_scan import license_scan
@@ -120,6 +121,21 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query(
+    "op8_exact_topk",
+    """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+               where embedding is not null),
+    s as (select q.vec_id as query_id, d.vec_id as vec_id, list_inner_product(q.e, d.e)::bigint as score
+          from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 10
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(table(spark, folder, "embeddings"))
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
