@@ -12,6 +12,7 @@ skipped or capped.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import slices, whole_text
+from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 
 BITS = 64
@@ -55,14 +57,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str | Column = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, text_hash, fp) per row; ``fp`` is the fingerprint as a signed 64-bit number."""
     body = whole_text(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
 
     def run(batches):
         for batch in slices(batches, 2):
-            found = np.array([fingerprint(b) for b in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(b, shingle) for b in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "text_hash", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp long")
@@ -100,9 +102,9 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int) -> lis
         apart = np.bitwise_count((sample[:, None] ^ sample[None, :]) & mask)
         pairs = max(1, sample.size * (sample.size - 1))
         for e in range(distance + 1):
-            ball = sum(_choose(len(bits), k) for k in range(e + 1))
-            share = max((np.count_nonzero(apart <= e) - sample.size) / pairs, ball / 2 ** len(bits))
-            cost[i, e + 1] = share + ball * 1e-6  # candidates of a fingerprint, and its probes
+            keys = _ball(len(bits), reach(e))
+            share = max((np.count_nonzero(apart <= 2 * reach(e)) - sample.size) / pairs, _ball(len(bits), 2 * reach(e)) / 2 ** len(bits))
+            cost[i, e + 1] = share + keys * 1e-6  # candidates of a fingerprint, and its probes
     total = distance + 1  # of the thresholds, each counted from -1
     best = {0: (0.0, [])}
     for i in range(len(parts)):
@@ -116,31 +118,40 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int) -> lis
     return best[total][1]
 
 
-def _choose(n: int, k: int) -> int:
-    return 1 if k == 0 else _choose(n, k - 1) * (n - k + 1) // k
+def reach(threshold: int) -> int:
+    """How far around its own key each fingerprint is entered: two of them within the threshold share a key."""
+    return (threshold + 1) // 2
+
+
+def _ball(bits: int, radius: int) -> int:
+    return sum(math.comb(bits, k) for k in range(radius + 1))
 
 
 def linked(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges from the least member to the others of every component within ``values``."""
+    """Pairs within ``distance`` that span every component of ``values``, near pairs first (Kruskal)."""
     n = len(values)
-    label = np.arange(n)
     block = max(1, (1 << 22) // n)
     ends = []
     for a in range(0, n, block):
-        near = np.bitwise_count(values[a : a + block, None] ^ values[None, :]) <= distance
-        x, y = np.nonzero(near)
-        x += a
-        ends.append((x[x < y], y[x < y]))
-    x, y = (np.concatenate(e) for e in zip(*ends))
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        before = label.copy()
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return [(int(values[r]), int(values[i])) for i, r in enumerate(label) if i != r]
+        apart = np.bitwise_count(values[a : a + block, None] ^ values[None, :])
+        x, y = np.nonzero(apart <= distance)
+        later = x + a < y
+        x, y = x[later], y[later]
+        ends.append((x + a, y, apart[x, y]))
+    x, y, d = (np.concatenate(e) for e in zip(*ends))
+    order = np.argsort(d, kind="stable")
+    parent = list(range(n))
+    out = []
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        p, q = i, j
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        while parent[q] != q:
+            parent[q] = q = parent[parent[q]]
+        if p != q:
+            parent[q] = p
+            out.append((int(values[i]), int(values[j])))
+    return out
 
 
 def _verify(distance: int):
@@ -170,9 +181,9 @@ def _verify(distance: int):
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints linked by distances of at most ``distance``.
+    """Pairs (a, b) within ``distance`` that connect all fingerprints so linked; near pairs come first.
 
-    ``distinct`` has each fingerprint once in ``fp``. A bucket gives at most one edge per member.
+    ``distinct`` has each fingerprint once in ``fp``. A bucket gives fewer pairs than it has members.
     """
     some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     sample = np.array([r.fp for r in some], dtype=np.int64).view(np.uint64)
@@ -185,18 +196,20 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
         if limit < 0:
             continue
         own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))
-        for k in range(limit + 1):
+        for k in range(reach(limit) + 1):
             for flips in itertools.combinations(bits, k):
                 probe = own.bitwiseXOR(F.lit(signed(sum(1 << b for b in flips))))
                 keys.append(F.struct(F.lit(len(used)).alias("part"), probe.alias("key")))
         used.append(bits)
-    cand = staged(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp"))
+    cand = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp")
+    # With many keys a fingerprint, and bits left that cut no further, buckets stay as they are.
+    refine = max(limits) <= 0
+    cand = staged(cand) if refine else cand
 
     found = None
     for level in range(1, LEVELS + 1):
-        counts = cand.groupBy("part", "key").count()
-        last = level == LEVELS
-        hot = None if last else staged(counts.where(F.col("count") > bucket).select("part", "key"))
+        last = level == LEVELS or not refine
+        hot = None if last else staged(cand.groupBy("part", "key").count().where(F.col("count") > bucket).select("part", "key"))
         dense = not last and hot.limit(1).count() > 0
         cold = cand.join(hot, ["part", "key"], "left_anti") if dense else cand
         lists = cold.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
@@ -255,22 +268,76 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a text (the whole sequence when it has fewer words)."""
+    own = text.lower().split()
+    parts = map(b" ".join, zip(*(own[i:] for i in range(words)))) if len(own) >= words else [b" ".join(own)]
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64)).view(np.int64)
+
+
+def alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, similarity: float, id_column: str, text: str | Column) -> DataFrame:
+    """The ``pairs`` whose texts have a Jaccard similarity of word shingles of at least ``similarity``.
+
+    A fingerprint stands for the text of its head.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = heads.join(ends, "fp").select("fp", F.col("head.id").alias("_id"), F.col("head.text_hash").alias("_hash"))
+    body = whole_text(text)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = rows.join(broadcast_if_small(wanted), same).select("fp", "body")
+
+    def shingles(batches):
+        for batch in slices(batches, 1):
+            own = [shingle_set(b, words) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["fp", "own"])
+
+    def compare(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            good = []
+            for i in range(batch.num_rows):
+                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    sets = staged(texts.mapInArrow(shingles, "fp long, own array<long>").dropDuplicates(["fp"]))
+    met = pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, distance: int = DISTANCE, parts: int = PARTS, id_column: str = "doc_id", text: str | Column = "text"
+    docs: DataFrame,
+    distance: int = DISTANCE,
+    parts: int = PARTS,
+    shingle: int = SHINGLE,
+    similarity: float | None = None,
+    compared: int = 5,
+    id_column: str = "doc_id",
+    text: str | Column = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, fp, component_id, kept.
 
-    ``component_id`` is the smallest id reachable over links of at most
-    ``distance`` differing bits. Null text counts as empty, texts without words
-    have fingerprint zero. One row of each component is kept: that of the
-    smallest id (rows of one id: the one with the smaller text hash; equal rows
-    are kept together). Null ids come last; a component of null ids alone has a
-    null component_id. An empty table gives an empty result.
+    Fingerprints over ``shingle`` words link at ``distance`` differing bits or
+    fewer. With ``similarity``, such a pair counts only if the texts' sets of
+    ``compared``-word shingles have that Jaccard similarity or more; of pairs
+    that connect the same fingerprints the nearest are compared.
+
+    ``component_id`` is the smallest id reachable over links. Null text counts
+    as empty, texts without words have fingerprint zero. One row of each
+    component is kept: that of the smallest id (rows of one id: the one with
+    the smaller text hash; equal rows are kept together). Null ids come last; a
+    component of null ids alone has a null component_id. An empty table gives
+    an empty result.
     """
-    rows = staged(fingerprints(docs, id_column, text))
+    rows = staged(fingerprints(docs, id_column, text, shingle))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "text_hash")
     heads = staged(rows.groupBy("fp").agg(F.min(order).alias("head")))
-    roots = staged(components(links(heads.select("fp"), distance, parts)))
+    found = links(heads.select("fp"), distance, parts)
+    if similarity is not None:
+        found = alike(staged(found), heads, docs, compared, similarity, id_column, text)
+    roots = staged(components(found))
     member = heads.join(roots, "fp").select("fp", "root", "head")
     best = member.groupBy("root").agg(F.min("head").alias("best"))
     moved = staged(member.join(best, "root").select("fp", "best"))
