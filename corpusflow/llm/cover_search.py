@@ -21,6 +21,7 @@ QUERY_EVERY = 100
 QUERY_BLOCK = 8_192
 TREE_ROWS = 8_192
 LEAF = 48
+QUERY_LEAF = 8  # small groups of queries have a worst score worth pruning by
 # A node whose points need more balls of half its radius than this is a leaf:
 # nothing nearer than brute force is to be had there.
 BALLS = 96
@@ -47,8 +48,8 @@ def whole_vectors(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarra
 class CoverTree:
     """Centres, covering radii, children; built from the root down, each level at half the radius."""
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.leaf = points, leaf
         self.center: list[np.ndarray] = []
         self.norm: list[float] = []
         self.radius: list[float] = []
@@ -67,7 +68,7 @@ class CoverTree:
         self.radius.append(radius)
         self.children.append([])
         self.members.append(rows)
-        if len(rows) <= LEAF or radius == 0:
+        if len(rows) <= self.leaf or radius == 0:
             return node
         # Balls of half the radius; a new centre lies outside all earlier balls.
         left = np.arange(len(rows))
@@ -112,7 +113,7 @@ class Search:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.query_ids, self.k = query_ids, k
-        self.tree = CoverTree(queries)
+        self.tree = CoverTree(queries, QUERY_LEAF)
         self.best = Best(len(query_ids), k)
         self.compared = 0  # pairs of vectors whose product was taken
 
