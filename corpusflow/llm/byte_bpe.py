@@ -22,13 +22,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import slices, whole_text, worker_state
+from corpusflow.llm.common import ragged, slices, whole_text, worker_state
 
 # Arcs of the transducer, and different matches, that a worker keeps. Beyond
 # that it starts afresh; results do not depend on it.
-ARCS = 350_000
-MATCHES = 150_000
-ENCODE_BYTES = 8 << 20
+ARCS = 800_000
+MATCHES = 400_000
+ENCODE_BYTES = 2 << 20
 ROOT = 0
 NODE = 24  # bits of a trie node
 NODES = (1 << NODE) - 1
@@ -66,7 +66,7 @@ class Transducer:
 
     def reset(self) -> None:
         self.chain_of: dict[int, int] = {}
-        self.last, self.before = [-1], [-1]
+        self.last, self.before, self.head = [-1], [-1], [-1]
         self.fits: dict[int, bool] = {}
         self.same: dict[int, int] = {}
         start = (0,)
@@ -136,6 +136,8 @@ class Transducer:
             found = self.chain_of[key] = len(self.last)
             self.last.append(token)
             self.before.append(before)
+            # The chain up to the first token after the root.
+            self.head.append(found if self.before[before] < 0 else self.head[before])
         return found
 
     def arc(self, state: int, byte: int) -> int:
@@ -160,9 +162,14 @@ class Transducer:
                 ahead.append(chain << NODE | child)
         ahead.append(closed << NODE)
         emitted: tuple[int, ...] = ()
-        first = ahead[0] >> NODE
-        if self.before[first] >= 0:  # no way is left that starts right after the token emitted last
-            ahead, emitted = self.rebased(ahead)
+        head = self.head
+        first = head[ahead[0] >> NODE]
+        if first >= 0:  # no way is left that starts right after the token emitted last
+            for way in ahead:
+                if head[way >> NODE] != first:
+                    break
+            else:
+                ahead, emitted = self.rebased(ahead)
         same = self.same
         target = tuple([same.setdefault(w, w) for w in ahead])
         number = self.number.get(target)
@@ -192,8 +199,6 @@ class Transducer:
             if tokens.count(tokens[0]) < len(tokens):
                 break
             shared += 1
-        if not shared:
-            return ways, ()
         root = self.root(lists[0][shared - 1])
         out = []
         for way, tokens in zip(ways, lists):
@@ -211,6 +216,7 @@ class Transducer:
             found = self.chain_of[key] = len(self.last)
             self.last.append(token)
             self.before.append(-1)
+            self.head.append(-1)
         return found
 
     def encode(self, match: bytes) -> list[int]:
@@ -331,24 +337,42 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, list[int]] = {}
-        self.shown: dict[str, str] = {}  # the same, as text
-
-    def matches(self, text: str) -> list[str]:
-        """The matches of ``text``, each with its ids in the cache."""
-        found = self.pattern.findall(text)
-        if len(self.ids) > MATCHES:
+        self.number: dict[str, int] = {}
+        self.shown: list[str] = []  # the ids of a match, as text
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+
+    def learn(self, matches: list[str]) -> None:
+        """Encode new matches, in order, so that neighbours share the way through the transducer."""
+        found = [self.transducer.encode(m.encode()) for m in matches]
+        for match in matches:
+            self.number[match] = len(self.number)
+        self.shown += [" ".join(map(str, ids)) for ids in found]
+        sizes = np.array([len(ids) for ids in found], dtype=np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text, as numbers and as decimal numbers joined by one space."""
+        found = [self.pattern.findall(text) for text in texts]
+        if len(self.number) > MATCHES:
             self.clear()
-        for match in set(found).difference(self.ids):
-            ids = self.ids[match] = self.transducer.encode(match.encode())
-            self.shown[match] = " ".join(map(str, ids))
-        return found
-
-    def flat(self, found: list[str]) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(map(self.ids.__getitem__, found)), dtype=np.int64)
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.flat(self.matches(text))
+        new = set(itertools.chain.from_iterable(found)).difference(self.number)
+        if new:
+            self.learn(sorted(new))
+        per_text = np.array([len(f) for f in found], dtype=np.int64)
+        codes = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(found)), dtype=np.int64, count=int(per_text.sum()))
+        sizes = self.sizes[codes]
+        ids = self.ids[np.repeat(self.starts[codes], sizes) + ragged(sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(per_text)])
+        shown, own = self.shown.__getitem__, codes.tolist()
+        cuts = ends.tolist()
+        text_of = [" ".join(map(shown, own[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return np.split(ids, upto[ends[1:-1]]) if texts else [], text_of
 
     def decode(self, ids: np.ndarray, block: int = 1 << 16) -> tuple[bytes, bool]:
         stream, out = self.decoder.stream(), []
@@ -377,11 +401,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "do
         own = codec(path, pattern)
         for batch in slices(batches, 1, ENCODE_BYTES):
             number, hashes, decoded, valid = [], [], [], []
-            for body in batch.column(1).to_pylist():
-                found = own.matches(body)
-                flat = own.flat(found)
+            for flat, shown in zip(*own.encode(batch.column(1).to_pylist())):
                 number.append(len(flat))
-                hashes.append(hashlib.sha256(" ".join(map(own.shown.__getitem__, found)).encode()).hexdigest())
+                hashes.append(hashlib.sha256(shown.encode()).hexdigest())
                 raw, fine = own.decode(flat)
                 decoded.append(hashlib.sha256(raw).hexdigest())
                 valid.append(fine)
