@@ -26,7 +26,11 @@ def texts(t: Tables) -> DataFrame:
 
 
 def marked_up(t: Tables) -> DataFrame:
-    """Documents rewritten as Markdown with front matter, headings and tables."""
+    """Documents as Markdown: front matter, headings and tables are added, and every line is kept.
+
+    Lines go in groups of eight. The markup made from them comes in order, and
+    after its blank line come those lines that the markup does not hold whole.
+    """
 
     def line(l, i):
         return (
@@ -47,7 +51,14 @@ def marked_up(t: Tables) -> DataFrame:
         F.lit("\n- skip: me\nauthor: a"), (F.col("doc_id") % 5).cast("string"), F.lit("\nLANG: "), F.col("lang"),
         F.lit("2\n---\n"),
     )
-    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    def at(i, place):
+        return F.floor(i / 8) * 16 + i % 8 + place
+
+    lines = F.split("text", "\n")
+    made = F.transform(lines, lambda l, i: F.struct(at(i, F.when(i % 8 <= 2, 0).otherwise(8)).alias("at"), line(l, i).alias("line")))
+    own = F.transform(lines, lambda l, i: F.struct(at(i, 3).alias("at"), F.when(i % 32 != 0, l).alias("line")))
+    both = F.array_sort(F.concat(made, F.filter(own, lambda x: x["line"].isNotNull())))
+    body = F.array_join(F.transform(both, lambda x: x["line"]), "\n")
     return t.documents.select("doc_id", F.concat(head, body).alias("text"))
 
 
@@ -56,7 +67,8 @@ raw AS (
   SELECT doc_id, unnest(string_split(text, {NL})) AS l,
          generate_subscripts(string_split(text, {NL}), 1) - 1 AS i FROM documents),
 md AS (
-  SELECT doc_id, i, CASE i % 8
+  SELECT doc_id, i // 8 * 16 + i % 8 + 3 AS i, l AS line FROM raw WHERE i % 32 <> 0 UNION ALL
+  SELECT doc_id, i // 8 * 16 + i % 8 + CASE WHEN i % 8 <= 2 THEN 0 ELSE 8 END, CASE i % 8
     WHEN 1 THEN repeat('#', ((i // 8) % 3 + 1)::INT) || ' ' || left(l, 40)
     WHEN 2 THEN '' WHEN 3 THEN left(l, 20) WHEN 4 THEN '-----'
     WHEN 5 THEN '| k | ' || replace(left(l, 10), '|', '/') || ' |'

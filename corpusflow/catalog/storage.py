@@ -13,7 +13,7 @@ from corpusflow.sources import store as st
 
 @query(
     "chunk_upsert",
-    """WITH old AS (SELECT doc_id AS chunk_id, text, source FROM documents WHERE doc_id % 3 <> 0),
+    """WITH old AS (SELECT doc_id AS chunk_id, text, source FROM documents WHERE doc_id % 15 <> 0),
 new AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN 'v3 ' ELSE 'v2 ' END || text AS text, source FROM documents WHERE doc_id % 5 = 0)
 SELECT * FROM new UNION ALL SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new)""",
 )
@@ -25,7 +25,7 @@ def chunk_upsert(t: Tables) -> DataFrame:
             "chunk_id", F.concat(F.lit(f"v{seq + 1} "), "text").alias("text"), "source", F.lit(seq).alias("seq")
         )
 
-    return st.upsert(chunks.filter("chunk_id % 3 <> 0"), write(1, 5).unionByName(write(2, 10)))
+    return st.upsert(chunks.filter("chunk_id % 15 <> 0"), write(1, 5).unionByName(write(2, 10)))
 
 
 def owned(t: Tables) -> DataFrame:
@@ -64,7 +64,11 @@ def chunks_of_document(t: Tables) -> DataFrame:
     return st.chunks_of(owned(t), 17).drop("document_id")
 
 
-@query("store_count_fingerprint")
+@query(
+    "store_count_fingerprint",
+    """SELECT count(*) AS n_chunks, sum(('0x' || left(md5(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id || ',' ||
+      octet_length(encode(text)) || ':' || text), 15))::BIGINT)::HUGEINT::VARCHAR AS token FROM documents""",
+)
 def store_count_fingerprint(t: Tables) -> DataFrame:
     return st.fingerprint(owned(t), "chunk_id", "text")
 

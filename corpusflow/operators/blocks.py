@@ -50,7 +50,7 @@ def unix_lines(text: Column) -> Column:
 
 
 def _named_entities() -> dict[str, str]:
-    return {f"&{name};": chr(code) for name, code in html.entities.name2codepoint.items() if name != "amp"}
+    return {f"&{name}": value for name, value in html.entities.html5.items() if name.endswith(";") and name != "amp;"}
 
 
 def unescape(text: Column) -> Column:
@@ -60,8 +60,8 @@ def unescape(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#?[A-Za-z0-9]+;"), F.lit(0)))
 
     def character(ref: Column) -> Column:
-        hexed = F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        decimal = F.regexp_extract(ref, "^&#([0-9]{1,7});$", 1)
+        hexed = F.regexp_extract(ref, "^&#[xX]0*([0-9A-Fa-f]{1,6});$", 1)
+        decimal = F.regexp_extract(ref, "^&#0*([0-9]{1,7});$", 1)
         code = F.when(hexed != "", hexed).when(decimal != "", F.conv(decimal, 10, 16))
         return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), table[ref], ref)
 

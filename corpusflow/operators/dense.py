@@ -9,6 +9,7 @@ laid out as a grid of bounded cells instead.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -91,7 +92,7 @@ def _shipped(chunks: DataFrame, queries: DataFrame, k: int, keep_for=None) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, matrix = payload.value
         best = Best(len(ids_q), k)
-        keep = keep_for(matrix) if keep_for is not None else None
+        keep = keep_for(matrix) if keep_for is not None and len(ids_q) else None
         for batch in batches:
             if batch.num_rows == 0 or len(ids_q) == 0:
                 continue
@@ -152,6 +153,7 @@ def dense_topk_ann(
     planes: int = 6,
     radius: int = 2,
     seed: int = 42,
+    max_shipped: int = MAX_SHIPPED_QUERIES,
 ) -> DataFrame:
     """Approximate top ``k``: only chunks whose sign pattern is near the query's.
 
@@ -161,8 +163,6 @@ def dense_topk_ann(
     """
     require_positive(top_k=k)
     left, right = _sides(chunks, queries)
-    if not at_most(right, MAX_SHIPPED_QUERIES):
-        raise ValueError(f"approximate search takes at most {MAX_SHIPPED_QUERIES} questions per batch")
     normals = np.random.default_rng(seed).standard_normal((dimensions, planes))
 
     def keep_for(matrix: np.ndarray):
@@ -175,4 +175,9 @@ def dense_topk_ann(
 
         return keep
 
-    return rank_topk(_shipped(left, right, k, keep_for), k)
+    # Questions go out in blocks of about half the size that may be shipped at once.
+    blocks = -(-2 * right.count() // max_shipped) if not at_most(right, max_shipped) else 1
+    parts = [
+        _shipped(left, right.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, keep_for) for b in range(blocks)
+    ]
+    return rank_topk(functools.reduce(DataFrame.unionByName, parts), k)

@@ -143,9 +143,15 @@ def bm25_scores(
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(part).alias("score"))
         .filter("score > 0")
+        .withColumn("score", rounded("score"))
     )
 
 
+def rounded(score: str) -> Column:
+    """A score at the digits it is ranked by, rounded as the in-task lists round."""
+    return F.rint(F.col(score) * 10.0**RANK_DIGITS) / 10.0**RANK_DIGITS
+
+
 def rank_topk(
     scores: DataFrame, k: int | None, score: str = "score", keys: tuple[str, ...] = ("query_id",)
 ) -> DataFrame:
@@ -235,13 +241,16 @@ def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: f
     return hit_rows.mapInArrow(score, result_schema(chunks))
 
 
+def _term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("term_bucket")
+
+
 def write_index(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
     """Store postings, hashed by term, and the statistics as parquet."""
     spark = chunks.sparkSession
     # A salt inside the term bucket keeps the posting list of a term that
     # occurs in a third of all chunks from becoming one file.
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("term_bucket")
-    postings = term_frequency(chunks).select("*", bucket)
+    postings = term_frequency(chunks).select("*", _term_bucket(buckets))
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, math.isqrt(buckets))))
     (
         postings.repartition("term_bucket", salt)
@@ -250,7 +259,7 @@ def write_index(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
         .partitionBy("term_bucket")
         .parquet(f"{folder}/postings")
     )
-    corpus_stats(doc_lengths(chunks)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    corpus_stats(doc_lengths(chunks)).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
     spark.catalog.refreshByPath(folder)
 
 
@@ -259,7 +268,11 @@ def search_index(spark, folder: str, queries: DataFrame, k: int = 5) -> DataFram
     require_positive(top_k=k)
     stored = spark.read.parquet(f"{folder}/postings")
     stats = spark.read.parquet(f"{folder}/stats")
-    terms = query_terms(queries)
-    vocabulary = terms.select("term").distinct()
-    postings = stored.join(vocabulary, "term", "left_semi").select("chunk_id", "term", "tf", "doc_len")
+    buckets = stats.first()["buckets"]
+    terms = staged(query_terms(queries))
+    vocabulary = terms.select("term", _term_bucket(buckets)).distinct()
+    # At most ``buckets`` numbers: the scan opens only the folders of the questions' terms.
+    wanted = [r["term_bucket"] for r in vocabulary.select("term_bucket").distinct().collect()]
+    hit = stored.filter(F.col("term_bucket").isin(wanted)).join(vocabulary, ["term_bucket", "term"], "left_semi")
+    postings = hit.select("chunk_id", "term", "tf", "doc_len")
     return rank_topk(bm25_scores(postings, stats, terms), k)

@@ -22,38 +22,47 @@ NO_STEPS = "(nothing yet - this is your first step)"
 # End of fixed values --------------------------------------------------------
 
 
-def parentage(runs: DataFrame, max_depth: int = 1024) -> DataFrame:
+def parentage(runs: DataFrame) -> DataFrame:
     """``run_id, root_id, depth`` of every run by pointer doubling.
 
     ``runs``: ``run_id, parent_id`` (NULL for a root). Each round replaces the
     known ancestor by that ancestor's own, so a tree of depth d takes log2(d)
-    rounds; finished runs leave the join, and each round is staged.
+    rounds; finished runs leave the join, and each round is staged. A run whose
+    parent is not in the table is a root. Runs on a circle, or below one, have
+    a NULL root and depth.
     """
-    start = runs.select(
+    present = runs.select(F.col("run_id").alias("parent_id"), F.lit(True).alias("known"))
+    linked = runs.join(present, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")))
+    start = linked.select(
         "run_id",
         F.coalesce("parent_id", "run_id").alias("ancestor"),
         F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"),
         F.col("parent_id").isNull().alias("at_root"),
     )
     state = staged(start)
-    reach = 1
-    while reach <= max_depth:
-        open_rows = state.filter(~F.col("at_root"))
-        if open_rows.isEmpty():
-            break
+    open_left, reach = state.filter(~F.col("at_root")).count(), 1
+    total = None
+    while open_left:
         above = state.select(
             F.col("run_id").alias("ancestor"),
             F.col("ancestor").alias("next"),
             F.col("depth").alias("more"),
             F.col("at_root").alias("top"),
         )
-        moved = open_rows.join(above, "ancestor").select(
+        moved = state.filter(~F.col("at_root")).join(above, "ancestor").select(
             "run_id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"),
             F.col("top").alias("at_root"),
         )
         state = staged(state.filter("at_root").unionByName(moved))
         reach *= 2
-    return state.select("run_id", F.col("ancestor").alias("root_id"), "depth")
+        left = state.filter(~F.col("at_root")).count()
+        # No path is longer than there are runs: what is open after that goes round in circles.
+        if left == open_left:
+            total = state.count() if total is None else total
+            if reach > total:
+                break
+        open_left = left
+    return state.select("run_id", F.when(F.col("at_root"), F.col("ancestor")).alias("root_id"), F.when(F.col("at_root"), F.col("depth")).alias("depth"))
 
 
 def first_positions(rows: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -15,7 +15,10 @@ from corpusflow.sources import files as fi
 from corpusflow.sources import store as st
 
 NO_TEXT = "No text could be extracted: the pages appear to contain no words."
+NO_READER = "No reader for this file type: supply the text of its pages."
 HTML = (".html", ".htm")
+# Admitted formats whose bytes are no text; reading them takes a codec outside this library.
+CODED = (".pdf", ".docx")
 DELIMITED = (".csv", ".tsv")
 
 
@@ -25,7 +28,7 @@ def parsed_blocks(files: DataFrame) -> DataFrame:
     marked = files.withColumn("suffix", suffix)
     pages = marked.filter(F.col("suffix").isin(*HTML)).select("doc_id", F.col("text").alias("html"))
     tables = marked.filter(F.col("suffix").isin(*DELIMITED)).select("doc_id", "text")
-    plain = marked.filter(~F.col("suffix").isin(*HTML, *DELIMITED))
+    plain = marked.filter(~F.col("suffix").isin(*HTML, *DELIMITED, *CODED))
     _, body = bl.front_matter(F.col("text"))
     lines = plain.select("doc_id", body.alias("text"))
     return (
@@ -72,7 +75,9 @@ def ingest(
         status.alias("status"),
         F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"),
         F.coalesce("page_count", F.lit(0)).cast("bigint").alias("page_count"),
-        F.when(rejected, F.col("reject_reason")).when(~duplicate & ~has_chunks, NO_TEXT).alias("failure_reason"),
+        F.when(rejected, F.col("reject_reason"))
+        .when(~duplicate & ~has_chunks, F.when(extension(F.col("filename")).isin(*CODED), NO_READER).otherwise(NO_TEXT))
+        .alias("failure_reason"),
         F.when(duplicate, F.col("canonical_id")).alias("duplicate_of"),
         "content_hash",
     )

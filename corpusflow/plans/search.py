@@ -19,7 +19,6 @@ from corpusflow.operators.keyword import bm25_topk, require_positive
 from corpusflow.operators.sizing import at_most
 from corpusflow.session import staged
 
-MAX_PHRASINGS = 64
 MODES = ("dense", "keyword", "hybrid")
 NO_ANSWER = (
     "I don't know. No relevant information was found in the ingested documents "
@@ -69,25 +68,26 @@ def rankings(
     apart from the text, so that neither half reads the other's columns.
     """
     vectors = chunks if vectors is None else vectors
-    keyed = questions.withColumn(
-        "query_id", F.col("query_id").cast("bigint") * MAX_PHRASINGS + F.col("variant_no")
-    )
+    # One number per phrasing, with as many places per question as the batch needs.
+    places = (questions.agg(F.max("variant_no")).first()[0] or 0) + 1
+    keyed = questions.withColumn("query_id", F.col("query_id").cast("bigint") * places + F.col("variant_no"))
     lists = []
     if cfg.mode in ("dense", "hybrid"):
         hits = rk.similarity_floor(
             dense_topk(vectors, keyed.select("query_id", "embedding"), cfg.candidates), cfg.min_similarity
         )
-        lists.append(_split_key(hits, "dense", cfg.dense_weight if cfg.mode == "hybrid" else 1.0))
+        lists.append(_split_key(hits, places, "dense", cfg.dense_weight if cfg.mode == "hybrid" else 1.0))
     if cfg.mode in ("keyword", "hybrid"):
         hits = bm25_topk(chunks, keyed.select("query_id", "text"), cfg.candidates)
-        lists.append(_split_key(hits, "keyword", cfg.keyword_weight if cfg.mode == "hybrid" else 1.0))
+        lists.append(_split_key(hits, places, "keyword", cfg.keyword_weight if cfg.mode == "hybrid" else 1.0))
     return rk.union_lists(*lists)
 
 
-def _split_key(hits: DataFrame, half: str, weight: float) -> DataFrame:
-    out = hits.withColumn("variant", F.col("query_id") % MAX_PHRASINGS).withColumn(
-        "query_id", F.floor(F.col("query_id") / MAX_PHRASINGS)
-    )
+def _split_key(hits: DataFrame, places: int, half: str, weight: float) -> DataFrame:
+    number = F.lit(places).cast("bigint")
+    out = hits.withColumn("variant", F.pmod("query_id", number)).withColumn(
+        "query_id", F.expr("query_id - variant").cast("bigint")
+    ).withColumn("query_id", F.expr(f"query_id div {places}"))
     return rk.as_list(out, half, F.col("variant"), weight)
 
 

@@ -27,11 +27,17 @@ CP1252_HIGH = bytes(b for b in range(0x80, 0xA0) if chr(b) not in CP1252_UNDEFIN
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """``filename, content, n_bytes`` of every file below ``folder``.
 
-    Spark's file readers pass over files of zero bytes, so those give no row.
+    Spark's file readers pass over files of zero bytes; those come from the
+    listing that every reader makes, as rows with empty content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(
-        F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content", F.col("length").alias("n_bytes")
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("filename")
+    listed = spark.createDataFrame([(path,) for path in files.inputFiles()], "path string")
+    plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^([a-z]+):/+", "$1:/").alias("path")
+    read = files.select(F.regexp_replace("path", "^([a-z]+):/+", "$1:/").alias("path"))
+    empty = listed.select(plain).join(read, "path", "left_anti")
+    return files.select(name, "content", F.col("length").alias("n_bytes")).unionByName(
+        empty.select(name, F.lit(b"").alias("content"), F.lit(0).cast("bigint").alias("n_bytes"))
     )
 
 

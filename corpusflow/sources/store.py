@@ -3,8 +3,9 @@
 A store is a folder of numbered layers: complete snapshots (``b<n>``) and the
 batches written since (``d<n>``). A layer counts once its ``_SUCCESS`` file is
 there, so readers never see half a write and a lost writer leaves the old state
-in place. Reading lays the batches over the snapshot, last write first; a
-writer folds them into a new snapshot when there are many.
+in place. Reading lays the batches over the snapshot, last write first;
+``compact`` folds them into a new snapshot when that is wanted. Numbers are
+claimed by creating a marker file, so two writers never share one.
 """
 
 from __future__ import annotations
@@ -43,9 +44,14 @@ def _layers(spark: SparkSession, folder: str) -> tuple[int | None, list[int]]:
     return base, sorted(n for n in found["d"] if base is None or n > base)
 
 
-def _next(layers: tuple[int | None, list[int]]) -> int:
-    base, batches = layers
-    return max([base or 0, *batches]) + 1
+def _claim(spark: SparkSession, folder: str) -> int:
+    """A layer number that no other writer has."""
+    base, batches = _layers(spark, folder)
+    number = max([base or 0, *batches]) + 1
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    while not fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_claims/{number}")):
+        number += 1
+    return number
 
 
 def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataFrame | None:
@@ -57,7 +63,7 @@ def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataF
     parts = [spark.read.parquet(f"{folder}/d{n}").withColumn("_layer", F.lit(n)) for n in batches]
     written = parts[0]
     for part in parts[1:]:
-        written = written.unionByName(part)
+        written = written.unionByName(part, allowMissingColumns=True)
     if snapshot is None:
         return last_written(written, key, "_layer")
     return upsert(snapshot, written, key, "_layer")
@@ -65,22 +71,24 @@ def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataF
 
 def publish(df: DataFrame, folder: str) -> int:
     """Write ``df`` as a complete snapshot and return its number."""
-    number = _next(_layers(df.sparkSession, folder))
+    number = _claim(df.sparkSession, folder)
     df.write.mode("overwrite").parquet(f"{folder}/b{number}")
     return number
 
 
-def append(batch: DataFrame, folder: str, key: str = "chunk_id", max_batches: int = 16) -> int:
+def append(batch: DataFrame, folder: str) -> int:
     """Write a batch of upserts; its cost does not grow with the store."""
-    spark = batch.sparkSession
-    layers = _layers(spark, folder)
-    number = _next(layers)
+    number = _claim(batch.sparkSession, folder)
     batch.write.mode("overwrite").parquet(f"{folder}/d{number}")
-    if len(layers[1]) + 1 > max_batches:
-        number = publish(read_store(spark, folder, key), folder)
     return number
 
 
+def compact(spark: SparkSession, folder: str, key: str = "chunk_id") -> int | None:
+    """Fold the batches into a new snapshot: a maintenance job, never part of a write."""
+    current = read_store(spark, folder, key)
+    return None if current is None else publish(current, folder)
+
+
 # Rows ----------------------------------------------------------------------------
 
 
@@ -93,7 +101,7 @@ def last_written(batch: DataFrame, key: str, order: str) -> DataFrame:
 def upsert(old: DataFrame, batch: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
     """``old`` with the batch written over it."""
     new = last_written(batch, key, order)
-    return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def delete_documents(chunks: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,10 +121,14 @@ def chunks_of(chunks: DataFrame, document_id) -> DataFrame:
 
 
 def fingerprint(chunks: DataFrame, *columns: str) -> DataFrame:
-    """Count and content token; same content gives the same token in any order."""
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.bit_xor(F.xxhash64(*columns)).alias("token")
-    )
+    """Count and content token; same content gives the same token in any order.
+
+    The token is a sum over rows, so equal rows do not cancel each other out.
+    """
+    parts = [F.concat(F.octet_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")) for c in columns]
+    digest = F.md5(F.concat_ws(",", *(F.coalesce(p, F.lit("null")) for p in parts)))
+    number = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("decimal(38,0)")
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("token"))
 
 
 def pivot_metadata(entries: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,6 +40,6 @@ def compaction_stream(
         moved = compaction_slice(log, marks, limit, trigger).groupBy("conv_id").agg(
             F.max("msg_id").alias("covered_through_id")
         )
-        st.append(moved, f"{folder}/marks", "conv_id")
+        st.append(moved, f"{folder}/marks")
 
     run_batches(messages, handle)

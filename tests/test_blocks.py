@@ -157,6 +157,18 @@ def test_files_are_read_and_judged(spark, tmp_path):
     (tmp_path / "b.exe").write_text("x")
     (tmp_path / "c.md").write_text("")
     got = {r["filename"]: r["reject_reason"] for r in fi.admit(fi.read_files(spark, str(tmp_path))).collect()}
-    assert got == {"a.TXT": None, "b.exe": "Unsupported file type '.exe'."}
-    empty = spark.createDataFrame([("c.md", 0)], "filename string, n_bytes bigint")
-    assert fi.admit(empty).first()["reject_reason"] == "File is empty."
+    assert got == {"a.TXT": None, "b.exe": "Unsupported file type '.exe'.", "c.md": "File is empty."}
+
+
+def test_character_references_of_any_form(one):
+    text = "&apos;&check;&#0000000000065;&#x00000000042;&amp;lt;&notareference;&AMP;"
+    assert one(bl.unescape, text) == "'✓AB&lt;&notareference;&"
+
+
+def test_coded_files_fail_with_a_reason(spark):
+    from corpusflow.plans.ingest import NO_READER, ingest
+
+    rows = [(1, "a.pdf", "%PDF-1.4 words and words", 20), (2, "b.txt", "Some words in a text.", 20)]
+    _, registry = ingest(spark.createDataFrame(rows, "doc_id bigint, filename string, text string, n_bytes bigint"))
+    got = {r["doc_id"]: (r["status"], r["failure_reason"]) for r in registry.collect()}
+    assert got == {1: ("FAILED", NO_READER), 2: ("READY", None)}

@@ -179,9 +179,22 @@ def test_store_layers_upsert_and_fingerprint(spark, tmp_path):
     # A layer without its success mark was never finished.
     (tmp_path / "store" / "d9").mkdir()
     assert {tuple(r) for r in st.read_store(spark, folder).collect()} == rows
-    st.append(spark.createDataFrame([(4, "d")], first.schema), folder, max_batches=2)
+    for i in range(20):  # no write folds the store; compacting it is a job of its own
+        st.append(spark.createDataFrame([(4, f"d{i}")], first.schema), folder)
+    assert len(st._layers(spark, folder)[1]) >= 20
+    st.append(spark.createDataFrame([(5, "e", "x")], "chunk_id int, text string, section string"), folder)
+    after = {(r["chunk_id"], r["text"], r["section"]) for r in st.read_store(spark, folder).collect()}
+    assert after == {(*r, None) for r in rows | {(4, "d19")}} | {(5, "e", "x")}
+    st.compact(spark, folder)
     assert st._layers(spark, folder)[1] == []
-    assert {tuple(r) for r in st.read_store(spark, folder).collect()} == rows | {(4, "d")}
+    assert {(r["chunk_id"], r["text"], r["section"]) for r in st.read_store(spark, folder).collect()} == after
+    twice = spark.createDataFrame([(1, "a"), (1, "a")], first.schema)
+    assert token(twice) != token(first.limit(0))
+
+
+def test_two_writers_never_share_a_layer(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    assert len({st._claim(spark, folder) for _ in range(5)}) == 5
 
 
 def test_attachments(spark):
@@ -197,6 +210,13 @@ def test_run_parentage_of_a_chain(spark):
     assert got == {**{i: (0, i) for i in range(40)}, 100: (100, 0)}
 
 
+def test_run_parentage_of_orphans_and_circles(spark):
+    rows = [(1, None), (2, 1), (5, 99), (6, 5), (10, 11), (11, 12), (12, 10), (13, 12)] + [(1000 + i, 999 + i if i else None) for i in range(1500)]
+    got = {r["run_id"]: (r["root_id"], r["depth"]) for r in ru.parentage(spark.createDataFrame(rows, "run_id bigint, parent_id bigint")).collect()}
+    assert len(got) == len(rows) and got[2] == (1, 1) and got[5] == (5, 0) and got[6] == (5, 1)
+    assert all(got[i] == (None, None) for i in (10, 11, 12, 13)) and got[2499] == (1000, 1499)
+
+
 def test_budget_audit_against_a_walk(spark):
     rng = np.random.default_rng(3)
     rows = [(int(r), f"{r}/{rng.integers(0, 4)}", i) for i, r in enumerate(rng.integers(0, 2, 80))]

@@ -211,3 +211,32 @@ def test_corrective_search_refuses_and_retries(spark):
     cfg = se.Settings(top_k=2, mode="keyword")
     got = {(r["query_id"], r["chunk_id"], r["attempt"]) for r in se.corrective_search(corpus, base, extra, cfg, scorer).collect()}
     assert got == {(1, 0, 1), (2, 1, 2)}
+
+
+def test_any_number_of_phrasings(spark):
+    rows = [(q, v, f"refund{q} word{v}", None) for q in (-1, 0, 1) for v in (0, 63, 64, 200)]
+    questions = spark.createDataFrame(rows, "query_id bigint, variant_no int, text string, embedding array<float>")
+    chunks = docs(spark, ["refund0 word64", "refund1", "word200 only"])
+    got = se.rankings(chunks, questions, se.Settings(mode="keyword", top_k=5)).collect()
+    named = {(r["query_id"], r["chunk_id"]) for r in got}
+    assert named == {(q, c) for q in (-1, 0, 1) for c in (0, 2)} | {(0, 0), (1, 1)}
+
+
+def test_scores_have_the_same_digits_on_every_route(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 30, 40)) for _ in range(60)]
+    questions = asked(spark, "w1 w2 w3", "w4 w5 w5")
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in df.collect())
+    shipped, joined = (rows(kw.bm25_topk(docs(spark, texts), questions, 7, max_shipped=m)) for m in (200_000, 0))
+    kw.write_index(docs(spark, texts), str(tmp_path / "i"), 8)
+    stored = kw.search_index(spark, str(tmp_path / "i"), questions, 7)
+    assert shipped == joined == rows(stored)
+
+
+def test_ann_takes_questions_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    chunks = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(80)], "chunk_id bigint, embedding array<float>")
+    questions = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(25)], "query_id bigint, embedding array<float>")
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in df.collect())
+    whole = rows(de.dense_topk_ann(chunks, questions, 4, dimensions=16))
+    assert whole == rows(de.dense_topk_ann(chunks, questions, 4, dimensions=16, max_shipped=6))
