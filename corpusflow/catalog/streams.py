@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.catalog.conversation import TRIGGER, WINDOW, messages
 from corpusflow.catalog.registry import Tables, query
 from corpusflow.functions.scalars import FRAME_MIME_TYPES
-from corpusflow.plans.ingest import ingest, refresh_postings
+from corpusflow.plans.ingest import ingest
 from corpusflow.session import shared_dir
 from corpusflow.sources import store as st
 from corpusflow.streaming import frames as fr
@@ -249,19 +249,13 @@ def session_stats_stream(t: Tables) -> DataFrame:
     return stats.select("session_id", F.col("w.start").cast("string").alias("start"), "n_frames", "n_sampled")
 
 
-def staged_parts(df: DataFrame, part, n: int, folder: str) -> None:
-    """Write ``df`` as ``n`` files that a stream reads one after another."""
-    for number in range(n):
-        df.filter(part == number).coalesce(1).write.mode("append").parquet(folder)
-
-
 @query("compaction_stream")
 def compaction_stream_marks(t: Tables) -> DataFrame:
     base = f"{shared_dir(t.spark)}/corpusflow-compaction/{uuid.uuid4().hex}"
     rows = messages(t)
-    staged_parts(rows, F.when(F.col("msg_id") <= 4, 0).otherwise(1), 2, f"{base}/in")
-    source = read_file_stream(t.spark, f"{base}/in", "*.parquet", rows.schema, files_per_batch=1)
-    compaction_stream(source, base, WINDOW, TRIGGER)
+    for part in ("msg_id <= 4", "msg_id > 4"):  # the second run goes on where the first ended
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        compaction_stream(read_file_stream(t.spark, f"{base}/in", "*.parquet", rows.schema), base, WINDOW, TRIGGER)
     return st.read_store(t.spark, f"{base}/marks", "conv_id")
 
 
@@ -300,13 +294,11 @@ def ingest_corpus(t: Tables) -> DataFrame:
     return registry.select("doc_id", "status", "duplicate_of", "failure_reason")
 
 
-@query("incremental_ingest")
+@query("incremental_ingest", INGEST_SQL)
 def incremental_ingest(t: Tables) -> DataFrame:
     base = f"{shared_dir(t.spark)}/corpusflow-ingest/{uuid.uuid4().hex}"
     files = files_of(t)
-    staged_parts(files, F.col("doc_id") % 2, 2, f"{base}/in")
-    source = read_file_stream(t.spark, f"{base}/in", "*.parquet", files.schema, files_per_batch=1)
-    ingest_stream(source, base, size=1000, overlap=200)
-    refresh_postings(t.spark, base)
-    postings = st.read_store(t.spark, f"{base}/postings")
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    for part in (1, 0):  # the second run goes on where the first ended
+        files.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        ingest_stream(read_file_stream(t.spark, f"{base}/in", "*.parquet", files.schema), base, size=1000, overlap=200)
+    return st.read_store(t.spark, f"{base}/registry", "doc_id").select("doc_id", "status", "duplicate_of", "failure_reason")

@@ -45,17 +45,21 @@ def ingest(
     overlap: int = 200,
     measure: Measure = CHARACTERS,
     headers: bool = True,
+    known: DataFrame | None = None,
     **strategy_inputs,
 ) -> tuple[DataFrame, DataFrame]:
     """``(chunks, registry)`` of a batch of files.
 
     ``files``: ``doc_id, filename, text, n_bytes``. The same content is
-    ingested once, under its smallest id. Chunks are staged, because they are
+    ingested once, under its smallest id; ``known`` (``doc_id, content_hash``)
+    are documents that are stored already. Chunks are staged, because they are
     stored and counted.
     """
     admitted = fi.admit(files).withColumn("content_hash", F.sha2("text", 256))
     accepted = admitted.filter("reject_reason IS NULL")
-    first = accepted.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
+    owners = accepted.select("doc_id", "content_hash")
+    owners = owners if known is None else owners.unionByName(known.select("doc_id", "content_hash"))
+    first = owners.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
     originals = accepted.join(first, F.col("doc_id") == F.col("canonical_id"), "left_semi")
     sections = bl.section_paths(bl.detect_headings(parsed_blocks(originals)))
     runs = ch.text_runs(sections, size, measure, headers)
@@ -87,15 +91,62 @@ def ingest(
 def store_batch(files: DataFrame, folder: str, **options) -> DataFrame:
     """Ingest a batch into the store below ``folder`` and return its registry rows.
 
-    A batch that is handled twice after a failure writes the same chunks again,
-    which an upsert by chunk id does not notice.
+    The registry, chunks and postings then equal those of one ingest over all
+    files so far, whatever the order of batches: a document that comes again is
+    replaced, content that is stored already is a duplicate, a smaller id takes
+    its content over, and a duplicate whose original changed takes the chunks
+    that were stored for it. Only documents of the batch, and stored ones of
+    the same content, are touched. Handling a batch twice changes nothing.
     """
-    chunks, registry = ingest(files, **options)
-    st.append(chunks, f"{folder}/chunks")
+    spark = files.sparkSession
+    stored = st.read_store(spark, f"{folder}/registry", "doc_id")
+    if stored is None:
+        chunks, registry = ingest(files, **options)
+        changed, added = registry, chunks
+    else:
+        ids = files.select("doc_id").distinct()
+        hashes = files.select(F.sha2("text", 256).alias("content_hash"))
+        left = stored.join(ids, "doc_id", "left_semi").select("content_hash")
+        touched = hashes.unionByName(left).distinct()
+        others = stored.filter("status <> 'REJECTED'").join(ids, "doc_id", "left_anti")
+        others = staged(others.join(touched, "content_hash", "left_semi").select(*stored.columns))
+        chunks, registry = ingest(files, known=others, **options)
+        registry = staged(registry)
+        first = (
+            others.select("doc_id", "content_hash")
+            .unionByName(registry.filter("status <> 'REJECTED'").select("doc_id", "content_hash"))
+            .groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
+        )
+        owner = F.when(F.col("canonical_id") != F.col("doc_id"), F.col("canonical_id"))
+        moved = staged(others.join(first, "content_hash").filter(~F.col("duplicate_of").eqNullSafe(owner)))
+        demoted = moved.filter("canonical_id <> doc_id").select(
+            "doc_id", "filename", F.lit("DUPLICATE").alias("status"), F.lit(0).cast("bigint").alias("chunk_count"),
+            F.lit(0).cast("bigint").alias("page_count"), F.lit(None).cast("string").alias("failure_reason"),
+            F.col("canonical_id").alias("duplicate_of"), "content_hash",
+        )
+        heirs = moved.filter("canonical_id = doc_id").select("doc_id", "filename", "duplicate_of", "content_hash")
+        old = stored.select(F.col("doc_id").alias("duplicate_of"), "status", "chunk_count", "page_count", "failure_reason")
+        promoted = heirs.join(old, "duplicate_of").select(
+            "doc_id", "filename", "status", "chunk_count", "page_count", "failure_reason",
+            F.lit(None).cast(stored.schema["duplicate_of"].dataType).alias("duplicate_of"), "content_hash",
+        )
+        changed = staged(registry.unionByName(demoted).unionByName(promoted))
+        added = staged(chunks.unionByName(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs)))
+    replaced = changed.select("doc_id")
+    counted = term_frequency(added).withColumn("doc_id", F.substring_index("chunk_id", "::", 1).cast(added.schema["doc_id"].dataType))
+    st.append(counted, f"{folder}/postings", replaced)
+    st.append(added, f"{folder}/chunks", replaced)
+    st.append(changed, f"{folder}/registry")
     return registry
 
 
-def refresh_postings(spark, folder: str) -> int:
-    """Count the postings of the current chunks again, as a new snapshot."""
-    chunks = st.read_store(spark, f"{folder}/chunks")
-    return st.publish(term_frequency(chunks), f"{folder}/postings")
+def _inherited(chunks: DataFrame, heirs: DataFrame) -> DataFrame:
+    """The stored chunks of an original, under the id of the document that takes its place."""
+    pairs = heirs.select(F.col("doc_id").alias("_new"), F.col("duplicate_of").alias("doc_id"))
+
+    def renamed(name: str):
+        own = F.concat(F.col("_new").cast("string"), F.expr(f"substring({name}, instr({name}, '::'))"))
+        return F.when(F.col(name) != "", own).otherwise(F.col(name)).alias(name)
+
+    columns = [F.col("_new").alias(c) if c == "doc_id" else renamed(c) if c in ("chunk_id", "parent_id") else F.col(c) for c in chunks.columns]
+    return chunks.join(pairs, "doc_id").select(*columns)

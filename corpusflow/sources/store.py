@@ -3,13 +3,16 @@
 A store is a folder of numbered layers: complete snapshots (``b<n>``) and the
 batches written since (``d<n>``). A layer counts once its ``_SUCCESS`` file is
 there, so readers never see half a write and a lost writer leaves the old state
-in place. Reading lays the batches over the snapshot, last write first;
+in place. A batch may replace whole documents (``x<n>`` names them): what was
+written of them before is gone. Reading lays the batches over the snapshot,
+last write first;
 ``compact`` folds them into a new snapshot when that is wanted. Numbers are
 claimed by creating a marker file, so two writers never share one.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +57,18 @@ def _claim(spark: SparkSession, folder: str) -> int:
     return number
 
 
-def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataFrame | None:
+def _replaced(spark: SparkSession, folder: str, batches: list[int]) -> DataFrame | None:
+    """``doc_id, _gone``: the last batch that replaced each document."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [n for n in batches if fs.exists(path(f"{folder}/x{n}/_SUCCESS"))]
+    if not numbers:
+        return None
+    named = [spark.read.parquet(f"{folder}/x{n}").select("doc_id", F.lit(n).alias("_gone")) for n in numbers]
+    return functools.reduce(DataFrame.unionByName, named).groupBy("doc_id").agg(F.max("_gone").alias("_gone"))
+
+
+def read_store(spark: SparkSession, folder: str, key: str | list[str] = "chunk_id") -> DataFrame | None:
     """The current rows, or None for an empty store."""
     base, batches = _layers(spark, folder)
     snapshot = None if base is None else spark.read.parquet(f"{folder}/b{base}")
@@ -64,6 +78,10 @@ def read_store(spark: SparkSession, folder: str, key: str = "chunk_id") -> DataF
     written = parts[0]
     for part in parts[1:]:
         written = written.unionByName(part, allowMissingColumns=True)
+    gone = _replaced(spark, folder, batches)
+    if gone is not None:
+        written = written.join(gone, "doc_id", "left").filter("_gone IS NULL OR _layer >= _gone").drop("_gone")
+        snapshot = None if snapshot is None else snapshot.join(gone, "doc_id", "left_anti")
     if snapshot is None:
         return last_written(written, key, "_layer")
     return upsert(snapshot, written, key, "_layer")
@@ -76,14 +94,20 @@ def publish(df: DataFrame, folder: str) -> int:
     return number
 
 
-def append(batch: DataFrame, folder: str) -> int:
-    """Write a batch of upserts; its cost does not grow with the store."""
+def append(batch: DataFrame, folder: str, replaced: DataFrame | None = None) -> int:
+    """Write a batch of upserts; its cost does not grow with the store.
+
+    Everything stored of the documents in ``replaced`` (``doc_id``) goes; an
+    empty batch that replaces documents deletes them.
+    """
     number = _claim(batch.sparkSession, folder)
+    if replaced is not None:
+        replaced.select("doc_id").distinct().write.mode("overwrite").parquet(f"{folder}/x{number}")
     batch.write.mode("overwrite").parquet(f"{folder}/d{number}")
     return number
 
 
-def compact(spark: SparkSession, folder: str, key: str = "chunk_id") -> int | None:
+def compact(spark: SparkSession, folder: str, key: str | list[str] = "chunk_id") -> int | None:
     """Fold the batches into a new snapshot: a maintenance job, never part of a write."""
     current = read_store(spark, folder, key)
     return None if current is None else publish(current, folder)
@@ -92,13 +116,14 @@ def compact(spark: SparkSession, folder: str, key: str = "chunk_id") -> int | No
 # Rows ----------------------------------------------------------------------------
 
 
-def last_written(batch: DataFrame, key: str, order: str) -> DataFrame:
+def last_written(batch: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """One row per key: the last write of the batch."""
-    columns = [c for c in batch.columns if c not in (key, order)]
-    return batch.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_row")).select(key, "_row.*")
+    keys = [key] if isinstance(key, str) else key
+    columns = [c for c in batch.columns if c not in (*keys, order)]
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row")).select(*keys, "_row.*")
 
 
-def upsert(old: DataFrame, batch: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
+def upsert(old: DataFrame, batch: DataFrame, key: str | list[str] = "chunk_id", order: str = "seq") -> DataFrame:
     """``old`` with the batch written over it."""
     new = last_written(batch, key, order)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -40,9 +40,8 @@ def run_to_files(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(data)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
-    """Hand every micro-batch to ``handle(batch, batch_id)``."""
-    _, checkpoint = _fresh(stream.sparkSession)
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand every micro-batch that is new since ``checkpoint`` to ``handle(batch, batch_id)``."""
     query = (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
