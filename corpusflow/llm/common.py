@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Texts of one slice of an Arrow batch hold at most so many bytes (a single
 # longer text is a slice of its own), so that a task's memory has a bound.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+# Rows of one Arrow batch between the JVM and a Python worker: texts may be long.
+BATCH_ROWS = 1_000
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:
@@ -29,6 +31,17 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     return getattr(holder, name)
 
 
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """Sessions of the text operators hand over few rows at once, which bounds the memory of workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
+def released() -> None:
+    """Give memory of finished batches back; workers live on and others share the machine."""
+    pa.default_memory_pool().release_unused()
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text column, with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -46,6 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    released()
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:

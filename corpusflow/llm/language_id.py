@@ -29,7 +29,7 @@ WORST = -12.0  # how far a word may speak against a language
 OTHER_SCRIPT = -30.0
 SWITCH = 9.0  # cost of a change of language
 RARE_SCRIPT = 0.005  # share of letters below which a script does not belong to a language
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 
 # First code points of script blocks, in order; "" ends a block.

@@ -32,7 +32,7 @@ ROUNDS = 8
 SHARPNESS = 0.6
 LONG_FIRST = 0.05
 # Bytes of text that a task encodes at once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 # Choices kept for each capacity; configurations are drawn from them.
 CHOICES = 12
 

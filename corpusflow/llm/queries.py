@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.byte_bpe import encode_decode
+from corpusflow.llm.common import with_small_batches
 from corpusflow.llm.cover_search import top_products
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.language_id import language_id, model_of
@@ -26,7 +27,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, folder: fn(prepare(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(with_small_batches(prepare(spark)), folder)
         if sql:
             SQL[name] = sql
         return fn
