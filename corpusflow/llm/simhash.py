@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import slices, whole_text
-from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 
 BITS = 64
@@ -275,38 +274,6 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64)).view(np.int64)
 
 
-def alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, words: int, similarity: float, id_column: str, text: str | Column) -> DataFrame:
-    """The ``pairs`` whose texts have a Jaccard similarity of word shingles of at least ``similarity``.
-
-    A fingerprint stands for the text of its head.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = heads.join(ends, "fp").select("fp", F.col("head.id").alias("_id"), F.col("head.text_hash").alias("_hash"))
-    body = whole_text(text)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = rows.join(broadcast_if_small(wanted), same).select("fp", "body")
-
-    def shingles(batches):
-        for batch in slices(batches, 1):
-            own = [shingle_set(b, words) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["fp", "own"])
-
-    def compare(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = []
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    sets = staged(texts.mapInArrow(shingles, "fp long, own array<long>").dropDuplicates(["fp"]))
-    met = pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-
 def near_duplicates(
     docs: DataFrame,
     distance: int = DISTANCE,
@@ -320,9 +287,9 @@ def near_duplicates(
     """One row per row of ``docs``: id, text_hash, fp, component_id, kept.
 
     Fingerprints over ``shingle`` words link at ``distance`` differing bits or
-    fewer. With ``similarity``, such a pair counts only if the texts' sets of
-    ``compared``-word shingles have that Jaccard similarity or more; of pairs
-    that connect the same fingerprints the nearest are compared.
+    fewer. With ``similarity``, rows link by their texts instead: if the sets of
+    ``compared``-word shingles have that Jaccard similarity or more, however far
+    apart the fingerprints are.
 
     ``component_id`` is the smallest id reachable over links. Null text counts
     as empty, texts without words have fingerprint zero. One row of each
@@ -331,12 +298,17 @@ def near_duplicates(
     component of null ids alone has a null component_id. An empty table gives
     an empty result.
     """
+    if similarity is not None:
+        from corpusflow.llm.set_similarity import similar_texts  # which builds on this module
+
+        named = fingerprints(docs, id_column, text, shingle).distinct().toDF("_id", "_hash", "fp")
+        found = similar_texts(docs, similarity, compared, id_column, text)
+        same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        return found.join(named, same).select(id_column, "text_hash", "fp", "component_id", "kept")
     rows = staged(fingerprints(docs, id_column, text, shingle))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "text_hash")
     heads = staged(rows.groupBy("fp").agg(F.min(order).alias("head")))
     found = links(heads.select("fp"), distance, parts)
-    if similarity is not None:
-        found = alike(staged(found), heads, docs, compared, similarity, id_column, text)
     roots = staged(components(found))
     member = heads.join(roots, "fp").select("fp", "root", "head")
     best = member.groupBy("root").agg(F.min("head").alias("best"))
