@@ -58,3 +58,14 @@ def test_true_pairs_of_a_template_group(spark):
     truth = components_truth(texts, 0.8)
     assert len(set(truth)) > 200 and all(truth[240 + i] == truth[i] for i in range(60))
     assert components_found(spark, texts) == truth
+
+
+def test_equal_fingerprints_are_no_copies(spark):
+    """Texts dominated by one repeated pair of words (la la) have one fingerprint."""
+    rng = random.Random(2)
+    texts = [" ".join([*(f"w{i}x{rng.randrange(10**6)}" for _ in range(60)), *["la"] * 400]) for i in range(6)]
+    texts += [t + " tail" for t in texts[3:]]
+    assert len({simhash.fingerprint(t.encode(), 2) for t in texts[:6]}) < 6
+    truth = components_truth(texts, 0.8)
+    assert truth == [0, 1, 2, 3, 4, 5, 3, 4, 5]
+    assert components_found(spark, texts) == truth
