@@ -1,6 +1,7 @@
 """Near copies by shingle sets against brute force."""
 
 import random
+from collections import Counter
 
 from corpusflow.llm import simhash
 
@@ -69,3 +70,39 @@ def test_equal_fingerprints_are_no_copies(spark):
     truth = components_truth(texts, 0.8)
     assert truth == [0, 1, 2, 3, 4, 5, 3, 4, 5]
     assert components_found(spark, texts) == truth
+
+
+def edited(rng, words, kind, share):
+    new = [f"n{rng.randrange(10**6)}" for _ in range(int(share * len(words)))]
+    if kind == "header":
+        return new + words
+    if kind == "footer":
+        return words + new
+    own = list(words)
+    for at in rng.sample(range(len(words)), len(new) // 9):  # every changed word breaks five shingles, and makes five
+        own[at] = f"c{rng.randrange(10**6)}"
+    return own
+
+
+def test_every_pair_of_every_band_and_kind_of_edit(spark):
+    rng = random.Random(3)
+    pairs = []
+    for kind in ("header", "footer", "scattered"):
+        for n in (100, 400):
+            for share in (0.06, 0.1, 0.15, 0.2, 0.24, 0.28):
+                for _ in range(5):
+                    words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+                    pairs.append((kind, words, edited(rng, words, kind, share)))
+    texts = [" ".join(p[1]) for p in pairs] + [" ".join(p[2]) for p in pairs]
+    found = components_found(spark, texts)
+    near, lost = Counter(), Counter()
+    for i, (kind, _, _) in enumerate(pairs):
+        j = jaccard(shingles(texts[i]), shingles(texts[len(pairs) + i]))
+        together = found[len(pairs) + i] == found[i]
+        if j >= 0.8:
+            near[kind, int(j * 20)] += 1
+            lost[kind, int(j * 20)] += not together
+        else:
+            assert not together, (kind, j)
+    assert all(near[kind, band] for kind in ("header", "footer") for band in (16, 17, 18)) and near["scattered", 16]
+    assert sum(lost.values()) == 0, lost
