@@ -106,3 +106,16 @@ def test_every_pair_of_every_band_and_kind_of_edit(spark):
             assert not together, (kind, j)
     assert all(near[kind, band] for kind in ("header", "footer") for band in (16, 17, 18)) and near["scattered", 16]
     assert sum(lost.values()) == 0, lost
+
+
+def test_crowded_keys(spark):
+    """More texts share every key than meet in one task; some differ from the first text of the key, but not from another."""
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    chain = [base[: 120 - 6 * k] + [f"c{i}" for i in range(6 * k)] for k in range(4)]  # neighbours are alike, ends are not
+    texts = [" ".join([*chain[i % 4], f"own{i}"]) for i in range(1200)]
+    texts += [" ".join([*base[:60], *(f"x{i}y{rng.randrange(10**6)}" for _ in range(20))]) for i in range(300)]
+    first = {k: jaccard(shingles(texts[0]), shingles(texts[k])) for k in range(4)}
+    assert first[1] >= 0.8 > first[3]
+    found = components_found(spark, texts)
+    assert found[:1200] == [0] * 1200 and found[1200:] == list(range(1200, 1500))
