@@ -16,8 +16,12 @@ from corpusflow.llm.language_id import language_id, model_of
 from corpusflow.llm.license_scan import license_scan
 from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.packing import pack
+from corpusflow.llm.periodic import periodic_runs
 from corpusflow.llm.simhash import near_duplicates
+from corpusflow.llm.spelling import spelling_variants
 from corpusflow.llm.token_counts import token_counts
+from corpusflow.llm.toxicity import model_of as toxicity_model
+from corpusflow.llm.toxicity import toxicity
 from corpusflow.llm.warc import warc_round_trip
 from corpusflow.session import prepare
 
@@ -142,3 +146,54 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id", "kept")
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    with recursive crc(t) as (
+        select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end))),
+    runs as (
+        select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+    once as (select doc_id, run, count(*) as k, hex(encode(concat(doc_id, ':', run))) as digits from runs
+             where length(run) >= 7 group by all),
+    hashed as (
+        select run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(digits) // 2),
+               lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint)),
+               lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) as h from once, crc),
+    lost as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+                    else run end as word, k from hashed),
+    w as materialized (select word, sum(k)::bigint as n from lost where length(word) >= 7 group by word having sum(k) >= 2),
+    d as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+                       from w, unnest(range(1, length(word) + 1)) as u(i)),
+    pairs as (
+        select a.word as a, a.n as an, b.word as b, b.n as bn from d a join d b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+        union select w.word, w.n, d.word, d.n from w join d on w.word = d.rest
+        union select d.word, d.n, w.word, w.n from w join d on w.word = d.rest),
+    best as (select a as word, count(*) as n_near, max(bn) as most from pairs group by a),
+    f as materialized (
+        select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 10 * w.n then most end as form_n,
+               case when most >= 10 * w.n then (select min(b) from pairs where a = w.word and bn = most) end as form
+        from w left join best using (word)),
+    chain(word, here) as (
+        select word, word from f union all
+        select c.word, f.form from chain c join f on c.here = f.word where f.form is not null)
+    select f.word, f.form, chain.here as root, f.n, f.n_near, f.form_n
+    from f join chain on f.word = chain.word join f tip on chain.here = tip.word and tip.form is null
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity(docs, toxicity_model(docs, table(spark, folder, "labels").select("doc_id", "toxic")))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs(table(spark, folder, "documents"), repeat_tails=True).drop("runs")
