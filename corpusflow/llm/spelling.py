@@ -38,9 +38,12 @@ MIN_GRAM, MAX_GRAM = 2, 4
 # Grams above this share of all positions are extended: at most so many for each
 # length, with one child per letter, which bounds the dictionary that is shipped.
 FREQUENT = 4_096
-# Longer lists are cut by what is left of the word without one letter.
+# Longer lists are cut by what is left of the word without one letter; those that
+# are too long for one task are cut so before the shuffle.
 CROWD = 64
+TASK_ROWS = 20_000
 LONG_REST = 256
+ODD = 0x9E3779B97F4A7C15  # of the sums that stand for texts
 START, END = 1, 2  # marks around a word
 HEAD, TAIL = 0, 1  # sides: text up to the gram's end, text from its start
 
@@ -232,12 +235,8 @@ def gram_counts(words: DataFrame) -> DataFrame:
 class Grams:
     """The dictionary: sorted grams, their place by rarity, and whether longer ones extend them."""
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, least: float) -> None:
-        order = np.argsort(grams)
-        self.grams, n = grams[order], n[order]
-        self.rank = np.empty(len(order), dtype=np.int64)
-        self.rank[np.lexsort((self.grams, n))] = np.arange(len(order))
-        self.extended = (n > least) & (self.grams < 1 << 8 * (MAX_GRAM - 1))
+    def __init__(self, grams: np.ndarray, rank: np.ndarray, extended: np.ndarray) -> None:
+        self.grams, self.rank, self.extended = grams, rank, extended
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """Row of each gram, or -1."""
@@ -260,7 +259,12 @@ def gram_dictionary(words: DataFrame, frequent: int = FREQUENT) -> Grams:
     parents = counts.where((F.col("n") > least) & (F.col("gram") < 1 << 8 * (MAX_GRAM - 1))).select(F.col("gram").alias("parent"))
     children = counts.join(F.broadcast(parents), F.shiftright("gram", 8) == F.col("parent")).select("gram", "n")
     rows = counts.where(shortest).unionByName(children.where(~shortest)).toArrow()
-    return Grams(rows["gram"].to_numpy(), rows["n"].to_numpy(), least)
+    grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[np.lexsort((grams, n))] = np.arange(len(order))
+    return Grams(grams, rank, (n > least) & (grams < 1 << 8 * (MAX_GRAM - 1)))
 
 
 class Decomposed:
@@ -294,10 +298,18 @@ class Decomposed:
         return order[few], nth[few]
 
 
+def powers_of(most: int) -> np.ndarray:
+    """ODD to the powers 0 to ``most``, as 64-bit numbers."""
+    out = np.full(most + 1, ODD, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out)
+
+
 def context_hashes(m: Marked) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the text before each place, and from each place on, that equal texts share."""
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(int(m.sizes.max()), 0x9E3779B97F4A7C15, dtype=np.uint64)]).astype(np.uint64))
+        powers = powers_of(int(m.sizes.max()))
         value = mix64(m.flat.astype(np.uint64), 3)
         inside = np.arange(len(m.flat)) - m.starts[m.word]
         ahead = np.concatenate([[np.uint64(0)], np.cumsum(value * powers[inside])])
@@ -305,7 +317,9 @@ def context_hashes(m: Marked) -> tuple[np.ndarray, np.ndarray]:
         return ahead, back
 
 
-ENTRY = "key long, word binary, n long, facts long"
+ENTRY = "key long, word binary, n long, facts long, plan long"
+PLAN_CHARS = 61  # longer words have no plan
+NO_PLAN = -1
 
 
 def packed(cut: np.ndarray, affected: np.ndarray, nth: np.ndarray, side: int) -> np.ndarray:
@@ -313,15 +327,23 @@ def packed(cut: np.ndarray, affected: np.ndarray, nth: np.ndarray, side: int) ->
     return (cut << 7 | affected << 4 | nth << 1 | side).astype(np.int64)
 
 
+def plans(word: np.ndarray, inside: np.ndarray, size: np.ndarray, nth: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each word the places and sizes of its rarest grams in one number, a byte each and never zero."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    np.add.at(out, word, np.where(inside < 64, (inside << 2 | size - 1) << 8 * nth, 0))
+    return np.where(sizes <= PLAN_CHARS, out, NO_PLAN)
+
+
 def index_entries(words: DataFrame, grams: Grams) -> DataFrame:
     """Two list entries (text up to the gram, text from the gram on) for each rarest gram of each word."""
-    shipped = words.sparkSession.sparkContext.broadcast(grams)
+    shipped = words.sparkSession.sparkContext.broadcast((grams.grams, grams.rank, grams.extended))
 
     def run(batches):
+        grams = Grams(*shipped.value)
         for table in chunks(batches):
-            d = Decomposed(table["word"].to_pylist(), shipped.value)
+            d = Decomposed(table["word"].to_pylist(), grams)
             m = d.marked
-            chosen, nth = d.rarest(shipped.value.rank)
+            chosen, nth = d.rarest(grams.rank)
             word, place, size = d.word[chosen], d.place[chosen], d.size[chosen]
             affected = d.affected[word]
             ahead, back = context_hashes(m)
@@ -332,133 +354,203 @@ def index_entries(words: DataFrame, grams: Grams) -> DataFrame:
             # The rest of a word is what its mark-free text has after, or before, the cut.
             heads = packed(np.minimum(place + size - start - 1, end - start - 2), affected, nth, HEAD)
             tails = packed(np.maximum(place - start - 1, 0), affected, nth, TAIL)
-            values, counts = table["word"].combine_chunks(), table["n"].combine_chunks()
+            values = [table[c].combine_chunks() for c in ("word", "n")]
+            plan = plans(word, place - start, size, nth, m.sizes)
             # No edit lies before the first mark or after the last one.
             for keys, facts, some in ((head, heads, place + size < end), (tail, tails, place > start)):
                 take = pa.array(word[some])
-                columns = [pa.array(keys[some].view(np.int64)), values.take(take), counts.take(take), pa.array(facts[some])]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "word", "n", "facts"])
+                columns = [pa.array(keys[some].view(np.int64)), *(v.take(take) for v in values)]
+                columns += [pa.array(facts[some]), pa.array(plan[word[some]])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "word", "n", "facts", "plan"])
         released()
 
     return words.select("word", "n").mapInArrow(run, ENTRY)
 
 
-def finer(rest: bytes) -> list[bytes]:
-    """What a rest shares with any rest one edit away: itself, and itself without each one letter.
+# -- merging and checking ----------------------------------------------------
+
+
+class Letters:
+    """A binary Arrow column as one array of bytes with offsets."""
+
+    def __init__(self, words: pa.Array) -> None:
+        n = len(words)
+        self.offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        self.data = np.frombuffer(words.buffers()[2], dtype=np.uint8)
+        self.size = np.diff(self.offsets)
+
+
+def finer_keys(words: pa.Array, keys: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of what the rest of a word shares with any rest one edit away: itself, and itself without each one letter.
 
-    Of long rests, the halves: either one of them stays whole.
+    Few words share one of these. Of rests above LONG_REST, the halves: one of them stays whole.
     """
-    if len(rest) <= LONG_REST:
-        return list({rest[:k] + rest[k + 1 :] for k in range(len(rest))} | {rest})
-    halves = {len(rest) // 2, (len(rest) - 1) // 2}
-    return [side for h in halves for side in (b"<" + rest[:h], b">" + rest[len(rest) - h :])]
+    letters = Letters(words)
+    cut, tail = facts >> 7, (facts & 1).astype(bool)
+    begin = letters.offsets[:-1] + np.where(tail, 0, cut)
+    size = np.where(tail, cut, letters.size - cut)
+    short = np.flatnonzero(size <= LONG_REST)
+    begin, n = begin[short], size[short]
+    row = np.repeat(np.arange(len(short)), n)
+    at = ragged(n)
+    with np.errstate(over="ignore"):
+        powers = powers_of(LONG_REST)
+        less = np.uint64(pow(ODD, -1, 1 << 64))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(letters.data[begin[row] + at].astype(np.uint64), 3) * powers[at])])
+        last = np.cumsum(n)
+        first = last - n
+        here = np.arange(len(row))
+        whole = sums[last] - sums[first]
+        without = (sums[here] - sums[first[row]]) + (sums[last[row]] - sums[here + 1]) * less
+        parent = keys[short].view(np.uint64)
+        found = [mix64(parent ^ mix64(whole, 21), 22), mix64(parent[row] ^ mix64(without, 21), 22)]
+    rows = [short, short[row]]
+    long: list[tuple[int, int]] = []
+    for i in np.flatnonzero(size > LONG_REST).tolist():
+        word, c = words[i].as_py(), int(cut[i])
+        rest = word[:c] if tail[i] else word[c:]
+        for h in {len(rest) // 2, (len(rest) - 1) // 2}:
+            for half in (b"<" + rest[:h], b">" + rest[len(rest) - h :]):
+                long.append((i, xxhash.xxh3_64_intdigest(half, int(keys[i]) & 0xFFFFFFFFFFFFFFFF)))
+    found.append(np.array([k for _, k in long], dtype=np.uint64))
+    rows.append(np.array([i for i, _ in long], dtype=np.int64))
+    every = np.concatenate(found).view(np.int64)
+    order = np.lexsort((every, np.concatenate(rows)))
+    row, key = np.concatenate(rows)[order], every[order]
+    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
+    return row[fresh], key[fresh]
 
 
 def thinned(entries: DataFrame) -> DataFrame:
-    """Entries of crowded lists under finer keys, each of which holds few words."""
-
-    def batch_of(table: pa.Table, keys: list[int], rows: list[int]) -> pa.RecordBatch:
-        take = pa.array(rows, pa.int64())
-        columns = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64))]
-        columns += [table[c].combine_chunks().take(take) for c in ("word", "n", "facts")]
-        return pa.RecordBatch.from_arrays(columns, ["key", "word", "n", "facts"])
+    """Entries of lists that are too long for one task, under finer keys."""
 
     def run(batches):
-        for table in chunks(batches):
-            keys, rows, size = [], [], 0
-            for i, (word, key, fact) in enumerate(zip(*(table[c].to_pylist() for c in ("word", "key", "facts")))):
-                cut = fact >> 7
-                pieces = finer(word[:cut] if fact & 1 else word[cut:])
-                keys.extend(xxhash.xxh3_64_intdigest(piece, key & 0xFFFFFFFFFFFFFFFF) for piece in pieces)
-                rows.extend([i] * len(pieces))
-                size += len(word) * len(pieces)
-                if size > SLICE_BYTES:
-                    yield batch_of(table, keys, rows)
-                    keys, rows, size = [], [], 0
-            if rows:
-                yield batch_of(table, keys, rows)
-
-    return entries.select("word", "key", "n", "facts").mapInArrow(run, ENTRY)
+        for table in chunks(batches, TASK_ROWS):
+            row, key = finer_keys(table["word"].combine_chunks(), table["key"].to_numpy(), table["facts"].to_numpy())
+            for a in range(0, len(row), CHUNK_ROWS):
+                take = pa.array(row[a : a + CHUNK_ROWS])
+                columns = [pa.array(key[a : a + CHUNK_ROWS]), *(table[c].combine_chunks().take(take) for c in names[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-
-# -- merging and checking ----------------------------------------------------
+    names = ["key", "word", "n", "facts", "plan"]
+    return entries.select("word", "key", "n", "facts", "plan").mapInArrow(run, ENTRY)
 
 
 class Packed:
-    """Words of bounded length aligned at both ends, so that common ends are found for many pairs at once."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        self.words = words
-        self.size = np.array([len(w) for w in words])
-        joined = b"".join(w[:MATRIX_CHARS].ljust(MATRIX_CHARS, b"\0") for w in words)
-        self.left = np.frombuffer(joined, dtype=np.uint8).reshape(-1, MATRIX_CHARS)
-        joined = b"".join(w[::-1][:MATRIX_CHARS].ljust(MATRIX_CHARS, b"\0") for w in words)
-        self.right = np.frombuffer(joined, dtype=np.uint8).reshape(-1, MATRIX_CHARS)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """True for the pairs one edit apart; their lengths differ by one at most."""
-        short, long = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+    """Words aligned at both ends, so that common ends are found for many pairs at once."""
+
+    def __init__(self, words: pa.Array) -> None:
+        letters = Letters(words)
+        self.words, self.size = words, letters.size
+        n = np.minimum(letters.size, MATRIX_CHARS)
+        row, at = np.repeat(np.arange(len(n)), n), ragged(n)
+        self.left = np.zeros((len(n), MATRIX_CHARS), dtype=np.uint8)
+        self.left[row, at] = letters.data[letters.offsets[row] + at]
+        self.right = np.zeros((len(n), MATRIX_CHARS), dtype=np.uint8)
+        self.right[row, at] = letters.data[letters.offsets[row + 1] - 1 - at]
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(one edit apart, letters in common at the left end, and at the right end) of pairs.
+
+        Their lengths differ by one at most; words are different.
+        """
+        long = np.maximum(self.size[a], self.size[b])
         head = (self.left[a] != self.left[b]).argmax(axis=1)
         tail = (self.right[a] != self.right[b]).argmax(axis=1)
-        out = head + tail >= long - 1
+        near = head + tail >= long - 1
         for k in np.flatnonzero(long >= MATRIX_CHARS).tolist():
-            out[k] = one_edit(self.words[a[k]], self.words[b[k]])
-        return out
+            near[k], head[k], tail[k] = common_ends(self.words[int(a[k])].as_py(), self.words[int(b[k])].as_py())
+        return near, head, tail
 
 
-def one_edit(a: bytes, b: bytes) -> bool:
-    """Whether two words differ by exactly one letter put in, left out or replaced."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return False
-    short, long = sorted((a, b), key=len)
-    x, y = np.frombuffer(short, dtype=np.uint8), np.frombuffer(long, dtype=np.uint8)
-    differ = np.flatnonzero(x != y[: len(x)])
-    i = int(differ[0]) if len(differ) else len(x)
-    return short[i + (len(a) == len(b)) :] == long[i + 1 :]
+def common_ends(a: bytes, b: bytes) -> tuple[bool, int, int]:
+    """(exactly one letter put in, left out or replaced, letters in common at the left, and at the right)."""
+    n = min(len(a), len(b))
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    ahead, back = np.flatnonzero(x[:n] != y[:n]), np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    head, tail = (int(d[0]) if len(d) else n for d in (ahead, back))
+    return a != b and abs(len(a) - len(b)) <= 1 and head + tail >= max(len(a), len(b)) - 1, head, tail
 
 
-def merged(keys: np.ndarray, words: list[bytes], facts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (a, b) of pairs one edit apart that share a key; ``keys`` are in order.
+def met_before(pack: Packed, plan: np.ndarray, nth: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Whether near words share a list that comes before this one, so that each pair is given once.
+
+    The order is that of the shorter word, or the one that is smaller where they first differ.
+    """
+    at = np.minimum(head, MATRIX_CHARS - 1)
+    turn = (pack.size[a] > pack.size[b]) | ((pack.size[a] == pack.size[b]) & (pack.left[a, at] > pack.left[b, at]))
+    s, t = np.where(turn, b, a), np.where(turn, a, b)
+    length, shift = pack.size[s] + 2, pack.size[t] - pack.size[s]
+    known = (plan[s] != NO_PLAN) & (plan[t] != NO_PLAN)
+    out = np.zeros(len(a), dtype=bool)
+    own = [plan[t] >> 8 * k & 255 for k in range(MAX_GRAM + 1)]
+    for k in range(MAX_GRAM + 1):
+        gram = plan[s] >> 8 * k & 255
+        place, size = gram >> 2, (gram & 3) + 1
+        for which, text, moved in ((HEAD, place + size <= head + 1, gram), (TAIL, place >= length - tail - 1, gram + (shift << 2))):
+            earlier = (k < nth[s]) | ((k == nth[s]) & (which < side[s]))
+            shared = (gram > 0) & text & earlier
+            if shared.any():
+                out |= shared & np.any([o == moved for o in own], axis=0)
+    return out & known
+
+
+def merged(table: pa.Table, keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of ``table`` of pairs one edit apart that share a key; ``keys`` are in order, each for one of ``rows``.
 
     A pair is looked at only where the grams after this one can still reach what
     the bounds of both words leave untouched.
     """
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    last = np.repeat(edges[1:], np.diff(edges))
-    partners = last - np.arange(len(keys)) - 1
-    some = np.flatnonzero(partners)
-    if not len(some):
+    if not len(keys):
+        return
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+    rows = rows[np.repeat(sizes, sizes) > 1]
+    sizes = sizes[sizes > 1]
+    last = np.repeat(np.cumsum(sizes), sizes)
+    if not len(rows):
         return
     # Only words that meet another are packed.
-    shared = np.repeat(np.diff(edges) > 1, np.diff(edges))
-    place = np.cumsum(shared) - 1
-    rows = np.flatnonzero(shared)
-    pack = Packed([words[i] for i in rows.tolist()])
-    nth, affected = facts[rows] >> 1 & 7, facts[rows] >> 4 & 7
+    used, place = np.unique(rows, return_inverse=True)
+    take = pa.array(used)
+    pack = Packed(table["word"].combine_chunks().take(take))
+    facts, plan = table["facts"].to_numpy()[used], table["plan"].to_numpy()[used]
+    side, nth, affected = facts & 1, facts >> 1 & 7, facts >> 4 & 7
     total = pack.size + 1  # grams of a word
     reach, least = total - nth, total - affected
-    parts = np.cumsum(partners[some]) // CHUNK_PAIRS
-    for part in np.split(some, np.flatnonzero(np.diff(parts)) + 1):
+    partners = last - np.arange(len(rows)) - 1
+    parts = np.cumsum(partners) // CHUNK_PAIRS
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(parts)) + 1):
         a = np.repeat(part, partners[part])
         b = a + 1 + ragged(partners[part])
         x, y = place[a], place[b]
         fits = np.abs(pack.size[x] - pack.size[y]) <= 1
         fits &= np.minimum(reach[x], reach[y]) >= np.maximum(least[x], least[y])
         x, y = x[fits], y[fits]
-        close = pack.near(x, y)
-        yield rows[x[close]], rows[y[close]]
+        near, head, tail = pack.ends(x, y)
+        x, y, head, tail = x[near], y[near], head[near], tail[near]
+        once = ~met_before(pack, plan, nth, side, x, y, head, tail)
+        yield used[x[once]], used[y[once]]
 
 
-def near_pairs(entries: DataFrame) -> DataFrame:
-    """(word, near, near_n) in both directions, repeated where words share several keys."""
+def near_pairs(entries: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(word, near, near_n) in both directions; longer words are repeated where they share several keys."""
 
     def pairs_of(table: pa.Table):
-        words, n = table["word"].to_pylist(), table["n"].to_numpy()
-        for a, b in merged(table["key"].to_numpy(), words, table["facts"].to_numpy()):
-            for x, y in ((a, b), (b, a)):
-                value = [[words[i] for i in side.tolist()] for side in (x, y)]
-                columns = [pa.array(value[0], pa.binary()), pa.array(value[1], pa.binary()), pa.array(n[y], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "near", "near_n"])
+        keys = table["key"].to_numpy()
+        sizes = np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+        members = np.repeat(sizes, sizes)
+        few, many = np.flatnonzero(members <= crowd), np.flatnonzero(members > crowd)
+        jobs = [(keys[few], few)]
+        if len(many):
+            words, facts = table["word"].combine_chunks().take(pa.array(many)), table["facts"].to_numpy()[many]
+            row, key = finer_keys(words, keys[many], facts)
+            order = np.argsort(key, kind="stable")
+            jobs.append((key[order], many[row[order]]))
+        word, n = table["word"].combine_chunks(), table["n"].combine_chunks()
+        for own, rows in jobs:
+            for a, b in merged(table, own, rows):
+                both, other = pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))
+                yield pa.RecordBatch.from_arrays([word.take(both), word.take(other), n.take(other)], ["word", "near", "near_n"])
 
     def run(batches):
         held = None
@@ -467,29 +559,30 @@ def near_pairs(entries: DataFrame) -> DataFrame:
             keys = table["key"].to_numpy()
             # The last key may go on in the next rows.
             cut = int(np.searchsorted(keys, keys[-1]))
-            yield from pairs_of(table.slice(0, cut)) if cut else ()
+            if cut:
+                yield from pairs_of(table.slice(0, cut).combine_chunks())
             held = table.slice(cut)
         if held is not None:
-            yield from pairs_of(held)
+            yield from pairs_of(held.combine_chunks())
         released()
 
-    ordered = entries.select("word", "key", "n", "facts").repartition("key").sortWithinPartitions("key")
+    ordered = entries.select("word", "key", "n", "facts", "plan").repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, "word binary, near binary, near_n long")
 
 
-def near_words(words: DataFrame, frequent: int = FREQUENT, crowd: int = CROWD) -> DataFrame:
+def near_words(words: DataFrame, frequent: int = FREQUENT, crowd: int = CROWD, task_rows: int = TASK_ROWS) -> DataFrame:
     """(word, near, near_n): all pairs of ``words`` (word, n) that are one edit apart, in both directions.
 
     Words have at least MIN_CHARS letters and are different.
     """
     grams = gram_dictionary(words, frequent)
     entries = staged(index_entries(words, grams))
-    crowded = staged(entries.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("crowded")))
+    crowded = staged(entries.groupBy("key").count().where(F.col("count") > task_rows).select(F.col("key").alias("crowded")))
     few = broadcast_if_small(crowded)
     same = F.col("key") == F.col("crowded")
     plain = entries.join(few, same, "left_anti")
     cut = thinned(entries.join(few, same, "left_semi"))
-    found = near_pairs(plain.unionByName(cut))
+    found = near_pairs(plain.unionByName(cut), crowd)
     return found.repartition("word").groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
 
@@ -515,6 +608,7 @@ def spelling_variants(
     typo_every: int = TYPO_EVERY,
     frequent: int = FREQUENT,
     crowd: int = CROWD,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """One row per word: word, form, root, n, n_near, form_n.
 
@@ -530,7 +624,7 @@ def spelling_variants(
     if min_chars < MIN_CHARS:
         raise ValueError(f"min_chars must be {MIN_CHARS} at least")
     words = staged(word_counts(docs, id_column, text, min_chars, min_count, typo_every))
-    near = near_words(words, frequent, crowd)
+    near = near_words(words, frequent, crowd, task_rows)
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
     most = -F.col("best.col1")
     taken = most >= dominance * F.col("n")

@@ -279,12 +279,13 @@ def toxicity(
     with both labels counts as 1. If only one class can be learned from, all
     texts are given to it.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # BUCKETS numbers
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text).alias("body"), held_out(id_column).alias("out"))
 
     def run(batches):
+        fitted = Model(*shipped.value)
         for batch in slices(batches, 1, SLICE_BYTES):
-            scores = shipped.value.scores(batch.column(1))
+            scores = fitted.scores(batch.column(1))
             columns = [batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [id_column, "held_out", "score", "predicted"])
         released()
