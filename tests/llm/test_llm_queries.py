@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(QUERIES) <= set(names)
 
 
