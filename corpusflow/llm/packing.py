@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import slices, whole_text
+from corpusflow.llm.common import ragged, slices, whole_text
 from corpusflow.llm.wordbpe import word_tokenizer
 from corpusflow.session import staged
 
@@ -32,7 +32,7 @@ ROUNDS = 8
 SHARPNESS = 0.6
 LONG_FIRST = 0.05
 # Bytes of text that a task encodes at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 # Choices kept for each capacity; configurations are drawn from them.
 CHOICES = 12
 
@@ -176,20 +176,24 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_column: str
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in slices(batches, 1, ENCODE_BYTES):
             ids, number = tokenizer.encode(batch.column(1))
-            ends = np.cumsum(number)
-            columns: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth")}
-            for row, (a, b) in enumerate(zip((ends - number).tolist(), ends.tolist())):
-                own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
-                for piece, start in enumerate(range(0, len(own), capacity)):
-                    part_ids = own[start : start + capacity]
-                    values = (row, piece, start, len(part_ids), zlib.crc32(part_ids.tobytes()), int(seen[len(part_ids)]))
-                    seen[len(part_ids)] += 1
-                    for column, value in zip(columns.values(), values):
-                        column.append(value)
-            row = pa.array(columns.pop("row"), pa.int64())
-            out = [batch.column(0).take(row), pa.array([part] * len(row), pa.int32())]
-            out += [pa.array(c, pa.int32() if k == "piece" else pa.int64()) for k, c in columns.items()]
-            yield pa.RecordBatch.from_arrays(out, ["id", "part", *columns])
+            # The end id goes after the ids of each document.
+            ended = np.insert(ids, np.cumsum(number), END_ID).astype("<u4")
+            total = number + 1
+            cuts = -(-total // capacity)
+            row, piece = np.repeat(np.arange(len(total)), cuts), ragged(cuts)
+            start = piece * capacity
+            length = np.minimum(total[row] - start, capacity)
+            begin = (np.cumsum(total) - total)[row] + start
+            raw = memoryview(ended).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist())]
+            order = np.argsort(length, kind="stable")
+            found, times = np.unique(length[order], return_counts=True)
+            nth = np.empty(len(length), dtype=np.int64)
+            nth[order] = np.repeat(seen[found], times) + ragged(times)
+            seen[found] += times
+            out = [batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), part, dtype=np.int32)), pa.array(piece.astype(np.int32))]
+            out += [pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(out, ["id", "part", "piece", "start", "length", "crc", "nth"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, part int, piece int, start long, length long, crc long, nth long")

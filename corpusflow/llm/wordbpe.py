@@ -44,6 +44,7 @@ class WordTokenizer:
         # The rules above hold for this family of vocabularies only.
         assert model["end_of_word_suffix"] == "</w>" and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.cutter = regex.compile(self.pattern.pattern + r"|\n")
         self.plain = regex.compile(r"[\x21-\x7EÀ-ɏ]+")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         symbols = byte_symbols()
@@ -107,39 +108,68 @@ class WordTokenizer:
                     rank[has, col], made[has, col] = self.ranks(ids[has, col], ids[has, col + 1])
         return out
 
+    def ids_of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and their number; a part with a leading NUL is a whole word for the library."""
+        by_library = [p[0] == "\0" or len(p) > LONGEST for p in parts]
+        plain = [i for i, other in enumerate(by_library) if not other]
+        rest = [i for i, other in enumerate(by_library) if other]
+        found: list[np.ndarray] = [None] * len(parts)
+        for i, ids in zip(plain, self.merge([parts[i].encode() for i in plain]) if plain else []):
+            found[i] = ids
+        given = [parts[i][1:] if parts[i][0] == "\0" else parts[i] for i in rest]
+        for i, e in zip(rest, self.library.encode_batch(given, add_special_tokens=False)):
+            found[i] = np.array(e.ids, dtype=np.int64)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.concatenate([np.zeros(0, dtype=np.int64), *found]).astype(np.uint32), sizes
+
     def learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts into the cache; a part with a leading NUL is a whole word for the library."""
-        plain = [p for p in parts if p[0] != "\0" and len(p) <= LONGEST]
-        other = [p for p in parts if p[0] == "\0" or len(p) > LONGEST]
-        found = self.merge([p.encode() for p in plain])
-        found += [np.array(e.ids, dtype=np.int64) for e in self.library.encode_batch([p[1:] if p[0] == "\0" else p for p in other], add_special_tokens=False)]
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        for p in [*plain, *other]:
-            self.index[p] = len(self.index)
-        self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-
-    def parts(self, word: str) -> list[str]:
-        if self.plain.fullmatch(word) and not ("<|" in word and self.special.search(word)):
-            return self.pattern.findall(word.lower())
-        return ["\0" + word] if word else []
+        """Put the ids of new parts into the cache."""
+        ids, sizes = self.ids_of_parts(parts)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts))))
+
+    def is_plain(self, word: str) -> bool:
+        shown = word.isprintable() if word.isascii() else self.plain.fullmatch(word) is not None
+        return shown and not ("<|" in word and self.special.search(word))
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(different parts, the number of each part of each word, parts per word); all words are cut by one search.
+
+        Words that are not plain are one part with a leading NUL, for the library.
+        """
+        plain = [self.is_plain(w) for w in words]
+        # The newline ends a word and is part of none.
+        found = self.cutter.findall("".join(w + "\n" for w, p in zip(words, plain) if p).lower())
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        different, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        number = np.zeros(len(words), dtype=np.int64)
+        plain = np.array(plain, dtype=bool)
+        if different:
+            ends = np.flatnonzero(code == different.index("\n"))
+            number[plain] = np.diff(ends, prepend=-1) - 1
+            code = np.delete(code, ends)
+        other = [(i, "\0" + words[i]) for i in np.flatnonzero(~plain).tolist() if words[i]]
+        own = np.array([i for i, _ in other], dtype=np.int64)
+        at = (np.cumsum(number) - number)[own]  # before the number of these words is set
+        code = np.insert(code, at, len(different) + np.arange(len(other)))
+        number[own] = 1
+        return different + [p for _, p in other], code, number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their number per text (null: none)."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         words_of = np.diff(split.offsets.to_numpy())
-        cut = [self.parts(w) for w in coded.dictionary.to_pylist()]
-        flat = [p for c in cut for p in c]
+        different, part, number = self.parts(coded.dictionary.to_pylist())
         if len(self.index) > CACHE:
             self.clear()
-        new = [p for p in dict.fromkeys(flat) if p not in self.index]
+        new = [p for p in different if p not in self.index and p != "\n"]
         if new:
             self.learn(new)
         # Parts of words, ids of words, ids of texts.
-        part = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
-        number = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        known = np.fromiter((self.index.get(p, -1) for p in different), dtype=np.int64, count=len(different))
+        part = known[part]
         sizes = self.sizes[part]
         ids = self.flat[np.repeat(self.starts[part], sizes) + ragged(sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
