@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -40,6 +41,10 @@ def with_small_batches(spark: SparkSession) -> SparkSession:
 def released() -> None:
     """Give memory of finished batches back; workers live on and others share the machine."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def whole_text(text: str | Column = "text") -> Column:

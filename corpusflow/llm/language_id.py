@@ -29,7 +29,9 @@ WORST = -12.0  # how far a word may speak against a language
 OTHER_SCRIPT = -30.0
 SWITCH = 9.0  # cost of a change of language
 RARE_SCRIPT = 0.005  # share of letters below which a script does not belong to a language
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+# Different words whose scores a task keeps.
+CACHE = 100_000
 UNKNOWN = "und"
 
 # First code points of script blocks, in order; "" ends a block.
@@ -49,6 +51,7 @@ SCRIPT_NAMES = sorted({name for _, name in _BLOCKS})
 SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in _BLOCKS])
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}\n]+")
+_LETTER = regex.compile(r"\p{L}")
 BREAK = 10
 
 
@@ -65,7 +68,9 @@ class Words:
         self.n = len(different)
         word = np.cumsum(edge) - 1  # of the word that begins after, or goes on at, a position
         letter = ~edge
-        self.letters = np.bincount(word[letter], minlength=self.n)[: self.n]
+        # Marks are read with their word, but a word of marks alone has no letter.
+        own = np.array([bool(_LETTER.search(w)) for w in different])
+        self.letters = np.bincount(word[letter], minlength=self.n)[: self.n] * own
         # Script of each word: that of most of its letters.
         script = SCRIPT_OF[np.maximum(np.searchsorted(SCRIPT_STARTS, code[letter].astype(np.int64), side="right") - 1, 0)]
         table = np.bincount(word[letter] * len(SCRIPT_NAMES) + script, minlength=self.n * len(SCRIPT_NAMES))
@@ -95,9 +100,9 @@ class Words:
     def _add(self, keys: np.ndarray, words: np.ndarray, kind: int) -> None:
         with np.errstate(over="ignore"):
             mixed = (keys + np.uint64(kind)) * np.uint64(0xD6E8FEB86659FD93)
-        bucket = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        bucket = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
         # A border gram belongs to the word after the border, or before it at the end.
-        self.parts.append((bucket, np.minimum(words, self.n - 1)))
+        self.parts.append((bucket, np.minimum(words, self.n - 1).astype(np.int32)))
 
     def totals(self, weight: np.ndarray) -> np.ndarray:
         """Features of all words, each word ``weight`` times."""
@@ -209,17 +214,42 @@ def train(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
     return Model(languages, totals[:, :BUCKETS], totals[:, BUCKETS:])
 
 
-def label_batch(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list[int]]:
+class WordScores:
+    """Scores and letters of the words met so far; a cache that starts afresh beyond its bound."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.languages)))
+        self.letters = np.zeros(0, dtype=np.int64)
+
+    def rows(self, different: list[str]) -> np.ndarray:
+        """Row of each word, those that are new included."""
+        if len(self.index) > CACHE:
+            self.clear()
+        new = [w for w in different if w not in self.index]
+        if new:
+            words = Words(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(words)])
+            self.letters = np.concatenate([self.letters, words.letters])
+        return np.fromiter(map(self.index.__getitem__, different), dtype=np.int64, count=len(different))
+
+
+def label_batch(model: Model, texts: pa.Array, known: WordScores | None = None) -> tuple[list[str], list[float], list[int]]:
     """Language, share of letters in it, and number of spans of each text."""
     n = len(texts)
     codes, different, sizes = coded_words(texts)
     if not different or not model.languages:
         return [UNKNOWN] * n, [0.0] * n, [0] * n
-    words = Words(different)
-    scores = model.word_scores(words)
-    label = viterbi(scores, codes, sizes)
+    known = known or WordScores(model)
+    codes = known.rows(different)[codes]
+    label = viterbi(known.scores, codes, sizes)
     text = np.repeat(np.arange(n), sizes)
-    letters = words.letters[codes]
+    letters = known.letters[codes]
     n_lang = len(model.languages)
     share = np.bincount(text * n_lang + label, weights=letters, minlength=n * n_lang).reshape(n, n_lang)
     total = share.sum(axis=1)
@@ -263,8 +293,9 @@ def language_id(docs: DataFrame, model: Model | None = None, id_column: str = "d
     rows = docs.withColumns({"held_out": held_out(id_column), "_body": whole_text(text)}).select("held_out", "_body", *kept)
 
     def run(batches):
+        known = WordScores(shipped.value)
         for batch in slices(batches, 1, SLICE_BYTES):
-            names, sure, spans = label_batch(shipped.value, batch.column(1))
+            names, sure, spans = label_batch(shipped.value, batch.column(1), known)
             columns = [*batch.columns[2:], batch.column(0), pa.array(names), pa.array(sure), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
