@@ -11,7 +11,7 @@ from corpusflow.catalog.registry import Tables, query
 from corpusflow.functions.models import hashed_embedding
 from corpusflow.operators import keyword as kw
 from corpusflow.operators import ranking as rk
-from corpusflow.operators.dense import dense_topk, dense_topk_ann
+from corpusflow.operators.dense import ann_recall, dense_topk, dense_topk_ann
 from corpusflow.operators.replies import clean_variants
 from corpusflow.plans import search as se
 
@@ -46,12 +46,42 @@ def dense(t: Tables) -> DataFrame:
     return hits.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
-@query("dense_topk_ann")
+# Sketches of 512 signs; a pair is scored when at most 228 of them differ.
+SKETCHED = f"""{sp.CHUNKS},{sp.QUESTIONS},
+planes AS (SELECT j, list(CASE WHEN substr(md5(concat(i, ',', j)), 1, 1) >= '8' THEN 1.0 ELSE -1.0 END ORDER BY i) AS plane
+           FROM range(64) a(i), range(512) b(j) GROUP BY j),
+c_signs AS (SELECT chunk_id, list(list_inner_product(embedding, plane) > 0 ORDER BY j) AS signs
+            FROM chunks, planes WHERE embedding IS NOT NULL GROUP BY chunk_id),
+q_signs AS (SELECT query_id, list(list_inner_product(embedding, plane) > 0 ORDER BY j) AS signs
+            FROM questions, planes WHERE embedding IS NOT NULL GROUP BY query_id),
+near AS (SELECT query_id, chunk_id FROM q_signs q, c_signs c
+         WHERE len(list_filter(list_zip(q.signs, c.signs), lambda s: s[1] <> s[2])) <= 228),
+scored AS (SELECT query_id, chunk_id, list_cosine_similarity(q.embedding, c.embedding) AS score
+           FROM near JOIN questions q USING (query_id) JOIN chunks c USING (chunk_id)),
+ann AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+        FROM scored QUALIFY rank <= 20)"""
+
+
+@query("dense_topk_ann", f"WITH {SKETCHED} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ann")
 def dense_ann(t: Tables) -> DataFrame:
     hits = dense_topk_ann(vectors(t), questions(t), 20)
     return hits.select("query_id", "chunk_id", *r6("score"), "rank")
 
 
+@query(
+    "dense_ann_recall",
+    f"""WITH {SKETCHED},{sp.dense(20, None)},
+seen AS (SELECT query_id, count(*) AS n_scored FROM near GROUP BY 1)
+SELECT dn.query_id, count(*) AS n_true, count(ann.chunk_id) AS n_found, round(count(ann.chunk_id) / count(*), 6) AS recall,
+       any_value(coalesce(n_scored, 0)) AS n_scored
+FROM dn LEFT JOIN ann ON ann.query_id = dn.query_id AND ann.chunk_id = dn.chunk_id LEFT JOIN seen ON seen.query_id = dn.query_id
+GROUP BY 1""",
+)
+def dense_ann_recall(t: Tables) -> DataFrame:
+    found = ann_recall(vectors(t), questions(t).select("query_id", "embedding"), 20)
+    return found.select("query_id", "n_true", "n_found", *r6("recall"), "n_scored")
+
+
 @query(
     "similarity_floor",
     f"WITH {sp.CHUNKS},{sp.QUESTIONS},{sp.dense(20, 0.2)} "

@@ -103,15 +103,25 @@ def test_dense_ties_go_to_the_smaller_id(spark):
     assert as_set(de.dense_topk(chunks, queries, 2)) == {(0, 1, 1), (0, 3, 2)}
 
 
-def test_ann_recall(spark):
-    t = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+@pytest.mark.parametrize("folder,queries", [("sf0.001", 40), ("sf0.1", 200)])
+def test_ann_recall(spark, folder, queries):
+    t = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
     chunks = t.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    queries = t.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {x[:2] for x in as_set(de.dense_topk(chunks, queries, 10))}
-    close = {x[:2] for x in as_set(de.dense_topk_ann(chunks, queries, 10, radius=2))}
-    whole = {x[:2] for x in as_set(de.dense_topk_ann(chunks, queries, 10, radius=6))}
-    assert whole == exact
-    assert len(close & exact) / len(exact) > 0.5
+    asked = t.filter(F.col("vec_id") < queries).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = de.ann_recall(chunks, asked, 10).agg(F.sum("n_true"), F.sum("n_found"), F.sum("n_scored"), F.count("*")).first()
+    assert found[3] == queries and found[1] / found[0] >= 0.9
+    assert found[2] / (queries * chunks.count()) < 0.2
+
+
+def test_ann_with_every_candidate_is_exact(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    chunks = t.select(F.col("vec_id").alias("chunk_id"), "embedding").union(t.limit(1).select(F.lit(-1), F.lit(None)))
+    asked = t.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = as_set(de.dense_topk(chunks, asked, 10))
+    assert as_set(de.dense_topk_ann(chunks, asked, 10, radius=512)) == exact
+    assert as_set(de.dense_topk_ann(chunks, asked, 10, radius=512, max_shipped=7)) == exact
+    assert de.dense_topk_ann(chunks, asked, 10, radius=-1).count() == 0
+    assert de.dense_topk_ann(chunks.limit(0), asked, 10).count() == 0 and de.dense_topk_ann(chunks, asked.limit(0), 10).count() == 0
 
 
 def test_parameters_are_checked(spark):
@@ -238,5 +248,5 @@ def test_ann_takes_questions_in_blocks(spark):
     chunks = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(80)], "chunk_id bigint, embedding array<float>")
     questions = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(25)], "query_id bigint, embedding array<float>")
     rows = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in df.collect())
-    whole = rows(de.dense_topk_ann(chunks, questions, 4, dimensions=16))
-    assert whole == rows(de.dense_topk_ann(chunks, questions, 4, dimensions=16, max_shipped=6))
+    whole = rows(de.dense_topk_ann(chunks, questions, 4))
+    assert whole == rows(de.dense_topk_ann(chunks, questions, 4, max_shipped=6))
