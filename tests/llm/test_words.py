@@ -237,3 +237,22 @@ def test_runs_of_odd_rows(spark, odd):
     assert periodic.periodic_runs(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
         periodic.periodic_runs(odd, exponent=3)
+
+
+# -- language of texts without a letter -----------------------------------------------
+
+
+def test_marks_alone_are_no_letters_and_cached_scores_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    from corpusflow.llm import language_id as li
+
+    model = li.Model(["de", "en"], np.random.default_rng(1).random((2, li.BUCKETS)), np.ones((2, len(li.SCRIPT_NAMES))))
+    texts = pa.array(["́", "123́", "été words", "", "more words of text", "été"])
+    whole = li.label_batch(model, texts)
+    assert whole[0][:2] == ["und", "und"] and whole[1][:2] == [0.0, 0.0] and "und" not in (whole[0][2], whole[0][5])
+    known = li.WordScores(model)
+    monkeypatch.setattr(li, "CACHE", 2)
+    parts = [li.label_batch(model, texts.slice(i, 1), known) for i in range(len(texts))]
+    assert [p[0][0] for p in parts] == whole[0] and [p[2][0] for p in parts] == whole[2]
+    assert np.allclose([p[1][0] for p in parts], whole[1])
