@@ -9,7 +9,8 @@ key is skipped or capped.
 
 Components need no comparison inside themselves: first everyone at a key is
 compared with one member only, then pairs that still lie in different
-components. Keys of many texts meet by joins that are spread over tasks.
+components. Keys of many texts meet by joins that are spread over tasks; a
+sample names the commonest of them, and any other is noticed where it meets.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from corpusflow.session import staged
 # they steer the work only, any order gives the same pairs.
 SAMPLE = 5_000
 COUNTED = 1 << 20
-# A key expected in more texts than this meets by a join spread over tasks.
+# A key in more texts than this meets by a join spread over tasks.
 CROWD = 256
 # Parts that the members of such a key are dealt into.
 SPREAD = 16
-# Bits of a parity bitmap.
+# Bits of the smallest parity bitmap; larger sets have at least a bit for each member.
 BITS = 1024
 # Rows of keys looked at together.
 BLOCK = 1 << 16
@@ -47,9 +48,31 @@ def prefix(size: int, similarity: float) -> int:
 
 
 def parity(own: np.ndarray) -> bytes:
-    """Bit b tells whether an odd number of shingles falls on b; bitmaps differ in no more bits than their sets do in members."""
-    at = (own.view(np.uint64) >> np.uint64(54)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Bit b tells whether an odd number of shingles falls on b; bitmaps differ in no more bits than their sets do in members.
+
+    The number of bits is a power of two that grows with the set, as a full bitmap tells nothing.
+    """
+    bits = max(BITS, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (one a row, whole 64-bit words) brought down to ``width`` words: halves are added without carry."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def bits_apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many bits the bitmaps of each row differ, at the smaller one's number of bits."""
+    wide = [pa.compute.binary_length(c).to_numpy(zero_copy_only=False) // 8 for c in (x, y)]
+    apart = np.zeros(len(x), dtype=np.int64)
+    for a, b in set(zip(*(w.tolist() for w in wide))):
+        at = np.flatnonzero((wide[0] == a) & (wide[1] == b))
+        left, right = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), dtype=np.uint64).reshape(len(at), -1) for c in (x, y))
+        apart[at] = np.bitwise_count(folded(left, min(a, b)) ^ folded(right, min(a, b))).sum(axis=1, dtype=np.int64)
+    return apart
 
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +119,28 @@ def keyed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def meetings(entries: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, star): pairs of ``entries`` (key, u, n, pos) that share a key and may be similar; ``star`` with the first of the key."""
+    """Who meets at the keys of ``entries`` (key, u, n, pos).
+
+    Rows (a, b, star): pairs that share a key and may be similar, ``star`` with
+    the first of the key. Entries of keys of more than ``CROWD`` texts come back
+    as they are (key, u as a, n, pos; b is null), so no task pairs up a crowd.
+    """
     share = similarity / (1 + similarity)
+    names = ["a", "b", "star", "key", "n", "pos"]
+
+    def entered(key, u, n, pos):
+        if len(key):
+            none = pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(u), *none, pa.array(key), pa.array(n), pa.array(pos)], names)
 
     def pairs(key, u, n, pos):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(starts, len(key)))
+        many = np.repeat(lengths > CROWD, lengths)
+        yield from entered(key[many], u[many], n[many], pos[many])
+        key, u, n, pos = (c[~many] for c in (key, u, n, pos))
+        if not len(key):
+            return
         left = n - pos
         first = np.concatenate([[True], key[1:] != key[:-1]])
         at, step = np.flatnonzero(~first) - 1, 1
@@ -109,35 +150,48 @@ def meetings(entries: DataFrame, similarity: float) -> DataFrame:
             i, j = at[good], to[good]
             if i.size:
                 ends = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(first[i])], ["a", "b", "star"])
+                none = pa.nulls(i.size, pa.int64()), pa.nulls(i.size, pa.int32()), pa.nulls(i.size, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(first[i]), *none], names)
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: list[list[np.ndarray]] = []
+        size, passing = 0, None
 
         def flat():
-            return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)]
+            return [np.concatenate(c) for c in zip(*held)]
 
         for batch in batches:
-            if not batch.num_rows:
+            columns = [c.to_numpy() for c in batch.columns]
+            if passing is not None:
+                # More of a crowded key whose first entries have left already.
+                cut = int(np.searchsorted(columns[0], passing, "right"))
+                yield from entered(*(c[:cut] for c in columns))
+                columns = [c[cut:] for c in columns]
+            if not len(columns[0]):
                 continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= BLOCK and held[0].column(0)[0].as_py() != batch.column(0)[-1].as_py():
+            passing = None
+            held.append(columns)
+            size += len(columns[0])
+            if size >= BLOCK:
                 columns = flat()
                 cut = int(np.searchsorted(columns[0], columns[0][-1]))
-                yield from pairs(*(c[:cut] for c in columns))
-                held = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in columns], batch.schema.names)]
-                size = held[0].num_rows
-        if held:
+                if cut:
+                    yield from pairs(*(c[:cut] for c in columns))
+                rest = [c[cut:].copy() for c in columns]
+                if len(rest[0]) > CROWD:
+                    passing = rest[0][0]
+                    yield from entered(*rest)
+                    rest = [c[:0] for c in rest]
+                held, size = [rest], len(rest[0])
+        if size:
             yield from pairs(*flat())
         released()
 
-    found = sorted_by_key(entries, "key", "u").select("key", "u", "n", "pos").mapInArrow(run, "a long, b long, star boolean")
-    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
+    kept = sorted_by_key(entries, "key", "u").select("key", "u", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
+    return kept.mapInArrow(run, "a long, b long, star boolean, key long, n int, pos int")
 
 
 def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
@@ -145,11 +199,9 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame
     most = (1 - similarity) / (1 + similarity)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (2, 3))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(apart <= most * batch.column(4).to_numpy() + 1e-6))
+        for batch in slices(batches, 2):
+            apart = bits_apart(batch.column(2), batch.column(3))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most * batch.column(4).to_numpy() + 1e-6))
 
     left, right = sizes.toDF("a", "n", "x"), sizes.toDF("b", "m", "y")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("both"))
@@ -157,7 +209,11 @@ def possible(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame
 
 
 def alike(pairs: DataFrame, heads: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` whose texts have a Jaccard similarity of word shingles of at least ``similarity``."""
+    """The ``pairs`` whose texts have a Jaccard similarity of word shingles of at least ``similarity``.
+
+    ``rows`` holds each (id, text_hash) once. The sets of b travel to those of
+    a, of which there are few: pairs of a key share its first text.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
     wanted = heads.join(ends, "u").select("u", F.col("head.id").alias("_id"), F.col("head.text_hash").alias("_hash"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
@@ -178,9 +234,11 @@ def alike(pairs: DataFrame, heads: DataFrame, rows: DataFrame, words: int, simil
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = staged(texts.mapInArrow(shingles, "u long, own array<long>").dropDuplicates(["u"]))
-    met = pairs.join(sets.withColumnsRenamed({"u": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"u": "b", "own": "y"}), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    sets = staged(texts.mapInArrow(shingles, "u long, own array<long>"))
+    right = sets.withColumnsRenamed({"u": "b", "own": "y"}).join(broadcast_if_small(pairs), "b")
+    firsts = broadcast_if_small(pairs.select(F.col("a").alias("u")).distinct())
+    left = sets.join(firsts, "u", "left_semi").withColumnsRenamed({"u": "a", "own": "x"})
+    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def crowd_pairs(crowd: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
@@ -220,16 +278,22 @@ def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column:
     repeats = own.select("u").join(heads.select("u"), "u", "left_anti")
     one = own.join(broadcast_if_small(staged(repeats)), "u", "left_anti")
     sizes = one.select("u", "n", "bits")
+    if own.groupBy("id", "text_hash").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id", "text_hash"])
 
     regular = one.select("u", "n", F.posexplode(F.slice("keys", F.lit(1), F.col("few"))).alias("pos", "key"))
     crowd = one.where(F.col("few") < F.size("keys")).select(
         "u", "n", "few", F.posexplode(F.slice("keys", F.col("few") + 1, F.size("keys") - F.col("few"))).alias("pos", "key")
     )
-    crowd = staged(crowd.select("key", "u", "n", (F.col("pos") + F.col("few")).alias("pos")))
-    met = staged(meetings(regular, similarity))
+    found = staged(meetings(regular, similarity))
+    met = staged(found.where("b is not null").groupBy("a", "b").agg(F.max("star").alias("star")))
+    more = found.where("b is null").select("key", F.col("a").alias("u"), "n", "pos")
+    crowd = staged(crowd.select("key", "u", "n", (F.col("pos") + F.col("few")).alias("pos")).unionByName(more))
 
-    first = broadcast_if_small(staged(crowd.groupBy("key").agg(F.min("u").alias("a"))))
-    stars = crowd.join(first, "key").where("a < u").select("a", F.col("u").alias("b")).distinct()
+    first = broadcast_if_small(staged(crowd.groupBy("key").agg(F.min(F.struct("u", "n", "pos")).alias("first"))))
+    share = similarity / (1 + similarity)
+    fits = F.least(F.col("n") - F.col("pos"), F.expr("first.n - first.pos")) >= F.lit(share) * (F.col("n") + F.col("first.n")) - 1e-6
+    stars = crowd.join(first, "key").where(F.col("first.u") < F.col("u")).where(fits).select(F.col("first.u").alias("a"), F.col("u").alias("b")).distinct()
     near = met.where("star").select("a", "b").unionByName(stars).distinct()
     tried = staged(possible(near, sizes, similarity))
     links = staged(alike(tried, heads, rows, words, similarity))

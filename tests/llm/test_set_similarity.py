@@ -3,7 +3,11 @@
 import random
 from collections import Counter
 
-from corpusflow.llm import simhash
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from corpusflow.llm import set_similarity, simhash
 
 
 def shingles(text, words=5):
@@ -119,3 +123,48 @@ def test_crowded_keys(spark):
     assert first[1] >= 0.8 > first[3]
     found = components_found(spark, texts)
     assert found[:1200] == [0] * 1200 and found[1200:] == list(range(1200, 1500))
+
+
+@pytest.mark.parametrize("crowd, block", [(16, 64), (16, 1 << 16), (256, 64)])
+def test_crowded_keys_that_no_sample_shows(spark, monkeypatch, crowd, block):
+    """Keys are found to be crowded where they meet, also when their texts fill several batches."""
+    none = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(set_similarity, "common_shingles", lambda rows, words: (none, none))
+    monkeypatch.setattr(set_similarity, "CROWD", crowd)
+    monkeypatch.setattr(set_similarity, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(60)]
+    chain = [base[: 60 - 4 * k] + [f"c{i}" for i in range(4 * k)] for k in range(3)]
+    texts = [" ".join([*chain[i % 3], f"own{i}"]) for i in range(150)]
+    texts += [" ".join([*base[:20], *(f"x{i}y{rng.randrange(10**6)}" for _ in range(12))]) for i in range(80)]
+    texts += [t + " tail" for t in texts[150:170]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in set_similarity.similar_texts(docs, 0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == components_truth(texts, 0.8)
+
+
+def test_bitmaps_never_differ_in_more_bits_than_their_sets():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 5, 700, 1024, 1025, 3000, 9000):
+        own = rng.integers(-(2**63), 2**63 - 1, size=n, dtype=np.int64)
+        sets += [np.unique(own), np.unique(np.concatenate([own[: n - n // 8], rng.integers(0, 2**62, size=n // 4)]))]
+    pairs = [(x, y) for x in sets for y in sets]
+    maps = [pa.array([set_similarity.parity(p[i]) for p in pairs], pa.binary()) for i in (0, 1)]
+    apart = set_similarity.bits_apart(*maps)
+    true = np.array([len(np.setxor1d(x, y)) for x, y in pairs])
+    assert (apart <= true).all()
+    assert all(apart[i] == 0 for i, (x, y) in enumerate(pairs) if x is y)
+    # Long sets with nothing in common stay apart: their bitmaps are not full.
+    x, y = sets[-2], rng.integers(-(2**63), 2**63 - 1, size=9000, dtype=np.int64)
+    far = set_similarity.bits_apart(*(pa.array([set_similarity.parity(np.unique(v))], pa.binary()) for v in (x, y)))[0]
+    assert far > (1 - 0.8) / (1 + 0.8) * (len(x) + len(y))
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, base), (2, base + " more"), (2, base + " more"), (3, None), (3, ""), (None, base + " of this"), (4, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(tuple(r) for r in set_similarity.similar_texts(docs, 0.8).select("doc_id", "component_id", "kept").collect())
+    assert found == Counter({(1, 1, True): 2, (2, 1, False): 2, (3, 3, True): 2, (None, 1, False): 1, (4, 4, True): 1})
+    assert set_similarity.similar_texts(docs.limit(0), 0.8).count() == 0
