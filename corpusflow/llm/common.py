@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -32,6 +33,20 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     return getattr(holder, name)
 
 
+def forget_worker_state() -> None:
+    """Drop what earlier operators keep in this worker; operators that need much memory of their own begin with it.
+
+    Whoever still wants a value makes it again.
+    """
+    held = vars(sys.modules.get("_corpusflow_worker", types.ModuleType("_corpusflow_worker")))
+    names = [name for name in held if not name.startswith("__")]
+    for name in names:
+        del held[name]
+    if names:
+        gc.collect()
+        released()
+
+
 def with_small_batches(spark: SparkSession) -> SparkSession:
     """Sessions of the text operators hand over few rows at once, which bounds the memory of workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import slices, whole_text
+from corpusflow.llm.common import forget_worker_state, slices, whole_text
 from corpusflow.session import staged
 
 # About so many labelled rows of each language are learned from, chosen by a
@@ -191,6 +191,7 @@ def train(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> Model:
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < share[F.col("lang")]).select("lang", "body")
 
     def run(batches):
+        forget_worker_state()
         totals = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
         for batch in slices(batches, 1, SLICE_BYTES):
             codes, different, sizes = coded_words(batch.column(1))
@@ -293,6 +294,7 @@ def language_id(docs: DataFrame, model: Model | None = None, id_column: str = "d
     rows = docs.withColumns({"held_out": held_out(id_column), "_body": whole_text(text)}).select("held_out", "_body", *kept)
 
     def run(batches):
+        forget_worker_state()
         known = WordScores(shipped.value)
         for batch in slices(batches, 1, SLICE_BYTES):
             names, sure, spans = label_batch(shipped.value, batch.column(1), known)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from corpusflow.llm import byte_bpe, cover_search, exact_dedup, language_id, license_scan, line_dedup, packing, simhash, token_counts, warc, wordbpe
+from corpusflow.llm import byte_bpe, common, cover_search, exact_dedup, language_id, license_scan, line_dedup, packing, simhash, token_counts, warc, wordbpe
 from corpusflow.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -487,3 +487,14 @@ def test_fuse_filter_has_no_false_negatives():
         found = exact_dedup.build_filter(keys)
         assert exact_dedup.may_contain(keys, *found).all()
         assert exact_dedup.may_contain(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64), *found).mean() < 0.01
+
+
+def test_worker_state_is_kept_until_it_is_forgotten():
+    made = []
+    make = lambda: made.append(1) or len(made)
+    common.forget_worker_state()
+    assert [common.worker_state("a", make), common.worker_state("a", make), common.worker_state("b", make)] == [1, 1, 2]
+    common.forget_worker_state()
+    common.forget_worker_state()
+    assert common.worker_state("a", make) == 3
+    common.forget_worker_state()
