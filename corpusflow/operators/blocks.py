@@ -7,13 +7,16 @@ one row of the source table.
 
 from __future__ import annotations
 
+import functools
 import html.entities
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.functions.scalars import pipe_table
+from corpusflow.session import staged
 
 # Fixed values ---------------------------------------------------------------
 SKIPPED_TAGS = ("script", "style", "head", "noscript", "template", "svg")
@@ -49,33 +52,56 @@ def unix_lines(text: Column) -> Column:
 # HTML ------------------------------------------------------------------------
 
 
-def _named_entities() -> dict[str, str]:
-    return {f"&{name}": value for name, value in html.entities.html5.items() if name.endswith(";") and name != "amp;"}
+# References that make up nearly all text, replaced without looking anything up.
+COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0"}
+REFERENCE = "&(?!amp;)#?[A-Za-z0-9]+;"
+
+
+@functools.cache
+def _entity_table() -> str:
+    """JSON of every named reference but ``&amp;``, by its first two letters."""
+    table: dict[str, dict[str, str]] = {}
+    for name, value in html.entities.html5.items():
+        if name.endswith(";") and name != "amp;":
+            table.setdefault(name[:2], {})[f"&{name}"] = value
+    return json.dumps(table)
 
 
 def unescape(text: Column) -> Column:
     """Character references to characters; ``&amp;`` last, so once only."""
-    names = _named_entities()
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#?[A-Za-z0-9]+;"), F.lit(0)))
+    # One literal, parsed once by the optimizer; a reference is sought among those that begin like it.
+    table = F.from_json(F.lit(_entity_table()), "map<string,map<string,string>>")
 
     def character(ref: Column) -> Column:
         hexed = F.regexp_extract(ref, "^&#[xX]0*([0-9A-Fa-f]{1,6});$", 1)
         decimal = F.regexp_extract(ref, "^&#0*([0-9]{1,7});$", 1)
         code = F.when(hexed != "", hexed).when(decimal != "", F.conv(decimal, 10, 16))
-        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), table[ref], ref)
+        numbered = F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), ref)
+        named = F.coalesce(table[F.substring(ref, 2, 2)][ref], ref)
+        return F.when(F.startswith(ref, F.lit("&#")), numbered).otherwise(named)
 
-    replaced = F.aggregate(
-        F.filter(found, lambda ref: ref != "&amp;"), text, lambda acc, ref: F.replace(acc, ref, character(ref))
-    )
-    plain = F.replace(replaced, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    def rarer(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+        return F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, character(ref)))
+
+    # Every reference of the source is found before any is replaced, so that no replacement makes a new one.
+    usual = text
+    for ref, value in COMMON.items():
+        usual = F.replace(usual, F.lit(ref), F.lit(value))
+    others = REFERENCE.replace("amp;", "(?:amp|lt|gt|quot|#39|apos|nbsp);")
+    plain = F.when(F.regexp_like(text, F.lit(others)), rarer(text)).otherwise(usual)
+    return F.when(F.contains(text, F.lit("&")), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def _drop_tags(text: Column) -> Column:
     return F.regexp_replace(text, "</?[A-Za-z!?][^>]*>", "")
 
 
+def _plain(markup: Column) -> Column:
+    """The text of markup. The array of one names the tagless text, which is read several times."""
+    return F.transform(F.array(_drop_tags(markup)), unescape)[0]
+
+
 def _table_text(segment: Column) -> Column:
     """Pipe table of one table's markup; rows without text are left out."""
     marked = F.regexp_replace(segment, r"(?i)<tr\b[^>]*>", ROW)
@@ -84,7 +110,7 @@ def _table_text(segment: Column) -> Column:
         F.split(marked, ROW),
         lambda row: F.transform(
             F.slice(F.split(row, CELL), 2, F.greatest(F.size(F.split(row, CELL)) - 1, F.lit(0))),
-            lambda cell: tx.collapse(unescape(_drop_tags(cell))),
+            lambda cell: tx.collapse(_plain(cell)),
         ),
     )
     return pipe_table(F.filter(rows, lambda row: F.exists(row, lambda cell: cell != "")))
@@ -108,7 +134,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     def part(text: Column) -> Column:
         return F.struct(
             F.left(text, F.lit(1)).cast("int").alias("lv"),
-            tx.collapse(unescape(_drop_tags(F.substring(text, F.lit(2), F.length(text))))).alias("text"),
+            tx.collapse(_plain(F.substring(text, F.lit(2), F.length(text)))).alias("text"),
         )
 
     table = F.array(F.struct(F.lit(None).cast("int").alias("lv"), _table_text(F.col("segment")).alias("text")))
@@ -383,12 +409,15 @@ def boilerplate_key(line: Column) -> Column:
 def without_boilerplate(lines: DataFrame, min_pages: int = 3, share: float = 0.6) -> DataFrame:
     """Drop margin lines that repeat across a group's pages, and page numbers.
 
-    ``lines``: ``group_id, page_id, line_no, line, margin``. Pages per key are
-    counted with partial aggregation on (group, key, page), so a group that
-    holds a third of all pages is still spread over many tasks.
+    ``lines``: ``group_id, page_id, line_no, line, margin`` (null: no margin
+    line). The lines are staged, so what makes them runs once; pages per key
+    are counted with partial aggregation on (group, key, page), so a group that
+    holds a third of all pages is still spread over many tasks. Only margin
+    lines are joined, the others have no key to meet at.
     """
-    keyed = lines.withColumn("key", F.when(F.col("margin"), boilerplate_key(F.col("line"))))
-    per_page = keyed.filter("margin AND key <> ''").select("group_id", "page_id", "key").distinct()
+    lines = staged(lines)
+    keyed = lines.filter("margin").withColumn("key", boilerplate_key(F.col("line")))
+    per_page = keyed.filter("key <> ''").select("group_id", "page_id", "key").distinct()
     seen = per_page.groupBy("group_id", "key").agg(F.count(F.lit(1)).alias("n_seen"))
     pages = lines.select("group_id", "page_id").distinct().groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_pages")
@@ -398,5 +427,6 @@ def without_boilerplate(lines: DataFrame, min_pages: int = 3, share: float = 0.6
         .filter((F.col("n_pages") >= min_pages) & (F.col("n_seen") >= F.col("n_pages") * share))
         .select("group_id", "key")
     )
-    kept = keyed.join(repeated, ["group_id", "key"], "left_anti")
-    return kept.filter(~(F.col("margin") & tx.strip(F.col("line")).rlike(PAGE_NUMBER))).drop("key")
+    number = F.coalesce(tx.strip(F.col("line")).rlike(PAGE_NUMBER), F.lit(False))
+    kept = keyed.filter(~number).join(repeated, ["group_id", "key"], "left_anti").select(*lines.columns)
+    return kept.unionByName(lines.filter(~F.coalesce("margin", F.lit(False))))
