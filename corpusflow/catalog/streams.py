@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from corpusflow.sources import store as st
 from corpusflow.streaming import frames as fr
 from corpusflow.streaming import rules
 from corpusflow.streaming.ingest import compaction_stream, ingest_stream
-from corpusflow.streaming.sinks import read_file_stream, run_to_files
+from corpusflow.streaming.sinks import read_file_stream, run_counting_late, run_to_files
 
 INTERVAL = 6 * 3600.0
 TTL = 8 * 3600.0
@@ -204,8 +205,44 @@ def event_file_stream(t: Tables) -> DataFrame:
     return run_to_files(frames_stream(t)).select("session_id", "frame_id", "t", "event_type", "summary")
 
 
-def stateful(t: Tables, processor: fr.FrameSessions) -> DataFrame:
-    return run_to_files(fr.frame_stream(frames_stream(t), processor))
+# Frames reach the stream up to an hour late and out of order, in slices by arrival.
+DISORDER = 3600.0
+SLICES = 3
+FILES_PER_BATCH = 4
+
+
+def shuffled_stream(t: Tables, ends: str | None = None, invalid: str | None = None) -> tuple[DataFrame, str]:
+    """All frames in order of a disturbed arrival time, and the delay that covers the disorder.
+
+    Two heartbeats at the end move the watermark past everything. ``ends`` and
+    ``invalid`` name the event types that end a session or are no valid frame.
+    Files of one slice may be read in any order, so the delay spans a slice.
+    """
+    folder = f"{shared_dir(t.spark)}/corpusflow-arrivals/{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    rows = frames(t).withColumns({"valid": kind != F.lit(invalid or ""), "is_end": kind == F.lit(ends or "")})
+    arrival = F.col("t") + F.pmod(F.xxhash64("frame_id"), F.lit(int(DISORDER)))
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
+    low, high = low or 0.0, high or 0.0
+    width = (high - low) / SLICES or 1.0
+    number = F.least(F.floor((arrival - low) / width), F.lit(SLICES - 1))
+    for n in range(SLICES):
+        rows.filter(number == n).write.mode("append").parquet(folder)
+    after = high + width + DISORDER + 2 * TTL
+    beat = (F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.timestamp_seconds(F.lit(after)), F.lit(after),
+            F.lit("heartbeat"), F.lit(""), F.lit(False), F.lit(False))
+    for _ in range(2):
+        t.spark.range(1).select(*(c.alias(name) for c, name in zip(beat, rows.columns))).write.mode("append").parquet(folder)
+    stream = read_file_stream(t.spark, folder, "*.parquet", rows.schema, FILES_PER_BATCH)
+    return stream, f"{math.ceil(width + DISORDER)} seconds"
+
+
+def stateful(t: Tables, processor: fr.FrameSessions, ends: str | None = None) -> DataFrame:
+    stream, delay = shuffled_stream(t, ends)
+    out, late = run_counting_late(fr.frame_stream(stream, processor, delay))
+    if late:
+        raise RuntimeError(f"{late} frames came more than {delay} late")
+    return out
 
 
 @query("interval_sample_stream", f"WITH RECURSIVE {GREEDY} SELECT session_id, frame_id FROM walk WHERE kept")
@@ -235,18 +272,21 @@ def session_context_stream(t: Tables) -> DataFrame:
     f"WITH {ENDED} SELECT session_id, frame_id FROM after_end WHERE (n - 1) % {EVERY} = 0",
 )
 def session_end_stream(t: Tables) -> DataFrame:
-    marked = frames_stream(t).withColumn("is_end", F.col("event_type") == "error")
-    out = run_to_files(fr.frame_stream(marked, fr.FrameSessions("frame_count", every=EVERY, ttl=None)))
+    out = stateful(t, fr.FrameSessions("frame_count", every=EVERY, ttl=None), ends="error")
     return out.filter("sampled").select("session_id", "frame_id")
 
 
-@query("session_stats_stream")
+@query(
+    "session_stats_stream",
+    f"""WITH {FRAMES}, v AS (SELECT * FROM frames WHERE event_type <> 'error'),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id ORDER BY t, frame_id) < 300 THEN 0 ELSE 1 END AS o FROM v),
+s AS (SELECT *, sum(o) OVER (PARTITION BY session_id ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT session_id, min(t) AS start, count(*) AS n_frames, count(*) FILTER (frame_id % 2 = 0) AS n_sampled FROM s GROUP BY session_id, no""",
+)
 def session_stats_stream(t: Tables) -> DataFrame:
-    valid = frames_stream(t).withColumns(
-        {"valid": F.col("event_type") != "error", "sampled": F.col("frame_id") % 2 == 0}
-    )
-    stats = run_to_files(fr.session_stats_stream(valid))
-    return stats.select("session_id", F.col("w.start").cast("string").alias("start"), "n_frames", "n_sampled")
+    stream, delay = shuffled_stream(t, invalid="error")
+    stats = run_to_files(fr.session_stats_stream(stream.withColumn("sampled", F.col("frame_id") % 2 == 0), delay=delay))
+    return stats.select("session_id", (F.unix_micros("w.start") / 1e6).alias("start"), "n_frames", "n_sampled")
 
 
 @query("compaction_stream")

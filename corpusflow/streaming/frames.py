@@ -189,18 +189,26 @@ def recent_context(
 
 # Stream ---------------------------------------------------------------------------
 
-STATE = (
-    "last_kept double, seen bigint, last_active double, held array<string>"
-)
+STATE = "last_kept double, seen bigint, last_active double, held array<string>, due bigint"
+PENDING = "t double, frame_id bigint, summary string, is_end boolean"
 OUTPUT = "session_id bigint, frame_id bigint, sampled boolean, context string"
 
 
-class FrameSessions(StatefulProcessor):
-    """Sampler, context buffer and expiry of one session, kept in one state row.
+def _micros(t: float) -> int:
+    return round(t * 1e6)
+
 
-    Input: ``session_id, frame_id, t, summary, valid, is_end``. An invalid
-    frame touches nothing; an end event, or a pause longer than ``ttl``, clears
-    the state, so the next frame is sampled at once.
+class FrameSessions(StatefulProcessor):
+    """Sampler, context buffer and expiry of one session, in order of event time.
+
+    Input: ``session_id, frame_id, t, summary, valid, is_end``, ``t`` being the
+    event time in seconds. Rows wait in the session's state until the watermark
+    has passed them and are then applied by time and frame id, whatever order
+    they came in; what is waiting of a session never spans more than the delay
+    of the watermark. One timer a session stands at its first waiting row, or
+    at the end of its lifetime. An invalid frame touches nothing; an end event,
+    or a pause longer than ``ttl``, clears the session, so the next frame is
+    sampled at once.
     """
 
     def __init__(
@@ -215,63 +223,106 @@ class FrameSessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("session", STATE)
-
-    def _due(self, t: float, last_kept: float | None, seen: int) -> bool:
-        if self.strategy == "interval":
-            return last_kept is None or t - last_kept >= self.interval
-        return (seen - 1) % self.every == 0
+        self.pending = handle.getListState("pending", PENDING)
+
+    def _load(self) -> tuple:
+        if not self.state.exists():
+            return None, 0, None, [], None
+        last_kept, seen, last_active, held, due = self.state.get()
+        return last_kept, seen, last_active, list(held or []), due
+
+    def _wake(self, due: int | None, at: int | None) -> int | None:
+        """Keep one timer, at the millisecond ``at``."""
+        if at != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if at is not None:
+                self.handle.registerTimer(at)
+        return at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.state.get() if self.state.exists() else None
-        last_kept, seen, last_active, held = (None, 0, None, [])
-        if stored is not None:
-            last_kept, seen, last_active, held = stored[0], stored[1], stored[2], list(stored[3] or [])
-        frames = pd.concat(list(rows)).sort_values(["t", "frame_id"])
-        out = []
-        for frame_id, t, summary, valid, is_end in frames[
-            ["frame_id", "t", "summary", "valid", "is_end"]
-        ].itertuples(index=False, name=None):
-            if not valid:
+        first = None
+        for frames in rows:
+            frames = frames[frames["valid"].astype(bool)]
+            if frames.empty:
                 continue
+            times, ids = frames["t"].astype(float).tolist(), frames["frame_id"].astype(int).tolist()
+            texts = frames["summary"].astype(object).where(frames["summary"].notna(), None).tolist()
+            self.pending.appendList(list(zip(times, ids, texts, frames["is_end"].astype(bool).tolist())))
+            first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            *session, due = self._load()
+            at = _micros(first) // 1000
+            # A timer that stands earlier finds these rows as well.
+            due = due if due is not None and due <= at else self._wake(due, at)
+            self.state.update((*session, due))
+        yield self._rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Apply what the watermark has passed; drop a session that stayed idle past its lifetime."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        *session, due = self._load()
+        ready, later = [], []
+        for row in self.pending.get() if self.pending.exists() else ():
+            (ready if _micros(row[0]) <= watermark * 1000 else later).append(tuple(row))
+        session, out = self._apply(key[0], session, sorted(ready, key=lambda row: row[:2]))
+        last_active = session[2]
+        if later:
+            if ready:
+                self.pending.put(later)
+            at = min(_micros(row[0]) for row in later) // 1000
+        else:
+            self.pending.clear()
+            at = None if last_active is None or self.ttl is None else _micros(last_active + self.ttl) // 1000 + 1
+        # A row at the watermark's own millisecond waits for its next move.
+        at = None if at is None else max(at, watermark + 1) if later else at
+        idle = last_active is None or (self.ttl is not None and _micros(last_active + self.ttl) <= watermark * 1000)
+        if idle and not later:
+            self.state.clear()
+        else:
+            session = (None, 0, None, []) if idle else session
+            if at is not None:
+                self.handle.registerTimer(at)
+            self.state.update((*session, at))
+        yield self._rows(out)
+
+    def _apply(self, session_id: int, session: list, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        last_kept, seen, last_active, held = session
+        out = []
+        for t, frame_id, summary, is_end in rows:
             expired = self.ttl is not None and last_active is not None and t - last_active > self.ttl
             if expired or is_end:
                 last_kept, seen, last_active, held = None, 0, None, []
             if is_end:
                 continue
-            last_active = t
-            seen += 1
-            sampled = self._due(t, last_kept, seen)
+            last_active, seen = t, seen + 1
+            if self.strategy == "interval":
+                sampled = last_kept is None or t - last_kept >= self.interval
+            else:
+                sampled = (seen - 1) % self.every == 0
             context = "\n".join(f"Frame {i}: {s}" for i, s in enumerate(held, 1)) if sampled else ""
             if sampled:
-                last_kept = t
-                held = [*held, summary][-self.size :]
-            out.append((key[0], frame_id, sampled, context))
-        if last_active is None:
-            self.state.clear()
-        else:
-            self.state.update((last_kept, seen, last_active, held))
-            watermark = timerValues.getCurrentWatermarkInMs()
-            if self.ttl is not None and watermark >= 0:
-                due = int((last_active + self.ttl) * 1000) + 1
-                self.handle.registerTimer(max(due, watermark + 1))
-        yield pd.DataFrame(out, columns=["session_id", "frame_id", "sampled", "context"])
+                last_kept, held = t, [*held, summary][-self.size :]
+            out.append((session_id, frame_id, sampled, context))
+        return (last_kept, seen, last_active, held), out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Drop the state of a session that stayed idle past its lifetime."""
-        if self.state.exists():
-            last_active = self.state.get()[2]
-            if int((last_active + self.ttl) * 1000) < timerValues.getCurrentWatermarkInMs():
-                self.state.clear()
-        yield pd.DataFrame({"session_id": [], "frame_id": [], "sampled": [], "context": []}).astype(
-            {"session_id": "int64", "frame_id": "int64", "sampled": "bool", "context": "str"}
-        )
+    @staticmethod
+    def _rows(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["session_id", "frame_id", "sampled", "context"])
+        return frame.astype({"session_id": "int64", "frame_id": "int64", "sampled": "bool", "context": "str"})
 
     def close(self) -> None:
         pass
 
 
 def frame_stream(frames: DataFrame, processor: FrameSessions, delay: str = "10 minutes") -> DataFrame:
-    """Stateful output per valid frame; ``frames`` has a timestamp ``ts``."""
+    """Stateful output per valid frame; ``frames`` has a timestamp ``ts``.
+
+    A frame comes out once the watermark has passed it, so the result does not
+    depend on the order of arrival as long as no row is more than ``delay``
+    behind. Rows further behind are dropped and counted by the stream's
+    progress (``streaming.sinks.run_counting_late``).
+    """
     timed = frames.withWatermark("ts", delay)
     return timed.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
@@ -280,9 +331,11 @@ def frame_stream(frames: DataFrame, processor: FrameSessions, delay: str = "10 m
 
 def session_stats_stream(frames: DataFrame, gap: str = "300 seconds", delay: str = "10 minutes") -> DataFrame:
     """Frames per session and outcome; activity is refreshed by valid frames only."""
+    # Invalid frames move the watermark too: a filter that names its column stays above it.
+    valid = F.coalesce(F.col("valid"), F.col("ts").isNull())
     return (
-        frames.filter("valid")
-        .withWatermark("ts", delay)
+        frames.withWatermark("ts", delay)
+        .filter(valid)
         .groupBy("session_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("sampled").alias("n_sampled"))
     )

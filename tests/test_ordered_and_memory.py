@@ -10,7 +10,7 @@ from corpusflow.sources import store as st
 from corpusflow.streaming import frames as fr
 from corpusflow.streaming import rules
 from corpusflow.streaming.ingest import compaction_stream
-from corpusflow.streaming.sinks import read_file_stream, run_to_files
+from corpusflow.streaming.sinks import read_file_stream, run_counting_late
 
 
 @pytest.fixture(scope="module")
@@ -67,10 +67,16 @@ def frames_table(spark, rows):
     return df.withColumn("ts", F.timestamp_seconds("t"))
 
 
-def streamed(spark, df, processor, folder):
-    df.coalesce(1).write.parquet(folder)
-    source = read_file_stream(spark, folder, "*.parquet", df.schema)
-    return run_to_files(fr.frame_stream(source, processor))
+def streamed(spark, df, processor, folder, delay="10 minutes", parts=1):
+    """The stream's rows and its late rows; the frames come in ``parts`` files, then two heartbeats."""
+    rows = df.collect()
+    for n in range(parts):
+        spark.createDataFrame(rows[n::parts], df.schema).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        beat = frames_table(spark, [(0, 0, 1e6, "", False, False)])
+        beat.write.mode("append").parquet(folder)
+    source = read_file_stream(spark, folder, "*.parquet", df.schema, 1)
+    return run_counting_late(fr.frame_stream(source, processor, delay))
 
 
 def test_stream_sessions(spark, tmp_path):
@@ -81,10 +87,42 @@ def test_stream_sessions(spark, tmp_path):
         (2, 9, 0.5, "z", True, False),
     ]
     rows = [(s, f, t + 1000.0, *rest) for s, f, t, *rest in rows]  # after the first watermark
-    out = streamed(spark, frames_table(spark, rows), fr.FrameSessions("interval", 2.0, size=1), str(tmp_path / "in"))
+    out, late = streamed(spark, frames_table(spark, rows), fr.FrameSessions("interval", 2.0, size=1), str(tmp_path / "in"))
     got = {r["frame_id"]: r["context"] for r in out.filter("sampled").collect()}
     assert got == {1: "", 3: "Frame 1: a", 5: "Frame 1: c", 6: "", 8: "", 9: ""}
-    assert out.count() == 7
+    assert out.count() == 7 and late == 0
+
+
+def test_stream_does_not_depend_on_order_of_arrival(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for session in range(4):
+        times = 5000.0 + np.cumsum(rng.choice([0.0, 0.5, 3.0, 40.0], 40, p=[0.1, 0.5, 0.3, 0.1]))
+        rows += [
+            (session, session * 100 + i, float(t), f"s{i}" if i % 5 else None, i % 7 != 3, i % 11 == 10)
+            for i, t in enumerate(times)
+        ]
+
+    def processor():
+        return fr.FrameSessions("interval", 2.0, size=2, ttl=30.0)
+
+    def walk(session):
+        state = (None, 0, None, [])
+        ordered = sorted(r[2:3] + r[1:2] + (r[3], r[5]) for r in rows if r[0] == session and r[4])
+        return processor()._apply(session, state, ordered)[1]
+
+    want = sorted(str(r) for session in range(4) for r in walk(session))
+    rng.shuffle(rows)
+    rows = [(int(s), int(f), float(t), x, bool(v), bool(e)) for s, f, t, x, v, e in rows]
+    out, late = streamed(spark, frames_table(spark, rows), processor(), str(tmp_path / "in"), "1 hour", parts=3)
+    assert sorted(str(tuple(r)) for r in out.collect()) == want and late == 0
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    times = [5000.0, 5001.0, 5002.0, 1000.0]
+    rows = [(1, i, t, "x", True, False) for i, t in enumerate(times)]
+    out, late = streamed(spark, frames_table(spark, rows), fr.FrameSessions("frame_count", every=1), str(tmp_path / "in"), "1 minute", 4)
+    assert sorted(r["frame_id"] for r in out.collect()) == [0, 1, 2] and late == 1
 
 
 def test_session_rules(spark):
