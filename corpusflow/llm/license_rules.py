@@ -13,17 +13,20 @@ from dataclasses import dataclass
 
 # label | words of the identifier | names, as a pattern over words | keywords, any of them, at the start of a word
 LICENSES = """
-mit | mit | (?:the )?(?:mit|expat)(?: expat| x11)? license | mit
-mit | mit | expat license | expat
+mit | mit | (?:the )?(?:mit|expat)(?: expat| x11)? license | mit/expat
+mit | mit x11 | mit x11 | mit
 mit-0 | mit 0 | mit (?:no attribution|0) license | mit
 apache-1.0 | apache 1 0 | apache (?:software )?license v(?:ersion )?1 0 | apache
 apache-1.1 | apache 1 1 | apache (?:software )?license v(?:ersion )?1 1 | apache
 apache-2 | apache 2 0 | apache (?:software )?license (?:v|version )?2(?: 0)? | apache
+apache-2 | apache 2 | apache 2 0(?! \\d)(?: license)? | apache
 bsd | bsd | (?:the )?bsd(?: style)? license | bsd
-bsd-2-clause | bsd 2 clause | (?:2 clause|two clause|simplified|freebsd) (?:bsd )?license | clause
-bsd-2-clause | bsd 2 clause | simplified bsd license | simplified
+bsd-2-clause | bsd 2 clause | (?:2 clause|two clause|simplified|freebsd) (?:bsd )?license | 2 clause/two clause/simplified/freebsd
+bsd-2-clause | bsd 2 clause | bsd (?:2|two) clause(?: license)? | bsd
 bsd-3-clause | bsd 3 clause | (?:3 clause|three clause|new|revised|modified) bsd license | bsd
+bsd-3-clause | bsd 3 clause | bsd (?:3|three) clause(?: license)? | bsd
 bsd-4-clause | bsd 4 clause | (?:4 clause|four clause|original|old) bsd license | bsd
+bsd-4-clause | bsd 4 clause | bsd (?:4|four) clause(?: license)? | bsd
 0bsd | 0bsd | zero clause bsd(?: license)? | clause
 gpl | gpl | gnu (?:general public license|gpl) | gnu
 gpl-1 | gpl 1 0(?: only| or later)? | (?:gnu )?(?:general public license|gpl) (?:v|version )?1(?: 0)? | gpl/general public
@@ -82,7 +85,7 @@ curl | curl | curl license | curl
 unicode-3 | unicode 3 0 | unicode license(?: (?:v|version )?3)? | unicode
 cecill-2.1 | cecill 2 1 | cecill(?: free software)? license(?: agreement)?(?: (?:v|version )?2 1)? | cecill
 mulan-2 | mulanpsl 2 0 | mulan permissive software license(?: (?:v|version )?2)? | mulan
-openrail | openrail | (?:creativeml )?open ?rail(?: m)?(?: license)? | rail
+openrail | openrail | (?:creativeml )?open ?rail(?: m)?(?: license)? | rail/openrail/creativeml
 llama-community | llama\\d* | llama \\d+ community license(?: agreement)? | llama
 """
 
@@ -103,7 +106,7 @@ mit | permission is hereby granted free of charge to any person obtaining a copy
 mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | substantial portions
 isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | with or without fee
 bsd | redistribution and use in source and binary forms with or without modification are permitted | binary forms
-bsd-3-clause | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products | endorse or promote
+bsd-3-clause | neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors may be used to endorse or promote products | endorse or promote
 bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement | advertising materials
 gpl | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license | redistribute it
 gpl-2 | either version 2 of the license or (?:at your option )?any later version | either version
@@ -156,6 +159,9 @@ def build_rules() -> list[Rule]:
         add(address, label, "creativecommons" if address.startswith("creative") else "opensource/spdx/gnu/apache", ADDRESS)
         add(f"(?:licensed|released|distributed|available|published|provided) (?:only )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}", label, keyword, GRANT)
         add(name, label, keyword, NAME)
+        first = identifier.split()[0]
+        short = f"(?:licen[cs]e|(?:dual )?licen[cs]ed(?: under)?)(?: the| is)? {identifier}(?! license)"
+        add(short, label, first if first.isalnum() else "licen", NAME)
 
     for label, identifier, name, keyword in rows(LICENSES):
         forms(label, identifier, name, keyword, f"(?:opensource|spdx|gnu|apache) org (?:licenses?|legal) {identifier}")

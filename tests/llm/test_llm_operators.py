@@ -79,6 +79,53 @@ def test_license_scan_equals_brute_force(odd, none, documents):
     assert license_scan.license_scan(none).count() == 0
 
 
+def wordings(parsed):
+    """Texts that a rule matches: every branch, options with and without, one sample of each class."""
+    found = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name == "SUBPATTERN":
+            own = wordings(value[3])
+        elif name == "BRANCH":
+            own = [w for branch in value[1] for w in wordings(branch)]
+        elif name == "MAX_REPEAT" and value[:2] == (0, 1):
+            own = ["", *wordings(value[2])]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = wordings(value[2])
+        elif name == "IN":
+            own = [chr(v) if str(o) == "LITERAL" else "1" for o, v in value]
+        elif name == "ANY":
+            own = ["x"]
+        else:  # a look ahead takes no characters
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            own = [""]
+        found = [a + b for a in found for b in own]
+    return found
+
+
+def test_no_license_rule_is_shut_out_by_its_keywords():
+    import re._parser
+
+    for rule in license_scan.build_rules():
+        for text in wordings(re._parser.parse(rule.pattern.pattern)):
+            assert any(f" {k}" in f"{text} " for k in rule.keywords), (rule, text)
+
+
+def test_license_scan_knows_common_wordings():
+    scanner = license_scan.Scanner()
+    wanted = {
+        "FreeBSD license": "bsd-2-clause", "CreativeML OpenRAIL-M license": "openrail", "OpenRAIL": "openrail",
+        "BSD 3-Clause License": "bsd-3-clause", "License: BSD-3-Clause": "bsd-3-clause", "Licensed under MIT": "mit",
+        "Apache-2.0": "apache-2", "MIT/X11": "mit", "dual licensed MIT or Apache 2.0": "apache-2,mit",
+        f"Neither the name of {'the very long holder ' * 20} nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "the server apache 2.0.64 was used": "", "a mit of leather and a clause": "",
+    }
+    for text, labels in wanted.items():
+        assert scanner.scan(text.encode())[5] == labels, text
+
+
 def test_license_rules_hold_hundreds_and_suppress():
     scanner = license_scan.Scanner()
     assert len(scanner.rules) > 300
