@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.catalog import sqlparts as sp
 from corpusflow.catalog.conversation import TRIGGER, WINDOW, messages
 from corpusflow.catalog.registry import Tables, query
 from corpusflow.functions.scalars import FRAME_MIME_TYPES
-from corpusflow.plans.ingest import ingest
-from corpusflow.session import shared_dir
+from corpusflow.plans.ingest import ingest, remove_documents, search_stored
+from corpusflow.session import shared_dir, staged
 from corpusflow.sources import store as st
 from corpusflow.streaming import frames as fr
 from corpusflow.streaming import rules
@@ -342,3 +343,37 @@ def incremental_ingest(t: Tables) -> DataFrame:
         files.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
         ingest_stream(read_file_stream(t.spark, f"{base}/in", "*.parquet", files.schema), base, size=1000, overlap=200)
     return st.read_store(t.spark, f"{base}/registry", "doc_id").select("doc_id", "status", "duplicate_of", "failure_reason")
+
+
+# Every text is one chunk here, so that SQL can say what is searched.
+WHOLE = 10**9
+FIRST_CHUNK = "p1::c0"
+
+
+def stored_search_sql(which: str) -> str:
+    """Best questions' hits over the first document of every text among ``which`` documents."""
+    chunks = f"chunks AS (SELECT min(doc_id)::VARCHAR || '::{FIRST_CHUNK}' AS chunk_id, text FROM documents WHERE {which} GROUP BY text)"
+    return f"SELECT * FROM (WITH {chunks},{sp.QUESTIONS},{sp.keyword(20)} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, rank FROM kw)"
+
+
+@query(
+    "indexed_search",
+    f"SELECT 'all' AS held, * FROM ({stored_search_sql('true')}) UNION ALL SELECT 'kept' AS held, * FROM ({stored_search_sql('doc_id % 11 <> 0')})",
+)
+def indexed_search(t: Tables) -> DataFrame:
+    """All questions against the stored postings of a stream of documents, then again after a delete."""
+    base = f"{shared_dir(t.spark)}/corpusflow-ingest/{uuid.uuid4().hex}"
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = t.documents.select("doc_id", name.alias("filename"), "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    for part in (1, 0):
+        files.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        arrived = read_file_stream(t.spark, f"{base}/in", "*.parquet", files.schema)
+        ingest_stream(arrived, base, size=WHOLE, overlap=0, headers=False)
+    questions = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    found = []
+    for held in ("all", "kept"):
+        if held == "kept":
+            remove_documents(files.filter("doc_id % 11 = 0").select("doc_id"), base)
+        hits = staged(search_stored(t.spark, base, questions, 20))
+        found.append(hits.select(F.lit(held).alias("held"), "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
+    return found[0].unionByName(found[1])

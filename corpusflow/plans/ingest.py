@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.models import CHARACTERS, Measure
 from corpusflow.functions.scalars import extension
 from corpusflow.operators import blocks as bl
 from corpusflow.operators import chunking as ch
-from corpusflow.operators.keyword import term_frequency
+from corpusflow.operators.keyword import bm25_scores, corpus_stats, doc_lengths, query_terms, rank_topk, require_positive, term_frequency
+from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 from corpusflow.sources import files as fi
 from corpusflow.sources import store as st
@@ -102,44 +103,104 @@ def store_batch(files: DataFrame, folder: str, **options) -> DataFrame:
     stored = st.read_store(spark, f"{folder}/registry", "doc_id")
     if stored is None:
         chunks, registry = ingest(files, **options)
-        changed, added = registry, chunks
-    else:
-        ids = files.select("doc_id").distinct()
-        hashes = files.select(F.sha2("text", 256).alias("content_hash"))
-        left = stored.join(ids, "doc_id", "left_semi").select("content_hash")
-        touched = hashes.unionByName(left).distinct()
-        others = stored.filter("status <> 'REJECTED'").join(ids, "doc_id", "left_anti")
-        others = staged(others.join(touched, "content_hash", "left_semi").select(*stored.columns))
-        chunks, registry = ingest(files, known=others, **options)
-        registry = staged(registry)
-        first = (
-            others.select("doc_id", "content_hash")
-            .unionByName(registry.filter("status <> 'REJECTED'").select("doc_id", "content_hash"))
-            .groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
-        )
-        owner = F.when(F.col("canonical_id") != F.col("doc_id"), F.col("canonical_id"))
-        moved = staged(others.join(first, "content_hash").filter(~F.col("duplicate_of").eqNullSafe(owner)))
-        demoted = moved.filter("canonical_id <> doc_id").select(
-            "doc_id", "filename", F.lit("DUPLICATE").alias("status"), F.lit(0).cast("bigint").alias("chunk_count"),
-            F.lit(0).cast("bigint").alias("page_count"), F.lit(None).cast("string").alias("failure_reason"),
-            F.col("canonical_id").alias("duplicate_of"), "content_hash",
-        )
-        heirs = moved.filter("canonical_id = doc_id").select("doc_id", "filename", "duplicate_of", "content_hash")
-        old = stored.select(F.col("doc_id").alias("duplicate_of"), "status", "chunk_count", "page_count", "failure_reason")
-        promoted = heirs.join(old, "duplicate_of").select(
-            "doc_id", "filename", "status", "chunk_count", "page_count", "failure_reason",
-            F.lit(None).cast(stored.schema["duplicate_of"].dataType).alias("duplicate_of"), "content_hash",
-        )
-        changed = staged(registry.unionByName(demoted).unionByName(promoted))
-        added = staged(chunks.unionByName(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs)))
-    replaced = changed.select("doc_id")
-    counted = term_frequency(added).withColumn("doc_id", F.substring_index("chunk_id", "::", 1).cast(added.schema["doc_id"].dataType))
-    st.append(counted, f"{folder}/postings", replaced)
-    st.append(added, f"{folder}/chunks", replaced)
-    st.append(changed, f"{folder}/registry")
+        _write(folder, registry, chunks, registry.select("doc_id"))
+        return registry
+    ids = files.select("doc_id").distinct()
+    hashes = files.select(F.sha2("text", 256).alias("content_hash"))
+    others = _same_content(stored, ids, hashes)
+    chunks, registry = ingest(files, known=others, **options)
+    registry = staged(registry)
+    changed, heirs = _new_owners(stored, others, registry.filter("status <> 'REJECTED'"))
+    changed = staged(registry.unionByName(changed))
+    added = chunks.unionByName(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs))
+    _write(folder, changed, staged(added), changed.select("doc_id"))
     return registry
 
 
+def remove_documents(doomed: DataFrame, folder: str) -> DataFrame:
+    """Delete documents (``doc_id``) from registry, chunks and postings; return ``doc_id, chunks_deleted``.
+
+    The store then equals one that never got them: the smallest duplicate of a
+    deleted original takes its stored chunks over. Unknown ids are ignored,
+    repeated and null ones too; deleting twice changes nothing.
+    """
+    spark = doomed.sparkSession
+    stored = st.read_store(spark, f"{folder}/registry", "doc_id")
+    if stored is None:
+        return spark.createDataFrame([], "doc_id bigint, chunks_deleted bigint")
+    gone = staged(stored.join(doomed.select("doc_id").distinct(), "doc_id", "left_semi").select(*stored.columns))
+    others = _same_content(stored, gone.select("doc_id"), None)
+    changed, heirs = _new_owners(stored, others, None)
+    changed = staged(changed)
+    added = staged(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs))
+    _write(folder, changed, added, changed.select("doc_id").unionByName(gone.select("doc_id")))
+    return gone.select("doc_id", F.col("chunk_count").alias("chunks_deleted"))
+
+
+def _same_content(stored: DataFrame, ids: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """Registry rows of other documents whose content is among ``hashes`` or was that of one of ``ids``."""
+    touched = stored.join(ids, "doc_id", "left_semi").select("content_hash")
+    touched = (touched if hashes is None else touched.unionByName(hashes)).distinct()
+    others = stored.filter("status <> 'REJECTED'").join(ids, "doc_id", "left_anti")
+    return staged(others.join(touched, "content_hash", "left_semi").select(*stored.columns))
+
+
+def _new_owners(stored: DataFrame, others: DataFrame, arrived: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Registry rows of ``others`` whose owner changes, and those of them that own their content from now on."""
+    claims = others.select("doc_id", "content_hash")
+    claims = claims if arrived is None else claims.unionByName(arrived.select("doc_id", "content_hash"))
+    first = claims.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
+    owner = F.when(F.col("canonical_id") != F.col("doc_id"), F.col("canonical_id"))
+    moved = staged(others.join(first, "content_hash").filter(~F.col("duplicate_of").eqNullSafe(owner)))
+    demoted = moved.filter("canonical_id <> doc_id").select(
+        "doc_id", "filename", F.lit("DUPLICATE").alias("status"), F.lit(0).cast("bigint").alias("chunk_count"),
+        F.lit(0).cast("bigint").alias("page_count"), F.lit(None).cast("string").alias("failure_reason"),
+        F.col("canonical_id").alias("duplicate_of"), "content_hash",
+    )
+    heirs = moved.filter("canonical_id = doc_id").select("doc_id", "filename", "duplicate_of", "content_hash")
+    old = stored.select(F.col("doc_id").alias("duplicate_of"), "status", "chunk_count", "page_count", "failure_reason")
+    promoted = heirs.join(old, "duplicate_of").select(
+        "doc_id", "filename", "status", "chunk_count", "page_count", "failure_reason",
+        F.lit(None).cast(stored.schema["duplicate_of"].dataType).alias("duplicate_of"), "content_hash",
+    )
+    return demoted.unionByName(promoted), heirs
+
+
+def _write(folder: str, registry: DataFrame, chunks: DataFrame, replaced: DataFrame) -> None:
+    """One batch to the postings, the chunk lengths, the chunks and, last, the registry."""
+    owner = F.substring_index("chunk_id", "::", 1).cast(chunks.schema["doc_id"].dataType).alias("doc_id")
+    # Counting has spread the rows by chunk and term, so no term is one file;
+    # files in order of terms let a search skip the pages of other terms.
+    counted = term_frequency(chunks).select("*", owner).sortWithinPartitions("term", "chunk_id")
+    st.append(counted, f"{folder}/postings", replaced)
+    st.append(doc_lengths(chunks).select("*", owner), f"{folder}/lengths", replaced)
+    st.append(chunks, f"{folder}/chunks", replaced)
+    st.append(registry, f"{folder}/registry", replaced)
+
+
+def search_stored(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, few_terms: int = 1000) -> DataFrame:
+    """BM25 over what ``store_batch`` wrote: ``query_id, chunk_id, score, rank``; no text is read.
+
+    Of the postings only the row groups that can hold a term of the questions
+    are read while the terms are few; for more, postings are joined with them.
+    The result does not depend on it. An empty store gives no row.
+    """
+    require_positive(top_k=k)
+    postings = st.read_store(spark, f"{folder}/postings", ["chunk_id", "term"])
+    if postings is None:
+        return spark.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int")
+    terms = staged(query_terms(queries))
+    vocabulary = terms.select("term").distinct()
+    some = [r["term"] for r in vocabulary.limit(few_terms + 1).collect()]
+    if len(some) <= few_terms:
+        postings = postings.filter(F.col("term").isin(some))
+    else:
+        postings = postings.join(broadcast_if_small(vocabulary), "term", "left_semi")
+    hits = staged(postings.select("chunk_id", "term", "tf", "doc_len"))
+    stats = corpus_stats(st.read_store(spark, f"{folder}/lengths"))
+    return rank_topk(bm25_scores(hits, stats, terms), k)
+
+
 def _inherited(chunks: DataFrame, heirs: DataFrame) -> DataFrame:
     """The stored chunks of an original, under the id of the document that takes its place."""
     pairs = heirs.select(F.col("doc_id").alias("_new"), F.col("duplicate_of").alias("doc_id"))

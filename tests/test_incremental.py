@@ -1,7 +1,7 @@
 """Documents that come again; other orders of batches are checked by the query against its SQL."""
 
-from corpusflow.operators.keyword import term_frequency
-from corpusflow.plans.ingest import ingest, store_batch
+from corpusflow.operators.keyword import bm25_topk, term_frequency
+from corpusflow.plans.ingest import ingest, remove_documents, search_stored, store_batch
 from corpusflow.sources import store as st
 
 SCHEMA = "doc_id bigint, filename string, text string, n_bytes bigint"
@@ -40,3 +40,31 @@ def test_documents_that_come_again_are_replaced(spark, tmp_path):
     for _ in range(2):  # a batch that is handled twice changes nothing
         store_batch(files(spark, (1, ".txt", "Short now.")), folder, size=80, overlap=10)
     assert state(spark, folder) == whole(spark, [(1, ".txt", "Short now."), (2, ".txt", LONG), (3, ".txt", LONG)])
+
+
+def hits(found):
+    return sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in found.collect())
+
+
+def test_deleted_documents_leave_registry_chunks_postings_and_search(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    rows = [(1, ".txt", LONG), (2, ".txt", LONG), (3, ".txt", LONG), (4, ".txt", "A cat sat. " * 20), (5, ".exe", "x"), (6, ".txt", " ")]
+    store_batch(files(spark, *rows[:3]), folder, size=80, overlap=10)
+    store_batch(files(spark, *rows[3:]), folder, size=80, overlap=10)
+    questions = spark.createDataFrame([(1, "refunds and a cat"), (2, "sentence"), (3, "nowhere"), (4, "")], "query_id bigint, text string")
+    doomed = spark.createDataFrame([(1,), (4,), (4,), (5,), (99,), (None,)], "doc_id bigint")
+    gone = {r.doc_id: r.chunks_deleted for r in remove_documents(doomed, folder).collect()}
+    assert set(gone) == {1, 4, 5} and gone[5] == 0 < gone[4]
+    assert remove_documents(doomed, folder).count() == 0
+    chunks, registry = ingest(files(spark, rows[1], rows[2], rows[5]), size=80, overlap=10)
+    assert state(spark, folder) == compare(chunks, term_frequency(chunks), registry)
+    want = hits(bm25_topk(chunks, questions, 3))
+    st.compact(spark, f"{folder}/postings", ["chunk_id", "term"])
+    for few_terms in (1000, 1):
+        assert want and hits(search_stored(spark, folder, questions, 3, few_terms)) == want
+
+
+def test_search_of_an_empty_store(spark, tmp_path):
+    questions = spark.createDataFrame([(1, "cat")], "query_id bigint, text string")
+    assert search_stored(spark, str(tmp_path / "none"), questions).count() == 0
+    assert remove_documents(questions.selectExpr("query_id AS doc_id"), str(tmp_path / "none")).count() == 0
