@@ -19,7 +19,8 @@ NOTHING_SEEN = "(no notable observations)"
 
 
 def _size_text(n_bytes: Column) -> Column:
-    return F.format_string("%.1f", n_bytes / (1024 * 1024))
+    # Ties go to the even tenth: 156.25 MB reads 156.2. Java's format alone rounds them up.
+    return F.format_string("%.1f", F.bround(n_bytes / (1024 * 1024), 1))
 
 
 def frame_reason(session_id: Column, mime: Column, n_bytes: Column, max_mb: int = MAX_FRAME_MB) -> Column:

@@ -145,6 +145,14 @@ def test_observations(spark):
     assert got[0]["objects"] == ["cup", "3"] and got[0]["warnings"] == []
 
 
+def test_sizes_in_reasons_round_ties_to_even(one):
+    frame = lambda n: one(lambda a, b, c: rules.frame_reason(a, b, c), "s", "image/png", n)
+    audio = lambda n: one(lambda a, b, c: rules.audio_reason(a, b, c), "a.mp3", "", n)
+    for n in (163_840_000, 491_520_000, 5_505_024, 6_029_312, 5_347_738):
+        assert f"is {n / 1048576:.1f}MB," in frame(n), n
+    assert "is 156.2MB," in audio(163_840_000)
+
+
 def test_frame_and_audio_reasons(one):
     reason = lambda s, m, n: one(lambda a, b, c: rules.frame_reason(a, b, c), s, m, n)
     assert reason(" ", "image/png", 1) == "sessionId must not be empty."
