@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import scalars as sc
 from corpusflow.functions import text as tx
+from corpusflow.operators import sizing
 from corpusflow.operators.replies import clean_propositions, clean_variants
 
 
@@ -105,3 +106,20 @@ def test_propositions_are_cleaned(spark):
     rows = spark.createDataFrame([("p", reply)], "passage_id string, reply string")
     got = [r["proposition"] for r in clean_propositions(rows).orderBy("prop_no").collect()]
     assert got == ["The pump was replaced in 2019.", "The tank holds forty litres of oil."]
+
+
+def test_strip_takes_every_space_and_nothing_else(one):
+    each = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    assert sorted(tx.EACH_SPACE) == sorted(each)
+    text = each + "a" + each + "\u200bé" + each
+    assert one(tx.strip, text) == "a" + each + "\u200bé" and one(tx.rstrip, text) == each + "a" + each + "\u200bé"
+    assert one(tx.strip, each) == "" and one(tx.rstrip, each) == "" and one(tx.strip, None) is None
+
+
+def test_a_task_works_on_a_bounded_share_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1000)
+    for n in (10, 100):
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")).coalesce(1)
+        got = sizing.spread(rows, "text", "doc_id")
+        assert got.rdd.getNumPartitions() == max(n, spark.sparkContext.defaultParallelism) and got.count() == n
+    assert sizing.spread(rows.limit(0), "text", "doc_id").count() == 0
