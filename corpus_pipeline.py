@@ -1,7 +1,7 @@
 """A training-data pipeline over the documents table.
 
 Language identification (texts without a letter go), exact deduplication,
-near-deduplication by shingle sets (one document of each group stays), and packing into
+near-deduplication by SimHash and shingle sets (one document of each group stays), and packing into
 sequences of 4096 tokens. Each stage works on what the stage before it kept.
 """
 
@@ -15,7 +15,7 @@ from corpusflow.llm.common import with_small_batches
 from corpusflow.llm.exact_dedup import exact_dedup, sha256
 from corpusflow.llm.language_id import UNKNOWN, language_id, model_of
 from corpusflow.llm.packing import pack
-from corpusflow.llm.set_similarity import similar_texts
+from corpusflow.llm.simhash import near_duplicates
 from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import prepare, staged
 
@@ -62,7 +62,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays."""
     with_small_batches(spark)
-    found = similar_texts(docs.select("doc_id", "text"), SIMILARITY)
+    found = near_duplicates(docs.select("doc_id", "text"), similarity=SIMILARITY)
     return kept_rows(docs, found.select("doc_id", F.col("text_hash").alias("key"), "kept"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 

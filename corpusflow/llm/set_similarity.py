@@ -7,10 +7,12 @@ pruned by position and by parity bitmaps (Sandes et al., 2017), which never
 lose a pair, and the rest is compared by its sets. No pair is missed and no
 key is skipped or capped.
 
-Components need no comparison inside themselves: first everyone at a key is
-compared with one member only, then pairs that still lie in different
-components. Keys of many texts meet by joins that are spread over tasks; a
-sample names the commonest of them, and any other is noticed where it meets.
+Components need no comparison inside themselves. First come the pairs that
+SimHash links (``simhash.links``) and one pair a text with the first member of
+a key, then the other first members of its keys, then pairs that still lie in
+different components. Every pair is checked by its sets, whoever proposed it.
+Keys of many texts meet by joins that are spread over tasks; a sample names the
+commonest of them, and any other is noticed where it meets.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import released, slices, sorted_by_key, whole_text
-from corpusflow.llm.simhash import components, shingle_set
+from corpusflow.llm.simhash import SHINGLE, components, fingerprint, links, shingle_set
 from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 
@@ -91,14 +93,18 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return hashes[order], n[order] * step
 
 
-def keyed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, text_hash, sig, n, few, keys, bits) per row: equal sets have equal ``sig``; the first ``few`` keys are not crowded."""
+def keyed(rows: DataFrame, words: int, similarity: float, shingle: int = SHINGLE) -> DataFrame:
+    """(id, text_hash, sig, n, few, keys, bits, fp) per row.
+
+    Equal sets have equal ``sig``; the first ``few`` keys are not crowded; ``fp``
+    is the SimHash over ``shingle`` words as a signed 64-bit number.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
 
     def run(batches):
         known, counts = shared.value
         for batch in slices(batches, 2):
-            sig, n, few, keys, bits = [], [], [], [], []
+            sig, n, few, keys, bits, fp = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, words)
                 often = np.zeros(len(own), dtype=np.int64)
@@ -111,11 +117,13 @@ def keyed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 few.append(int(np.count_nonzero(often[first] <= CROWD)))
                 keys.append(own[first])
                 bits.append(parity(own))
-            made = [pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(few, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "text_hash", "sig", "n", "few", "keys", "bits"])
+                fp.append(fingerprint(text, shingle))
+            prints = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+            made = [pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(few, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), prints]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "text_hash", "sig", "n", "few", "keys", "bits", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text_hash", "body").mapInArrow(run, f"id {kind}, text_hash long, sig binary, n int, few int, keys array<long>, bits binary")
+    return rows.select("id", "text_hash", "body").mapInArrow(run, f"id {kind}, text_hash long, sig binary, n int, few int, keys array<long>, bits binary, fp long")
 
 
 def meetings(entries: DataFrame, similarity: float) -> DataFrame:
@@ -259,8 +267,36 @@ def crowd_pairs(crowd: DataFrame, group: DataFrame, similarity: float) -> DataFr
     return left.join(right, same).select(F.least("u", "_u").alias("a"), F.greatest("u", "_u").alias("b")).distinct()
 
 
-def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """One row per row of ``docs``: id, text_hash, component_id, kept.
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ``prints`` (u, fp) that connect all whose fingerprints SimHash links.
+
+    Equal fingerprints meet at their smallest u, others by the generalised pigeonhole principle.
+    """
+    lead = staged(prints.groupBy("fp").agg(F.min("u").alias("lead")))
+    known = broadcast_if_small(lead)
+    equal = prints.join(known, "fp").where("lead < u").select(F.col("lead").alias("a"), F.col("u").alias("b"))
+    near = staged(links(lead.select("fp"))).toDF("x", "y")
+    near = near.join(known.toDF("x", "p"), "x").join(known.toDF("y", "q"), "y")
+    return equal.unionByName(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
+def rooted(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) in different groups, with their roots (ra, rb); ``group`` has the (u, root) of who is in one."""
+    met = pairs.join(group.toDF("a", "ra"), "a", "left").join(group.toDF("b", "rb"), "b", "left")
+    return met.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+
+def merged(group: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``group`` (u, root) after linking ``pairs`` (a, b): only roots are joined, once for each two groups."""
+    between = rooted(pairs, group).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    above = staged(components(between)).toDF("root", "top")
+    moved = group.join(broadcast_if_small(above), "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+    alone = above.join(group.select(F.col("u").alias("root")), "root", "left_anti")
+    return moved.unionByName(alone.toDF("u", "root"))
+
+
+def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column: str = "doc_id", text: str | Column = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: id, text_hash, fp (SimHash over ``shingle`` words), component_id, kept.
 
     Texts link when their sets of ``words``-word shingles have a Jaccard
     similarity of at least ``similarity`` (above 0), whatever else they share.
@@ -272,7 +308,7 @@ def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column:
     """
     body = whole_text(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("body"))
-    own = staged(keyed(rows, words, similarity).withColumn("u", F.monotonically_increasing_id()))
+    own = staged(keyed(rows, words, similarity, shingle).withColumn("u", F.monotonically_increasing_id()))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "text_hash")
     heads = staged(own.groupBy("sig").agg(F.min("u").alias("u"), F.min(order).alias("head")))
     repeats = own.select("u").join(heads.select("u"), "u", "left_anti")
@@ -294,26 +330,28 @@ def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column:
     share = similarity / (1 + similarity)
     fits = F.least(F.col("n") - F.col("pos"), F.expr("first.n - first.pos")) >= F.lit(share) * (F.col("n") + F.col("first.n")) - 1e-6
     stars = crowd.join(first, "key").where(F.col("first.u") < F.col("u")).where(fits).select(F.col("first.u").alias("a"), F.col("u").alias("b")).distinct()
-    near = met.where("star").select("a", "b").unionByName(stars).distinct()
-    tried = staged(possible(near, sizes, similarity))
-    links = staged(alike(tried, heads, rows, words, similarity))
-    group = staged(components(links).withColumnRenamed("fp", "u"))
+    near = staged(met.where("star").select("a", "b").unionByName(stars).distinct())
+    proposed = fingerprint_pairs(staged(one.select("u", "fp"))).unionByName(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    tried = staged(possible(proposed.distinct(), sizes, similarity))
+    group = staged(components(alike(tried, heads, rows, words, similarity)).withColumnRenamed("fp", "u"))
 
-    # Whoever still lies in different components is compared, too.
-    ends = group.toDF("a", "ra"), group.toDF("b", "rb")
-    apart = met.where("not star").join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    others = apart.select("a", "b").unionByName(crowd_pairs(crowd, group, similarity)).distinct()
-    others = staged(possible(others, sizes, similarity).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(alike(others, heads, rows, words, similarity))
+    # The other first members of a text's keys, where they lie in different components.
+    others = rooted(near, group).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    again = staged(possible(others, sizes, similarity))
+    group = staged(merged(group, alike(again, heads, rows, words, similarity)))
 
-    roots = staged(components(links).withColumnRenamed("fp", "u"))
+    # Whoever still lies in different components is compared, too.
+    others = rooted(met.where("not star").select("a", "b"), group).select("a", "b").unionByName(crowd_pairs(crowd, group, similarity)).distinct()
+    others = staged(possible(others, sizes, similarity).join(tried.unionByName(again), ["a", "b"], "left_anti"))
+    roots = staged(merged(group, alike(others, heads, rows, words, similarity)))
     member = heads.join(roots, "u").select("u", "root", "head")
     best = member.groupBy("root").agg(F.min("head").alias("best"))
     moved = staged(member.join(best, "root").select("u", "best"))
     head = heads.join(moved, "u", "left").select("sig", F.coalesce("best", "head").alias("head"))
-    return own.select("id", "text_hash", "sig").join(head, "sig").select(
+    return own.select("id", "text_hash", "sig", "fp").join(head, "sig").select(
         F.col("id").alias(id_column),
         "text_hash",
+        "fp",
         F.col("head.id").alias("component_id"),
         (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"),
     )

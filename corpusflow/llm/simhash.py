@@ -287,9 +287,10 @@ def near_duplicates(
     """One row per row of ``docs``: id, text_hash, fp, component_id, kept.
 
     Fingerprints over ``shingle`` words link at ``distance`` differing bits or
-    fewer. With ``similarity``, rows link by their texts instead: if the sets of
-    ``compared``-word shingles have that Jaccard similarity or more, however far
-    apart the fingerprints are.
+    fewer. With ``similarity``, rows link by their texts: if the sets of
+    ``compared``-word shingles have that Jaccard similarity or more. Fingerprints
+    propose pairs first (at the module's distance); those too far apart in bits
+    are found by their shingles, so no pair is missed.
 
     ``component_id`` is the smallest id reachable over links. Null text counts
     as empty, texts without words have fingerprint zero. One row of each
@@ -301,10 +302,7 @@ def near_duplicates(
     if similarity is not None:
         from corpusflow.llm.set_similarity import similar_texts  # which builds on this module
 
-        named = fingerprints(docs, id_column, text, shingle).distinct().toDF("_id", "_hash", "fp")
-        found = similar_texts(docs, similarity, compared, id_column, text)
-        same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-        return found.join(named, same).select(id_column, "text_hash", "fp", "component_id", "kept")
+        return similar_texts(docs, similarity, compared, id_column, text, shingle)
     rows = staged(fingerprints(docs, id_column, text, shingle))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "text_hash")
     heads = staged(rows.groupBy("fp").agg(F.min(order).alias("head")))

@@ -168,3 +168,23 @@ def test_repeated_rows_and_empty_tables(spark):
     found = Counter(tuple(r) for r in set_similarity.similar_texts(docs, 0.8).select("doc_id", "component_id", "kept").collect())
     assert found == Counter({(1, 1, True): 2, (2, 1, False): 2, (3, 3, True): 2, (None, 1, False): 1, (4, 4, True): 1})
     assert set_similarity.similar_texts(docs.limit(0), 0.8).count() == 0
+
+
+def test_simhash_proposes_pairs_before_the_keys(spark, monkeypatch):
+    near = [(1, 5), (2, 5), (3, 4), (4, 1 << 40), (5, (1 << 40) + 3), (6, -1)]
+    prints = spark.createDataFrame(near, "u long, fp long")
+    made = {tuple(r) for r in set_similarity.fingerprint_pairs(prints).collect()}
+    assert (1, 2) in made and (1, 3) in made and (4, 5) in made and all(a < b for a, b in made) and 6 not in {u for p in made for u in p}
+
+    called = []
+    monkeypatch.setattr(set_similarity, "links", lambda fps, *rest: called.append(1) or simhash.links(fps, *rest))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()} == {1: 1, 2: 1, 3: 3}
+    assert called
+
+
+def test_merged_groups_join_roots_only(spark):
+    group = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "u long, root long")
+    pairs = spark.createDataFrame([(2, 6), (1, 5), (1, 2), (6, 9), (7, 8)], "a long, b long")
+    got = {r.u: r.root for r in set_similarity.merged(group, pairs).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 9: 1, 7: 7, 8: 7}
