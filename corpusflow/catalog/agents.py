@@ -95,18 +95,7 @@ SELECT root_id, search_no, count(*) || ' passage(s) for "search ' || search_no |
 )
 def evidence_report(t: Tables) -> DataFrame:
     shown = steps(t).select("root_id", F.col("k").cast("bigint").alias("chunk_id"), "position")
-    labelled = ru.evidence_labels(shown).withColumn("search_no", F.floor(F.col("position") / 500))
-    place = ru.place_of(F.col("filename"), F.col("page"), F.col("section"))
-    joined = labelled.join(chunks(t), "chunk_id").select(
-        "root_id", "search_no", "position",
-        ru.evidence_block(F.col("label"), place, F.col("text"), F.col("is_new")).alias("block"),
-    )
-    # One search shows a bounded number of passages.
-    blocks = F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda b: b["block"])
-    head = F.concat(
-        F.count(F.lit(1)).cast("string"), F.lit(' passage(s) for "search '), F.col("search_no").cast("string"), F.lit('":\n\n')
-    )
-    return joined.groupBy("root_id", "search_no").agg(F.concat(head, F.array_join(blocks, "\n\n")).alias("report"))
+    return ru.evidence_reports(shown.withColumn("search_no", F.floor(F.col("position") / 500)), chunks(t))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators.ordered import ranked
+from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 
 # Fixed values ---------------------------------------------------------------
@@ -86,14 +87,42 @@ def evidence_labels(shown: DataFrame, bucket_rows: int = 10_000) -> DataFrame:
     ).drop("first_position")
 
 
-def evidence_block(label: Column, where: Column, text: Column, is_new: Column, limit: int = EVIDENCE_CHARS) -> Column:
-    """One passage as shown to an agent; a repeat is a one-line pointer."""
+def evidence_text(text: Column, limit: int = EVIDENCE_CHARS) -> Column:
+    """What is shown of a passage's text."""
+    return tx.clip(tx.strip(text), limit, " […]")
+
+
+def evidence_block(label: Column, where: Column, shown: Column, is_new: Column) -> Column:
+    """One passage as shown to an agent (``shown``: its ``evidence_text``); a repeat is a one-line pointer."""
     head = F.concat(F.lit("["), label, F.lit("] "), where)
-    return F.when(is_new, F.concat(head, F.lit("\n"), tx.clip(tx.strip(text), limit, " […]"))).otherwise(
+    return F.when(is_new, F.concat(head, F.lit("\n"), shown)).otherwise(
         F.concat(head, F.lit(" (already shown above, not repeated)"))
     )
 
 
+def evidence_reports(shown: DataFrame, chunks: DataFrame, few_chunks: int = 20_000) -> DataFrame:
+    """``root_id, search_no, report``: what each search of a tree showed, in order of position.
+
+    ``shown``: ``root_id, chunk_id, position, search_no``. Each chunk is cut to
+    what is shown of it once, before it meets its showings, so their number
+    costs nothing of the length of texts; of chunks that are shown nothing is
+    moved but these. One search shows a bounded number of passages.
+    """
+    place = place_of(F.col("filename"), F.col("page"), F.col("section")).alias("place")
+    asked = staged(shown.select("chunk_id").distinct())
+    passages = chunks.select("chunk_id", place, evidence_text(F.col("text")).alias("passage"))
+    passages = staged(passages.join(broadcast_if_small(asked), "chunk_id", "left_semi"))
+    joined = evidence_labels(shown).join(broadcast_if_small(passages, few_chunks), "chunk_id").select(
+        "root_id", "search_no", "position",
+        evidence_block(F.col("label"), F.col("place"), F.col("passage"), F.col("is_new")).alias("block"),
+    )
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda b: b["block"])
+    head = F.concat(
+        F.count(F.lit(1)).cast("string"), F.lit(' passage(s) for "search '), F.col("search_no").cast("string"), F.lit('":\n\n')
+    )
+    return joined.groupBy("root_id", "search_no").agg(F.concat(head, F.array_join(blocks, "\n\n")).alias("report"))
+
+
 def place_of(filename: Column, page: Column, section: Column) -> Column:
     base = F.concat(filename, F.lit(" p."), page.cast("string"))
     return F.when(F.coalesce(section, F.lit("")) == "", base).otherwise(F.concat(base, F.lit(" — "), section))

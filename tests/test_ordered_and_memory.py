@@ -125,6 +125,24 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     assert sorted(r["frame_id"] for r in out.collect()) == [0, 1, 2] and late == 1
 
 
+def test_evidence_is_cut_once_a_chunk(spark):
+    shown = spark.createDataFrame(
+        [(1, 7, 0, 0), (1, 8, 1, 0), (1, 7, 2, 0), (1, 9, 3, 0), (2, 7, 600, 1)], "root_id bigint, chunk_id bigint, position bigint, search_no bigint"
+    )
+    chunks = spark.createDataFrame(
+        [(7, "  " + "x" * 710, "f", 1, "en"), (8, "short ", "g", 2, ""), (10, "never", "h", 3, "")],
+        "chunk_id bigint, text string, filename string, page bigint, section string",
+    )
+    got = ru.evidence_reports(shown, chunks)
+    long = "x" * 700 + " […]"
+    assert {r["root_id"]: r["report"] for r in got.collect()} == {
+        1: f'3 passage(s) for "search 0":\n\n[E1] f p.1 — en\n{long}\n\n[E2] g p.2\nshort\n\n[E1] f p.1 — en (already shown above, not repeated)',
+        2: f'1 passage(s) for "search 1":\n\n[E1] f p.1 — en\n{long}',
+    }
+    # Texts were trimmed and cut before they met the showings: none of it is left to do for each of these.
+    assert "trim(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_session_rules(spark):
     rows = [(1, i, t) for i, t in enumerate([0.0, 300.0, 600.5, 601.0])]
     df = spark.createDataFrame(rows, "session_id bigint, frame_id bigint, t double")
