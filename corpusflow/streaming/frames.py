@@ -5,6 +5,7 @@ Frames: ``session_id, frame_id, t`` (event time in seconds, ties by frame id).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,9 +190,11 @@ def recent_context(
 
 # Stream ---------------------------------------------------------------------------
 
-STATE = "last_kept double, seen bigint, last_active double, held array<string>, due bigint"
-PENDING = "t double, frame_id bigint, summary string, is_end boolean"
+STATE = "last_kept double, seen bigint, last_active double, held array<string>, due bigint, waiting binary"
+PIECE = "rows binary"
 OUTPUT = "session_id bigint, frame_id bigint, sampled boolean, context string"
+# Waiting rows of a session that lie in its own state; more of them lie in pieces beside it.
+NEAR = 512
 
 
 def _micros(t: float) -> int:
@@ -201,14 +204,19 @@ def _micros(t: float) -> int:
 class FrameSessions(StatefulProcessor):
     """Sampler, context buffer and expiry of one session, in order of event time.
 
-    Input: ``session_id, frame_id, t, summary, valid, is_end``, ``t`` being the
-    event time in seconds. Rows wait in the session's state until the watermark
-    has passed them and are then applied by time and frame id, whatever order
-    they came in; what is waiting of a session never spans more than the delay
-    of the watermark. One timer a session stands at its first waiting row, or
-    at the end of its lifetime. An invalid frame touches nothing; an end event,
-    or a pause longer than ``ttl``, clears the session, so the next frame is
-    sampled at once.
+    Input: ``session_id, frame_id, t, summary, valid, is_end, ts``, ``t`` being
+    the event time in seconds. Rows wait in the session's state until the
+    watermark has passed them and are then applied by time and frame id,
+    whatever order they came in; what is waiting of a session never spans more
+    than the delay of the watermark. One timer a session stands at its first
+    waiting row, or at the end of its lifetime. An invalid frame touches
+    nothing; an end event, or a pause longer than ``ttl``, clears the session,
+    so the next frame is sampled at once.
+
+    Up to ``NEAR`` of the next rows lie in the state's one value, others in
+    pieces by time, each twice as large as the one before. A piece is read when
+    the watermark reaches its first row, so a row is read again only in a piece
+    of half the size, however often the watermark moves.
     """
 
     def __init__(
@@ -223,68 +231,91 @@ class FrameSessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("session", STATE)
-        self.pending = handle.getListState("pending", PENDING)
+        self.pieces = handle.getMapState("pieces", "piece bigint", PIECE)
 
     def _load(self) -> tuple:
-        if not self.state.exists():
-            return None, 0, None, [], None
-        last_kept, seen, last_active, held, due = self.state.get()
-        return last_kept, seen, last_active, list(held or []), due
-
-    def _wake(self, due: int | None, at: int | None) -> int | None:
-        """Keep one timer, at the millisecond ``at``."""
-        if at != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            if at is not None:
-                self.handle.registerTimer(at)
-        return at
+        """Session, its timer, the rows at hand, and (first time, number) of its pieces."""
+        stored = self.state.get()
+        if stored is None:
+            return (None, 0, None, []), None, [], []
+        last_kept, seen, last_active, held, due, waiting = stored
+        near, far = pickle.loads(waiting)
+        return (last_kept, seen, last_active, list(held or [])), due, near, far
+
+    def _store(self, session: tuple, due: int | None, near: list[tuple], far: list[tuple]) -> None:
+        self.state.update((*session, due, pickle.dumps((near, far))))
+
+    def _put_piece(self, far: list[tuple], rows: list[tuple]) -> None:
+        number = 1 + max((n for _, n in far), default=0)
+        self.pieces.updateValue((number,), (pickle.dumps(rows),))
+        far.append((min(r[0] for r in rows), number))
+
+    def _take_pieces(self, far: list[tuple], watermark: int) -> tuple[list[tuple], list[tuple]]:
+        """Rows of the pieces whose first row the watermark has passed, and the pieces left."""
+        rows, left = [], []
+        for first, number in far:
+            if _micros(first) <= watermark * 1000:
+                rows += pickle.loads(self.pieces.getValue((number,))[0])
+                self.pieces.removeKey((number,))
+            else:
+                left.append((first, number))
+        return rows, left
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        session, due, near, far = self._load()
         first = None
         for frames in rows:
-            frames = frames[frames["valid"].astype(bool)]
-            if frames.empty:
+            columns = (frames[c].to_numpy().tolist() for c in ("t", "frame_id", "summary", "is_end", "valid"))
+            some = [(t, int(n), x if isinstance(x, str) else None, bool(e)) for t, n, x, e, valid in zip(*columns) if valid]
+            if not some:
                 continue
-            times, ids = frames["t"].astype(float).tolist(), frames["frame_id"].astype(int).tolist()
-            texts = frames["summary"].astype(object).where(frames["summary"].notna(), None).tolist()
-            self.pending.appendList(list(zip(times, ids, texts, frames["is_end"].astype(bool).tolist())))
-            first = min(times) if first is None else min(first, *times)
+            first = min([t for t, *_ in some] if first is None else [first, *(t for t, *_ in some)])
+            near += some
+            if len(near) > NEAR:
+                self._put_piece(far, near)
+                near = []
         if first is not None:
-            *session, due = self._load()
             at = _micros(first) // 1000
             # A timer that stands earlier finds these rows as well.
-            due = due if due is not None and due <= at else self._wake(due, at)
-            self.state.update((*session, due))
-        yield self._rows([])
+            if due is None or due > at:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(at)
+                due = at
+            self._store(session, due, near, far)
+        # An empty table a session would cost as much as its rows.
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Apply what the watermark has passed; drop a session that stayed idle past its lifetime."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        *session, due = self._load()
+        session, _, near, far = self._load()
+        taken, far = self._take_pieces(far, watermark)
         ready, later = [], []
-        for row in self.pending.get() if self.pending.exists() else ():
-            (ready if _micros(row[0]) <= watermark * 1000 else later).append(tuple(row))
+        for row in near + taken:
+            (ready if _micros(row[0]) <= watermark * 1000 else later).append(row)
         session, out = self._apply(key[0], session, sorted(ready, key=lambda row: row[:2]))
         last_active = session[2]
-        if later:
-            if ready:
-                self.pending.put(later)
-            at = min(_micros(row[0]) for row in later) // 1000
+        if len(later) > NEAR:
+            later.sort(key=lambda row: row[0])
+            later, rest, size = later[: NEAR // 2], later[NEAR // 2 :], NEAR
+            while rest:
+                self._put_piece(far, rest[:size])
+                rest, size = rest[size:], 2 * size
+        waits = [row[0] for row in later] + [first for first, _ in far]
+        if waits:
+            # A row at the watermark's own millisecond waits for its next move.
+            at = max(_micros(min(waits)) // 1000, watermark + 1)
         else:
-            self.pending.clear()
             at = None if last_active is None or self.ttl is None else _micros(last_active + self.ttl) // 1000 + 1
-        # A row at the watermark's own millisecond waits for its next move.
-        at = None if at is None else max(at, watermark + 1) if later else at
         idle = last_active is None or (self.ttl is not None and _micros(last_active + self.ttl) <= watermark * 1000)
-        if idle and not later:
+        if idle and not waits:
             self.state.clear()
         else:
-            session = (None, 0, None, []) if idle else session
             if at is not None:
                 self.handle.registerTimer(at)
-            self.state.update((*session, at))
-        yield self._rows(out)
+            self._store((None, 0, None, []) if idle else session, at, later, far)
+        return iter([self._rows(out)] if out else ())
 
     def _apply(self, session_id: int, session: list, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
         last_kept, seen, last_active, held = session
@@ -308,8 +339,7 @@ class FrameSessions(StatefulProcessor):
 
     @staticmethod
     def _rows(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["session_id", "frame_id", "sampled", "context"])
-        return frame.astype({"session_id": "int64", "frame_id": "int64", "sampled": "bool", "context": "str"})
+        return pd.DataFrame(dict(zip(("session_id", "frame_id", "sampled", "context"), map(list, zip(*out)))))
 
     def close(self) -> None:
         pass
@@ -323,7 +353,7 @@ def frame_stream(frames: DataFrame, processor: FrameSessions, delay: str = "10 m
     behind. Rows further behind are dropped and counted by the stream's
     progress (``streaming.sinks.run_counting_late``).
     """
-    timed = frames.withWatermark("ts", delay)
+    timed = frames.withWatermark("ts", delay).select("session_id", "frame_id", F.col("t").cast("double"), "summary", "valid", "is_end", "ts")
     return timed.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )

@@ -1,4 +1,8 @@
+import pickle
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -143,6 +147,56 @@ def test_evidence_is_cut_once_a_chunk(spark):
     assert "trim(" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+class Kept:
+    """A state handle in memory that counts the bytes read from it."""
+
+    def __init__(self):
+        self.values, self.timers, self.bytes_read = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(
+            get=lambda: self._read(name), update=lambda v: self.values.__setitem__(name, v), clear=lambda: self.values.pop(name, None)
+        )
+
+    def getMapState(self, name, key, schema):
+        return SimpleNamespace(
+            getValue=lambda k: self._read(k), updateValue=self.values.__setitem__, removeKey=lambda k: self.values.pop(k, None)
+        )
+
+    def _read(self, name):
+        value = self.values.get(name)
+        self.bytes_read += sum(len(v) for v in value or () if isinstance(v, bytes))
+        return value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("moves", [4, 256])
+def test_waiting_rows_are_not_read_at_every_move_of_the_watermark(moves):
+    rng = np.random.default_rng(moves)
+    n = 40_000
+    times = rng.permutation(n).astype(float)
+    frames = pd.DataFrame({"t": times, "frame_id": np.arange(n), "summary": "s", "is_end": False, "valid": True})
+    handle, out = Kept(), []
+    processor = fr.FrameSessions("frame_count", every=1, ttl=None)
+    processor.init(handle)
+    for part in np.array_split(np.arange(n), 4):
+        assert list(processor.handleInputRows((7,), iter([frames.iloc[part]]), None)) == []
+    for watermark in np.linspace(0, n, moves + 1)[1:]:
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: int(watermark * 1000))
+        for at in sorted(at for at in handle.timers if at <= watermark * 1000):
+            for rows in processor.handleExpiredTimer((7,), now, None):
+                out += rows["frame_id"].tolist()
+            handle.timers.discard(at)
+    assert out == np.argsort(times).tolist()
+    # Before, all that waited was read at every move: half of it 256 times.
+    assert handle.bytes_read < 12 * len(pickle.dumps(list(zip(times.tolist(), range(n), ["s"] * n, [False] * n))))
+
+
 def test_session_rules(spark):
     rows = [(1, i, t) for i, t in enumerate([0.0, 300.0, 600.5, 601.0])]
     df = spark.createDataFrame(rows, "session_id bigint, frame_id bigint, t double")
