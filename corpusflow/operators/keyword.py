@@ -23,6 +23,8 @@ from corpusflow.session import staged
 K1 = 1.2
 B = 0.75
 BROADCAST_TERMS = 200_000
+# Scores, and hits times queries, that a task holds at once.
+SCORED_CELLS = 500_000
 
 
 def require_positive(**values: int) -> None:
@@ -186,6 +188,22 @@ def bm25_topk(
     return rank_topk(bm25_scores(postings, stats, terms, k1, b), k)
 
 
+def shares(batch: pa.RecordBatch, first: np.ndarray, n_queries: int, cells: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` (``chunk_id, doc_len, hits``) in slices of bounded work: at most ``cells`` scores and as many hits
+    times the queries of their terms (a row that has more goes alone); ``first`` holds where each term's queries begin."""
+    cells = SCORED_CELLS if cells is None else cells
+    hits = batch.column("hits")
+    fan = np.concatenate(([0], np.cumsum(np.diff(first)[hits.flatten().field(0).to_numpy(zero_copy_only=False)])))
+    offsets = hits.offsets.to_numpy()
+    upto = fan[offsets - offsets[0]]
+    start, step = 0, max(1, cells // max(1, n_queries))
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(upto, upto[start] + cells, "right")) - 1
+        stop = min(max(stop, start + 1), start + step, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: float) -> DataFrame:
     spark = chunks.sparkSession
     numbers = {term: n for n, term in enumerate(sorted({r["term"] for r in rows}))}
@@ -211,10 +229,8 @@ def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: f
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, queries_of, weights, slices = payload.value
         best = Best(len(ids_q), k)
-        step = max(1, 2_000_000 // max(1, len(ids_q)))
         for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
+            for batch in shares(whole, slices, len(ids_q)):
                 hits = batch.column("hits")
                 flat = hits.flatten()
                 if len(flat) == 0:

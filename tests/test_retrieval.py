@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,19 @@ def test_ann_takes_questions_in_blocks(spark):
     rows = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in df.collect())
     whole = rows(de.dense_topk_ann(chunks, questions, 4))
     assert whole == rows(de.dense_topk_ann(chunks, questions, 4, max_shipped=6))
+
+
+def test_scoring_is_cut_by_hits_times_queries():
+    rng = np.random.default_rng(5)
+    first = np.array([0, 200, 203, 203, 210])  # queries of four terms
+    hits = [[{"term_no": int(n), "tf": 1} for n in rng.integers(0, 4, rng.integers(0, 30))] for _ in range(300)]
+    whole = pa.RecordBatch.from_pydict({"chunk_id": list(range(300)), "doc_len": [1] * 300, "hits": hits}).slice(7)
+
+    def work(rows):
+        return sum(int(first[h["term_no"] + 1] - first[h["term_no"]]) for r in rows for h in r)
+
+    parts = [p.column("hits").to_pylist() for p in kw.shares(whole, first, 10, cells=2000)]
+    assert [r for p in parts for r in p] == hits[7:]
+    # A whole batch of rows went at once before: here over 40 000 hits times queries.
+    assert all(work(p) <= 2000 or len(p) == 1 for p in parts) and work(hits[7:]) > 20 * 2000
+    assert all(len(p) <= 200 for p in parts)
