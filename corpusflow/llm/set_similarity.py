@@ -10,7 +10,8 @@ key is skipped or capped.
 Components need no comparison inside themselves. First come the pairs that
 SimHash links (``simhash.links``) and one pair a text with the first member of
 a key, then the other first members of its keys, then pairs that still lie in
-different components. Every pair is checked by its sets, whoever proposed it.
+different components, a few a text at a time while they are many. Every pair is
+checked by its sets, whoever proposed it.
 Keys of many texts meet by joins that are spread over tasks; a sample names the
 commonest of them, and any other is noticed where it meets.
 """
@@ -18,6 +19,7 @@ commonest of them, and any other is noticed where it meets.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ SPREAD = 16
 BITS = 1024
 # Rows of keys looked at together.
 BLOCK = 1 << 16
+# Pairs of a text that are tried at a time while its group is still in many components.
+EACH = 2
 
 
 def prefix(size: int, similarity: float) -> int:
@@ -295,6 +299,37 @@ def merged(group: DataFrame, pairs: DataFrame) -> DataFrame:
     return moved.unionByName(alone.toDF("u", "root"))
 
 
+def picked(pairs: DataFrame, turn: int, each: int = EACH) -> DataFrame:
+    """Up to ``each`` of the ``pairs`` (a, b) of every a and of every b, others in every turn."""
+
+    def of(end: str, other: str) -> DataFrame:
+        least = [F.min(F.struct(F.xxhash64("a", "b", F.lit(turn * each + i)), other))[other] for i in range(each)]
+        return pairs.groupBy(end).agg(F.array(*least).alias("_met")).select(end, F.explode("_met").alias(other)).select("a", "b")
+
+    return of("a", "b").unionByName(of("b", "a")).distinct()
+
+
+def joined_by_turns(pairs: DataFrame, group: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``group`` after trying ``pairs`` (a, b) a few a text at a time, and the pairs that still have to be compared.
+
+    ``linked`` gives those of some pairs that link. Texts of a large group link
+    over a few pairs each, and then all other pairs of them lie inside one
+    component. Turns end when the rest is in proportion to its texts, or does
+    not get less by half: then its texts do not link, and no pair may be left out.
+    """
+    left, turn = staged(pairs), 0
+    while True:
+        n, firsts, seconds = left.agg(F.count(F.lit(1)), F.countDistinct("a"), F.countDistinct("b")).first()
+        if n <= 2 * EACH * (firsts + seconds):
+            return group, left
+        some = staged(picked(left, turn))
+        group = staged(merged(group, linked(some)))
+        left = staged(rooted(left, group).select("a", "b").join(some, ["a", "b"], "left_anti"))
+        turn += 1
+        if 2 * left.count() > n:
+            return group, left
+
+
 def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column: str = "doc_id", text: str | Column = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, fp (SimHash over ``shingle`` words), component_id, kept.
 
@@ -342,8 +377,13 @@ def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column:
 
     # Whoever still lies in different components is compared, too.
     others = rooted(met.where("not star").select("a", "b"), group).select("a", "b").unionByName(crowd_pairs(crowd, group, similarity)).distinct()
-    others = staged(possible(others, sizes, similarity).join(tried.unionByName(again), ["a", "b"], "left_anti"))
-    roots = staged(merged(group, alike(others, heads, rows, words, similarity)))
+    others = others.join(tried.unionByName(again), ["a", "b"], "left_anti")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return alike(staged(possible(pairs, sizes, similarity)), heads, rows, words, similarity)
+
+    group, others = joined_by_turns(others, group, linked)
+    roots = staged(merged(group, linked(others)))
     member = heads.join(roots, "u").select("u", "root", "head")
     best = member.groupBy("root").agg(F.min("head").alias("best"))
     moved = staged(member.join(best, "root").select("u", "best"))

@@ -188,3 +188,24 @@ def test_merged_groups_join_roots_only(spark):
     pairs = spark.createDataFrame([(2, 6), (1, 5), (1, 2), (6, 9), (7, 8)], "a long, b long")
     got = {r.u: r.root for r in set_similarity.merged(group, pairs).collect()}
     assert got == {1: 1, 2: 1, 5: 1, 6: 1, 9: 1, 7: 7, 8: 7}
+
+
+@pytest.mark.parametrize("link", [True, False])
+def test_a_large_group_is_joined_by_a_few_pairs_a_text(spark, link):
+    n = 120
+    pairs = spark.createDataFrame([(i, j) for i in range(n) for j in range(i + 1, n)], "a long, b long")
+    seen = []
+
+    def linked(some):
+        seen.extend(tuple(r) for r in some.collect())
+        return some if link else some.limit(0)
+
+    group, left = set_similarity.joined_by_turns(pairs, spark.createDataFrame([], "u long, root long"), linked)
+    rest = [tuple(r) for r in left.collect()]
+    if link:
+        # All pairs were compared before: 7140 here.
+        assert len(seen) + len(rest) < 10 * n
+        roots = {r["root"] for r in set_similarity.merged(group, left).collect()}
+        assert len(roots) == 1 and group.count() == n
+    else:
+        assert group.count() == 0 and sorted(seen + rest) == sorted(tuple(r) for r in pairs.collect())
