@@ -56,19 +56,20 @@ def ingest(
     are documents that are stored already. Chunks are staged, because they are
     stored and counted.
     """
-    admitted = fi.admit(files).withColumn("content_hash", F.sha2("text", 256))
-    accepted = admitted.filter("reject_reason IS NULL")
-    owners = accepted.select("doc_id", "content_hash")
+    admitted = fi.admit(files)
+    # Texts are hashed once; what follows reads the hashes, and originals are found in place by their ids.
+    slim = staged(admitted.select("doc_id", "filename", F.sha2("text", 256).alias("content_hash"), "reject_reason"))
+    owners = slim.filter("reject_reason IS NULL").select("doc_id", "content_hash")
     owners = owners if known is None else owners.unionByName(known.select("doc_id", "content_hash"))
-    first = owners.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
-    originals = accepted.join(first, F.col("doc_id") == F.col("canonical_id"), "left_semi")
+    first = staged(owners.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id")))
+    ids = broadcast_if_small(first.select("canonical_id"))
+    originals = admitted.filter("reject_reason IS NULL").join(ids, F.col("doc_id") == F.col("canonical_id"), "left_semi")
     sections = bl.section_paths(bl.detect_headings(parsed_blocks(originals)))
     runs = ch.text_runs(sections, size, measure, headers)
     chunks = staged(ch.chunk_with(strategy, runs, overlap, measure=measure, **strategy_inputs))
     counts = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("page_no").alias("page_count")
     )
-    slim = admitted.select("doc_id", "filename", "content_hash", "reject_reason")
     joined = slim.join(first, "content_hash", "left").join(counts, "doc_id", "left")
     rejected = F.col("reject_reason").isNotNull()
     duplicate = ~rejected & (F.col("canonical_id") != F.col("doc_id"))

@@ -68,3 +68,15 @@ def test_search_of_an_empty_store(spark, tmp_path):
     questions = spark.createDataFrame([(1, "cat")], "query_id bigint, text string")
     assert search_stored(spark, str(tmp_path / "none"), questions).count() == 0
     assert remove_documents(questions.selectExpr("query_id AS doc_id"), str(tmp_path / "none")).count() == 0
+
+
+def test_texts_are_hashed_once(spark, monkeypatch):
+    from corpusflow.plans import ingest as module
+
+    kept, real = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df: kept.append(df.columns) or real(df))
+    files = spark.createDataFrame([(1, "a.txt", "x y", 3), (2, "b.txt", "x y", 3), (3, "c.exe", "z", 1)], "doc_id bigint, filename string, text string, n_bytes bigint")
+    _, registry = module.ingest(files)
+    assert {r["doc_id"]: r["status"] for r in registry.collect()} == {1: "READY", 2: "DUPLICATE", 3: "REJECTED"}
+    # Before, every later step read and hashed all texts again.
+    assert ["doc_id", "filename", "content_hash", "reject_reason"] in kept
