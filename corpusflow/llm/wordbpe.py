@@ -1,14 +1,16 @@
 """Ids of the lower-casing word BPE vocabulary, for whole Arrow columns.
 
 White space never joins two tokens of this vocabulary, so texts are cut at
-ASCII white space, each different word is encoded once, and the ids are put
-together by index arithmetic. Plain words are merged many at a time; words with
-special tokens, rare scripts or great length go to the tokenizers library.
+ASCII white space, each different word is encoded once and remembered, and the
+ids are put together by index arithmetic. Plain words are merged many at a time;
+words with special tokens, rare scripts or great length go to the tokenizers
+library.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,9 @@ import regex
 
 from corpusflow.llm.common import ragged, worker_state
 
-# Different parts of words whose ids a worker keeps.
+# Different words whose ids a worker keeps, and ids of all of them.
 CACHE = 400_000
+CACHED_IDS = 8 * CACHE
 # Longer parts go to the library, whose merging does not grow with the square.
 LONGEST = 64
 NEVER = np.int64(1 << 40)
@@ -62,6 +65,18 @@ class WordTokenizer:
         self.flat = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
+        self.again = np.zeros(0, dtype=bool)
+
+    def forget(self) -> None:
+        """Keep the words that were met again since the last time; most others never come back."""
+        kept = np.flatnonzero(self.again)
+        sizes = self.sizes[kept]
+        if 2 * len(kept) > CACHE or 2 * sizes.sum() > CACHED_IDS:
+            return self.clear()
+        words = list(self.index)
+        self.index = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat = self.flat[np.repeat(self.starts[kept], sizes) + ragged(sizes)]
+        self.starts, self.sizes, self.again = np.cumsum(sizes) - sizes, sizes, np.zeros(len(kept), dtype=bool)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NEVER if it does not merge) and what it makes."""
@@ -122,12 +137,23 @@ class WordTokenizer:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.concatenate([np.zeros(0, dtype=np.int64), *found]).astype(np.uint32), sizes
 
-    def learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts into the cache."""
-        ids, sizes = self.ids_of_parts(parts)
+    def ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and their number."""
+        different, part, number = self.parts(words)
+        ids, sizes = self.ids_of_parts(different)
+        starts, sizes = (np.cumsum(sizes) - sizes)[part], sizes[part]
+        ends, upto = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(number)])
+        return ids[np.repeat(starts, sizes) + ragged(sizes)], ends[upto[1:]] - ends[upto[:-1]]
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Put the ids of new words into the cache; their numbers there."""
+        ids, sizes = self.ids_of_words(words)
+        numbers = len(self.index) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
-        self.index.update(zip(parts, range(len(self.index), len(self.index) + len(parts))))
+        self.again = np.concatenate([self.again, np.zeros(len(words), dtype=bool)])
+        self.index.update(zip(words, numbers.tolist()))
+        return numbers
 
     def is_plain(self, word: str) -> bool:
         shown = word.isprintable() if word.isascii() else self.plain.fullmatch(word) is not None
@@ -161,23 +187,17 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         words_of = np.diff(split.offsets.to_numpy())
-        different, part, number = self.parts(coded.dictionary.to_pylist())
-        if len(self.index) > CACHE:
-            self.clear()
-        new = [p for p in different if p not in self.index and p != "\n"]
-        if new:
-            self.learn(new)
-        # Parts of words, ids of words, ids of texts.
-        known = np.fromiter((self.index.get(p, -1) for p in different), dtype=np.int64, count=len(different))
-        part = known[part]
-        sizes = self.sizes[part]
-        ids = self.flat[np.repeat(self.starts[part], sizes) + ragged(sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        upto = np.concatenate([[0], np.cumsum(number)])
-        starts, word_size = ends[upto[:-1]], ends[upto[1:]] - ends[upto[:-1]]
+        if len(self.index) > CACHE or len(self.flat) > CACHED_IDS:
+            self.forget()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = known < 0
+        self.again[known[~new]] = True
+        if new.any():
+            known[new] = self.learn([words[i] for i in np.flatnonzero(new).tolist()])
         codes = coded.indices.to_numpy()
-        lengths = word_size[codes]
-        out = ids[np.repeat(starts[codes], lengths) + ragged(lengths)]
+        lengths = self.sizes[known][codes]
+        out = self.flat[np.repeat(self.starts[known][codes], lengths) + ragged(lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         bounds = np.concatenate([[0], np.cumsum(words_of)])
         return out, total[bounds[1:]] - total[bounds[:-1]]

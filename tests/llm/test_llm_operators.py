@@ -310,6 +310,20 @@ def test_word_ids_equal_library():
         at += n
 
 
+def test_words_met_again_are_not_cut_again(monkeypatch):
+    monkeypatch.setattr(wordbpe, "CACHE", 30)
+    own, cut = wordbpe.WordTokenizer(WORD_FILE), []
+    parts = own.parts
+    monkeypatch.setattr(own, "parts", lambda words: cut.append(list(words)) or parts(words))
+    for n in range(40):  # the words of a slice are forgotten, but for those of every slice
+        texts = [f"The  word x{n}y{m}, <|endoftext|>'{n} {'z' * m} 中{n}" for m in range(4)] + [None, ""]
+        ids, number = own.encode(pa.array(texts))
+        truth = [own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for t in truth for i in t] and number.tolist() == [len(t) for t in truth]
+        assert len(own.index) < 60
+    assert [sum("word" in words for words in cut), sum(f"x{n}y1," in words for words in cut)] == [1, 1]
+
+
 # 6. Lines
 
 
