@@ -12,8 +12,11 @@ SimHash links (``simhash.links``) and one pair a text with the first member of
 a key, then the other first members of its keys, then pairs that still lie in
 different components, a few a text at a time while they are many. Every pair is
 checked by its sets, whoever proposed it.
-Keys of many texts meet by joins that are spread over tasks; a sample names the
-commonest of them, and any other is noticed where it meets.
+The texts of a crowded key meet in cells of a few hundred, spread over tasks.
+By turns a cell proposes for each text only the closest one of another
+component; what lies in different components after that is compared in full, and
+only pairs that the bitmaps allow leave a cell. A sample names the commonest
+keys, and any other is noticed where it meets.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import released, slices, sorted_by_key, whole_text
+from corpusflow.llm.common import released, runs, slices, sorted_by_key, whole_text
 from corpusflow.llm.simhash import SHINGLE, components, fingerprint, links, shingle_set
 from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
@@ -38,8 +41,10 @@ SAMPLE = 5_000
 COUNTED = 1 << 20
 # A key in more texts than this meets by a join spread over tasks.
 CROWD = 256
-# Parts that the members of such a key are dealt into.
-SPREAD = 16
+# Texts of such a key that are compared with each other, or with as many others, in a task.
+CELL = 256
+# Texts outside the largest group of such a key that are few enough to compare all.
+FEW = 32
 # Bits of the smallest parity bitmap; larger sets have at least a bit for each member.
 BITS = 1024
 # Rows of keys looked at together.
@@ -253,22 +258,129 @@ def alike(pairs: DataFrame, heads: DataFrame, rows: DataFrame, words: int, simil
     return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def crowd_pairs(crowd: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a crowded key that lie in different groups; ``group`` has the (u, root) of who is in one."""
-    share = similarity / (1 + similarity)
-    own = crowd.join(group, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    own = staged(own.join(broadcast_if_small(mixed), "key", "left_semi"))
-    # Members of the largest group of a key are only compared with the others.
-    most = own.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    own = own.join(broadcast_if_small(most), "key")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part")
-    left = own.where("root <> main").select(*(F.col(c).alias(f"_{c}") for c in ("key", "u", "n", "pos", "root")), parts)
-    right = own.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(SPREAD)).cast("int"))
-    fits = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) >= F.lit(share) * (F.col("n") + F.col("_n")) - 1e-6
-    once = (F.col("root") == F.col("main")) | (F.col("_u") < F.col("u"))
-    same = (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")) & (F.col("root") != F.col("_root")) & once & fits
-    return left.join(right, same).select(F.least("u", "_u").alias("a"), F.greatest("u", "_u").alias("b")).distinct()
+def shortened(maps: pa.Array) -> np.ndarray:
+    """Bitmaps, one a row, at the smallest number of bits."""
+    wide = pa.compute.binary_length(maps).to_numpy(zero_copy_only=False) // 8
+    out = np.empty((len(maps), BITS // 64), dtype=np.uint64)
+    for words in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == words)
+        raw = b"".join(maps.take(pa.array(at)).to_pylist())
+        out[at] = folded(np.frombuffer(raw, dtype=np.uint64).reshape(len(at), -1), BITS // 64)
+    return out
+
+
+def with_maps(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``entries`` (key, u, n, pos, root) with short bitmaps."""
+
+    def run(batches):
+        for batch in slices(batches, 5):
+            short = shortened(batch.column(5))
+            maps = pa.array([row.tobytes() for row in short], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), maps], ["key", "u", "n", "pos", "root", "map"])
+
+    wide = entries.join(sizes.select("u", "bits"), "u").select("key", "u", "n", "pos", "root", "bits")
+    return wide.mapInArrow(run, "key long, u long, n int, pos int, root long, map binary")
+
+
+def close(cells: DataFrame, similarity: float, closest: bool) -> DataFrame:
+    """Pairs (a, b) of ``cells`` (cell, side, u, root, n, pos, map) in different groups that may be similar.
+
+    Texts of side 0 meet those of side 1, and texts of side 2 each other. With
+    ``closest`` each text proposes one other at most, else all pairs come back.
+    """
+    share, most = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for cell in runs(batches, "cell"):
+            side, u, root, n, pos = (cell[c].to_numpy() for c in ("side", "u", "root", "n", "pos"))
+            maps = np.frombuffer(b"".join(cell["map"].to_pylist()), dtype=np.uint64).reshape(len(u), -1)
+            for one, other in ((0, 1), (2, 2)):
+                x, y = np.flatnonzero(side == one), np.flatnonzero(side == other)
+                if not (len(x) and len(y)):
+                    continue
+                apart = np.zeros((len(x), len(y)), dtype=np.int32)
+                for word in maps.T:
+                    apart += np.bitwise_count(word[x, None] ^ word[None, y])
+                both = n[x, None] + n[None, y]
+                fits = (root[x, None] != root[None, y]) & (apart <= most * both + 1e-6)
+                fits &= np.minimum((n - pos)[x, None], (n - pos)[None, y]) >= share * both - 1e-6
+                if closest:
+                    i = np.flatnonzero(fits.any(axis=1))
+                    j = np.where(fits[i], apart[i] / both[i], np.inf).argmin(axis=1)
+                else:
+                    i, j = np.nonzero(np.triu(fits, 1) if one == other else fits)
+                if len(i):
+                    ends = u[x[i]], u[y[j]]
+                    found = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        released()
+
+    kept = sorted_by_key(cells, "cell").select("cell", F.col("side").cast("int").alias("side"), "u", "root", "n", "pos", "map")
+    return kept.mapInArrow(run, "a long, b long").distinct()
+
+
+def key_sizes(entries: DataFrame) -> DataFrame:
+    """(key, main, n_main, n_all, n_groups) of the keys of several groups: the largest group among the texts of a key, its texts, all texts and groups."""
+    groups = entries.groupBy("key", "root").count()
+    main = F.max_by(F.struct("root", "count"), F.struct("count", "root"))
+    keys = groups.groupBy("key").agg(main.alias("m"), F.sum("count").alias("n_all"), F.count(F.lit(1)).alias("n_groups"))
+    return keys.where("n_groups > 1").select("key", F.col("m.root").alias("main"), F.col("m.count").alias("n_main"), "n_all", "n_groups")
+
+
+def rerooted(entries: DataFrame, group: DataFrame) -> DataFrame:
+    """``entries`` with the groups that their roots are in by now; ``group`` has the (u, root) of who is in one."""
+    top = group.select(F.col("u").alias("root"), F.col("root").alias("top"))
+    return entries.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def crowd_turns(crowd: DataFrame, sizes: DataFrame, group: DataFrame, linked: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``group`` after linking close texts of crowded keys, and the entries that lie in different groups still.
+
+    In a turn the texts of a key are dealt into cells, others each time, and a
+    text tries the closest one of another group. A key takes part until few of
+    its texts lie outside its largest group, or its groups do not get less by an
+    eighth: then its texts do not link, and no pair may be left out.
+    """
+    own = staged(crowd.join(group, "u", "left").withColumn("root", F.coalesce("root", "u")))
+    counts, turn = staged(key_sizes(own)), 0
+    own = staged(with_maps(own.join(broadcast_if_small(counts.select("key")), "key", "left_semi"), sizes))
+    while True:
+        going = staged(counts.where(F.col("n_all") - F.col("n_main") > FEW).select("key", "n_all", F.col("n_groups").alias("were")))
+        if not going.limit(1).count():
+            return group, own
+        parts = F.ceil(F.col("n_all") / F.lit(CELL))
+        cell = F.xxhash64("key", F.pmod(F.xxhash64("u", F.lit(turn)), parts))
+        cells = own.join(broadcast_if_small(going), "key").select(cell.alias("cell"), F.lit(2).alias("side"), "u", "root", "n", "pos", "map")
+        group = staged(merged(group, linked(staged(close(cells, similarity, True)))))
+        own = staged(rerooted(own, group))
+        counts = key_sizes(own).join(broadcast_if_small(going.select("key", "were")), "key").where("8 * n_groups <= 7 * were")
+        turn += 1
+
+
+def crowd_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of crowded keys in different groups that may be similar; ``entries`` are those of ``crowd_turns`` with their roots.
+
+    Texts of the largest group of a key are only compared with the others. Both
+    are dealt into parts, and a cell holds two parts of a key.
+    """
+    own = entries.join(broadcast_if_small(staged(key_sizes(entries))), "key")
+    others, main = (F.ceil(n / F.lit(CELL)).cast("int") for n in (F.col("n_all") - F.col("n_main"), F.col("n_main")))
+    part = F.pmod(F.xxhash64("u"), F.when(F.col("root") == F.col("main"), main).otherwise(others)).cast("int")
+
+    def cells(upto: Column, made: Callable[[Column], tuple[Column, Column]]) -> Column:
+        def one(j: Column) -> Column:
+            cell, side = made(j)
+            return F.struct(cell.alias("cell"), side.cast("int").alias("side"))
+
+        return F.transform(F.sequence(F.lit(0), upto - 1), one)
+
+    i = F.col("part")
+    among = cells(others, lambda j: (F.xxhash64("key", F.least(i, j), F.greatest(i, j)), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    with_main = cells(main, lambda j: (F.xxhash64("key", i, j, F.lit("main")), F.lit(0)))
+    as_main = cells(others, lambda j: (F.xxhash64("key", j, i, F.lit("main")), F.lit(1)))
+    at = F.explode(F.when(F.col("root") == F.col("main"), as_main).otherwise(F.concat(among, with_main)))
+    dealt = own.withColumn("part", part).select("u", "root", "n", "pos", "map", at.alias("at"))
+    return close(dealt.select("at.cell", "at.side", "u", "root", "n", "pos", "map"), similarity, False)
 
 
 def fingerprint_pairs(prints: DataFrame) -> DataFrame:
@@ -375,14 +487,14 @@ def similar_texts(docs: DataFrame, similarity: float, words: int = 5, id_column:
     again = staged(possible(others, sizes, similarity))
     group = staged(merged(group, alike(again, heads, rows, words, similarity)))
 
-    # Whoever still lies in different components is compared, too.
-    others = rooted(met.where("not star").select("a", "b"), group).select("a", "b").unionByName(crowd_pairs(crowd, group, similarity)).distinct()
-    others = others.join(tried.unionByName(again), ["a", "b"], "left_anti")
-
     def linked(pairs: DataFrame) -> DataFrame:
         return alike(staged(possible(pairs, sizes, similarity)), heads, rows, words, similarity)
 
+    # Whoever still lies in different components is compared, too.
+    group, entries = crowd_turns(crowd, sizes, group, linked, similarity)
+    others = rooted(met.where("not star").select("a", "b"), group).select("a", "b").join(tried.unionByName(again), ["a", "b"], "left_anti")
     group, others = joined_by_turns(others, group, linked)
+    others = staged(others.unionByName(crowd_pairs(staged(rerooted(entries, group)), similarity)).distinct())
     roots = staged(merged(group, linked(others)))
     member = heads.join(roots, "u").select("u", "root", "head")
     best = member.groupBy("root").agg(F.min("head").alias("best"))

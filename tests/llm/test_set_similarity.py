@@ -209,3 +209,45 @@ def test_a_large_group_is_joined_by_a_few_pairs_a_text(spark, link):
         assert len(roots) == 1 and group.count() == n
     else:
         assert group.count() == 0 and sorted(seen + rest) == sorted(tuple(r) for r in pairs.collect())
+
+
+def crowd_of(spark, n, link):
+    """Entries of one key, with bitmaps by u, of texts that are all alike or share two thirds of their shingles."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, size=200)
+    sets = [np.unique(np.concatenate([base[: 195 if link else 135], rng.integers(0, 2**62, size=5 if link else 65)])) for _ in range(n)]
+    crowd = spark.createDataFrame([(9, i, 200, 0) for i in range(n)], "key long, u long, n int, pos int")
+    sizes = spark.createDataFrame([(i, 200, set_similarity.parity(x)) for i, x in enumerate(sets)], "u long, n int, bits binary")
+    return crowd, sizes, sets
+
+
+def test_a_crowded_key_is_joined_by_few_pairs_a_text(spark):
+    n, seen = 700, []
+    crowd, sizes, _ = crowd_of(spark, n, True)
+
+    def linked(pairs):
+        seen.append(pairs.count())
+        return pairs
+
+    none = spark.createDataFrame([], "u long, root long")
+    group, left = set_similarity.crowd_turns(crowd.repartition(3), sizes, none, linked, 0.8)
+    rest = set_similarity.crowd_pairs(left, 0.8)
+    # All 244 650 pairs of the key were made before.
+    assert max(seen) <= n and len(seen) < 12 and sum(seen) + rest.count() < 40 * n
+    assert len({r.root for r in set_similarity.merged(group, rest).collect()}) == 1
+
+
+@pytest.mark.parametrize("cell", [8, 256])
+def test_a_crowded_key_leaves_no_pair_out(spark, monkeypatch, cell):
+    """Texts in different groups meet in one cell, whatever the cells and groups; only the bitmaps rule pairs out."""
+    monkeypatch.setattr(set_similarity, "CELL", cell)
+    n = 60
+    crowd, sizes, sets = crowd_of(spark, n, True)
+    roots = [0 if i % 3 else i for i in range(n)]
+    entries = set_similarity.with_maps(crowd.join(spark.createDataFrame(list(enumerate(roots)), "u long, root long"), "u"), sizes)
+    made = [tuple(r) for r in set_similarity.crowd_pairs(entries, 0.8).collect()]
+    alike = {(i, j) for i in range(n) for j in range(i + 1, n) if roots[i] != roots[j]}
+    assert sorted(made) == sorted(alike)
+    far, sizes, _ = crowd_of(spark, n, False)
+    entries = set_similarity.with_maps(far.withColumn("root", far["u"]), sizes)
+    assert set_similarity.crowd_pairs(entries, 0.8).count() == 0
