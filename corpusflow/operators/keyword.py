@@ -8,23 +8,27 @@ shuffled is one row per (chunk, term), never one per token.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 from corpusflow.operators.sizing import at_most, broadcast_if_small
 from corpusflow.operators.topk import RANK_DIGITS, Best, id_array, result_schema
-from corpusflow.session import staged
+from corpusflow.session import staged, with_small_batches
 
 K1 = 1.2
 B = 0.75
 BROADCAST_TERMS = 200_000
 # Scores, and hits times queries, that a task holds at once.
 SCORED_CELLS = 500_000
+# Postings that a task orders by term at once.
+POSTING_RUN = 500_000
 
 
 def require_positive(**values: int) -> None:
@@ -95,6 +99,75 @@ def doc_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tx.tokens(F.col("text"))).cast("bigint").alias("doc_len"))
 
 
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """``term_frequency`` with ``doc_id``, counted inside the row of each chunk, so that nothing is shuffled.
+
+    Rows come in runs of bounded size, each in order of terms.
+    """
+    order = ["chunk_id", "doc_id", "doc_len", "term", "tf"]
+    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in order[:2]) + ", doc_len int, term string, tf bigint"
+    limit = POSTING_RUN
+
+    def run(ids: list[list[pa.Array]], counts: list[Counter]) -> pa.RecordBatch:
+        chunk = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        terms = pa.array([t for c in counts for t in c], pa.binary()).dictionary_encode()
+        place = np.empty(len(terms.dictionary), dtype=np.int64)
+        place[pc.array_sort_indices(terms.dictionary).to_numpy()] = np.arange(len(place))
+        code = terms.indices.to_numpy()
+        first = np.argsort(place[code], kind="stable")
+        tf = np.fromiter((n for c in counts for n in c.values()), np.int64, len(chunk))
+        length = np.array([c.total() for c in counts], dtype=np.int32)
+        of = chunk[first]
+        columns = [pa.concat_arrays(part).take(pa.array(of)) for part in zip(*ids)]
+        columns += [pa.array(length[of]), terms.dictionary.cast(pa.string()).take(pa.array(code[first])), pa.array(tf[first])]
+        return pa.RecordBatch.from_arrays(columns, order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, held = [], [], 0
+        for batch in batches:
+            start = 0
+            for n, words in enumerate(_ascii_words(batch.column("text"))):
+                counts.append(Counter(words))
+                for word in STOP_BYTES:
+                    counts[-1].pop(word, None)
+                held += len(counts[-1])
+                if held >= limit:
+                    ids.append([batch.column(c).slice(start, n + 1 - start) for c in order[:2]])
+                    yield run(ids, counts)
+                    ids, counts, held, start = [], [], 0, n + 1
+            ids.append([batch.column(c).slice(start) for c in order[:2]])
+        if held:
+            yield run(ids, counts)
+
+    with_small_batches(chunks.sparkSession)
+    return chunks.select("chunk_id", "doc_id", F.lower("text").alias("text")).mapInArrow(count, schema)
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """``doc_lengths`` with ``doc_id``, by the words that ``chunk_terms`` counts."""
+    order = ["chunk_id", "doc_id"]
+    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in order) + ", doc_len bigint"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _ascii_words(batch.column("text"))
+            lengths = pa.array([len(w) - sum(map(STOP_BYTES.__contains__, w)) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), lengths], [*order, "doc_len"])
+
+    with_small_batches(chunks.sparkSession)
+    return chunks.select(*order, F.lower("text").alias("text")).mapInArrow(count, schema)
+
+
+# ``tx.words`` of lower-cased UTF-8: every byte that is no [a-z0-9] parts words.
+WORD_BYTES = bytes(n if chr(n) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for n in range(256))
+STOP_BYTES = frozenset(w.encode() for w in tx.STOP_WORDS)
+
+
+def _ascii_words(lowered: pa.Array) -> Iterator[list[bytes]]:
+    for text in lowered.cast(pa.binary()):
+        yield (text.as_py() or b"").translate(WORD_BYTES).split()
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: number of chunks and average length, empty chunks included."""
     return lengths.agg(
@@ -205,12 +278,49 @@ def shares(batch: pa.RecordBatch, first: np.ndarray, n_queries: int, cells: int
 
 
 def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: float) -> DataFrame:
-    spark = chunks.sparkSession
-    numbers = {term: n for n, term in enumerate(sorted({r["term"] for r in rows}))}
-    vocabulary = spark.createDataFrame(list(numbers.items()), "term string, term_no int")
+    numbers = _term_numbers(rows)
+    vocabulary = chunks.sparkSession.createDataFrame(list(numbers.items()), VOCABULARY)
     table = chunk_postings(chunks, vocabulary)
+    return _best_in_tasks(table, corpus_stats(table), rows, numbers, k, k1, b)
+
+
+VOCABULARY = "term string, term_no int"
+
+
+def _term_numbers(rows: list[Row]) -> dict[str, int]:
+    return {term: n for n, term in enumerate(sorted({r["term"] for r in rows}))}
+
+
+def stored_topk(
+    postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int, k1: float = K1, b: float = B,
+    max_shipped: int = BROADCAST_TERMS,
+) -> DataFrame:
+    """Top ``k`` chunks per query (``terms``) from postings that are counted already.
+
+    As in ``bm25_topk``, few (query, term) rows are shipped to the tasks: what
+    is shuffled is one row per hit, never one per hit and query.
+    """
+    few = terms.limit(max_shipped + 1).collect()  # bounded
+    if len(few) > max_shipped:
+        postings = staged(postings.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"))
+        return rank_topk(bm25_scores(postings, stats, terms, k1, b), k)
+    numbers = _term_numbers(few)
+    vocabulary = postings.sparkSession.createDataFrame(list(numbers.items()), VOCABULARY)
+    # Postings lie in order of terms: gathering a chunk's hits before they are dealt would only sort them twice.
+    hits = postings.join(F.broadcast(vocabulary), "term").repartition("chunk_id")
+    table = staged(hits.groupBy("chunk_id").agg(
+        F.first("doc_len").alias("doc_len"), F.collect_list(F.struct("term_no", F.col("tf").cast("int").alias("tf"))).alias("hits")
+    ))
+    return rank_topk(_best_in_tasks(table, stats, few, numbers, k, k1, b), k)
+
+
+def _best_in_tasks(
+    table: DataFrame, stats: DataFrame, rows: list[Row], numbers: dict[str, int], k: int, k1: float, b: float
+) -> DataFrame:
+    """Scores of a staged ``table`` (``chunk_id, doc_len, hits``), the best ``k`` per query and task."""
+    spark = table.sparkSession
     # One row for the corpus and one per query term.
-    n_chunks, average = corpus_stats(table).first()
+    n_chunks, average = stats.first()
     found = table.select(F.explode("hits").alias("h")).groupBy("h.term_no").agg(F.count(F.lit(1)).alias("df"))
     df = np.zeros(len(numbers))
     for term_no, count in found.collect():
@@ -254,7 +364,7 @@ def _scored_in_tasks(chunks: DataFrame, rows: list[Row], k: int, k1: float, b: f
             yield kept
 
     hit_rows = table.filter(F.size("hits") > 0)
-    return hit_rows.mapInArrow(score, result_schema(chunks))
+    return hit_rows.mapInArrow(score, result_schema(table))
 
 
 def _term_bucket(buckets: int) -> Column:

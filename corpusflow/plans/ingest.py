@@ -9,7 +9,7 @@ from corpusflow.functions.models import CHARACTERS, Measure
 from corpusflow.functions.scalars import extension
 from corpusflow.operators import blocks as bl
 from corpusflow.operators import chunking as ch
-from corpusflow.operators.keyword import bm25_scores, corpus_stats, doc_lengths, query_terms, rank_topk, require_positive, term_frequency
+from corpusflow.operators.keyword import chunk_lengths, chunk_terms, corpus_stats, query_terms, require_positive, stored_topk
 from corpusflow.operators.sizing import broadcast_if_small
 from corpusflow.session import staged
 from corpusflow.sources import files as fi
@@ -21,6 +21,8 @@ HTML = (".html", ".htm")
 # Admitted formats whose bytes are no text; reading them takes a codec outside this library.
 CODED = (".pdf", ".docx")
 DELIMITED = (".csv", ".tsv")
+# Ids of originals that are broadcast; more of them are joined by shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def parsed_blocks(files: DataFrame) -> DataFrame:
@@ -39,6 +41,19 @@ def parsed_blocks(files: DataFrame) -> DataFrame:
     )
 
 
+def marked_plain(files: DataFrame, slim: DataFrame) -> DataFrame:
+    """``doc_id, filename, text, plain``: where ``plain``, the text is the paragraphs of ``blocks.plain_text``.
+
+    Staged, since what follows reads either kind alone. A document that comes
+    twice in the batch (``slim``) is left to ``parsed_blocks``.
+    """
+    twice = broadcast_if_small(slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("twice")))
+    lines = ~extension(F.col("filename")).isin(*HTML, *DELIMITED, *CODED)
+    read = files.join(twice, "doc_id", "left").withColumn("body", F.when(lines & F.col("twice").isNull(), bl.plain_text(F.col("text"))))
+    plain = F.col("body").isNotNull()
+    return staged(read.select("doc_id", "filename", F.when(plain, F.col("body")).otherwise(F.col("text")).alias("text"), plain.alias("plain")))
+
+
 def ingest(
     files: DataFrame,
     strategy: str = "recursive",
@@ -62,11 +77,13 @@ def ingest(
     owners = slim.filter("reject_reason IS NULL").select("doc_id", "content_hash")
     owners = owners if known is None else owners.unionByName(known.select("doc_id", "content_hash"))
     first = staged(owners.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id")))
-    ids = broadcast_if_small(first.select("canonical_id"))
+    ids = broadcast_if_small(first.select("canonical_id"), BROADCAST_IDS)
     originals = admitted.filter("reject_reason IS NULL").join(ids, F.col("doc_id") == F.col("canonical_id"), "left_semi")
-    sections = bl.section_paths(bl.detect_headings(parsed_blocks(originals)))
+    texts = marked_plain(originals, slim)
+    sections = bl.section_paths(bl.detect_headings(parsed_blocks(texts.filter("NOT plain"))))
     runs = ch.text_runs(sections, size, measure, headers)
-    chunks = staged(ch.chunk_with(strategy, runs, overlap, measure=measure, **strategy_inputs))
+    plain = ch.plain_runs(texts.filter("plain"), size, measure)
+    chunks = staged(ch.chunk_all(strategy, runs, plain, overlap, measure=measure, **strategy_inputs))
     counts = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("page_no").alias("page_count")
     )
@@ -113,8 +130,8 @@ def store_batch(files: DataFrame, folder: str, **options) -> DataFrame:
     registry = staged(registry)
     changed, heirs = _new_owners(stored, others, registry.filter("status <> 'REJECTED'"))
     changed = staged(registry.unionByName(changed))
-    added = chunks.unionByName(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs))
-    _write(folder, changed, staged(added), changed.select("doc_id"))
+    added = chunks.unionByName(staged(_inherited(st.read_store(spark, f"{folder}/chunks"), heirs)))
+    _write(folder, changed, added, changed.select("doc_id"))
     return registry
 
 
@@ -169,13 +186,11 @@ def _new_owners(stored: DataFrame, others: DataFrame, arrived: DataFrame | None)
 
 def _write(folder: str, registry: DataFrame, chunks: DataFrame, replaced: DataFrame) -> None:
     """One batch to the postings, the chunk lengths, the chunks and, last, the registry."""
-    owner = F.substring_index("chunk_id", "::", 1).cast(chunks.schema["doc_id"].dataType).alias("doc_id")
-    # Counting has spread the rows by chunk and term, so no term is one file;
-    # files in order of terms let a search skip the pages of other terms.
-    counted = term_frequency(chunks).select("*", owner).sortWithinPartitions("term", "chunk_id")
-    st.append(counted, f"{folder}/postings", replaced)
-    st.append(doc_lengths(chunks).select("*", owner), f"{folder}/lengths", replaced)
-    st.append(chunks, f"{folder}/chunks", replaced)
+    # Counted where the chunk lies, so no term is one file; runs in order of
+    # terms let a search skip the pages of other terms.
+    st.append(chunk_terms(chunks), f"{folder}/postings", replaced, whole=True)
+    st.append(chunk_lengths(chunks), f"{folder}/lengths", replaced, whole=True)
+    st.append(chunks, f"{folder}/chunks", replaced, whole=True)
     st.append(registry, f"{folder}/registry", replaced)
 
 
@@ -191,15 +206,11 @@ def search_stored(spark: SparkSession, folder: str, queries: DataFrame, k: int =
     if postings is None:
         return spark.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int")
     terms = staged(query_terms(queries))
-    vocabulary = terms.select("term").distinct()
-    some = [r["term"] for r in vocabulary.limit(few_terms + 1).collect()]
+    some = [r["term"] for r in terms.select("term").distinct().limit(few_terms + 1).collect()]
     if len(some) <= few_terms:
         postings = postings.filter(F.col("term").isin(some))
-    else:
-        postings = postings.join(broadcast_if_small(vocabulary), "term", "left_semi")
-    hits = staged(postings.select("chunk_id", "term", "tf", "doc_len"))
     stats = corpus_stats(st.read_store(spark, f"{folder}/lengths"))
-    return rank_topk(bm25_scores(hits, stats, terms), k)
+    return stored_topk(postings, stats, terms, k)
 
 
 def _inherited(chunks: DataFrame, heirs: DataFrame) -> DataFrame:

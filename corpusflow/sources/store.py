@@ -4,7 +4,8 @@ A store is a folder of numbered layers: complete snapshots (``b<n>``) and the
 batches written since (``d<n>``). A layer counts once its ``_SUCCESS`` file is
 there, so readers never see half a write and a lost writer leaves the old state
 in place. A batch may replace whole documents (``x<n>`` names them): what was
-written of them before is gone. Reading lays the batches over the snapshot,
+written of them before is gone. Where it holds nothing of other documents, it
+is ``w<n>`` that names them, and no row of it meets an older one. Reading lays the batches over the snapshot,
 last write first;
 ``compact`` folds them into a new snapshot when that is wanted. Numbers are
 claimed by creating a marker file, so two writers never share one.
@@ -30,6 +31,9 @@ READY, FAILED, PROCESSING = "READY", "FAILED", "PROCESSING"
 
 # Layers ------------------------------------------------------------------------
 
+# Bytes of named documents that reading broadcasts; more of them are joined by shuffle.
+NAMED_BYTES = 32 << 20
+
 
 def _layers(spark: SparkSession, folder: str) -> tuple[int | None, list[int]]:
     """Number of the newest complete snapshot and of the batches after it."""
@@ -57,15 +61,20 @@ def _claim(spark: SparkSession, folder: str) -> int:
     return number
 
 
-def _replaced(spark: SparkSession, folder: str, batches: list[int]) -> DataFrame | None:
-    """``doc_id, _gone``: the last batch that replaced each document."""
+def _named(spark: SparkSession, folder: str, batches: list[int]) -> dict[int, str]:
+    """The folders that name the documents replaced by each batch that replaced some."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    numbers = [n for n in batches if fs.exists(path(f"{folder}/x{n}/_SUCCESS"))]
-    if not numbers:
-        return None
-    named = [spark.read.parquet(f"{folder}/x{n}").select("doc_id", F.lit(n).alias("_gone")) for n in numbers]
-    return functools.reduce(DataFrame.unionByName, named).groupBy("doc_id").agg(F.max("_gone").alias("_gone"))
+    return {n: f"{folder}/{kind}{n}" for n in batches for kind in "xw" if fs.exists(path(f"{folder}/{kind}{n}/_SUCCESS"))}
+
+
+def _replaced(spark: SparkSession, named: dict[int, str]) -> DataFrame:
+    """``doc_id, _gone``: the last batch that replaced each document."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    sizes = [path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path(f)).getLength() for f in named.values()]
+    parts = [spark.read.parquet(f).select("doc_id", F.lit(n).alias("_gone")) for n, f in named.items()]
+    gone = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("_gone").alias("_gone"))
+    return F.broadcast(gone) if sum(sizes) <= NAMED_BYTES else gone
 
 
 def read_store(spark: SparkSession, folder: str, key: str | list[str] = "chunk_id") -> DataFrame | None:
@@ -74,14 +83,27 @@ def read_store(spark: SparkSession, folder: str, key: str | list[str] = "chunk_i
     snapshot = None if base is None else spark.read.parquet(f"{folder}/b{base}")
     if not batches:
         return snapshot
-    parts = [spark.read.parquet(f"{folder}/d{n}").withColumn("_layer", F.lit(n)) for n in batches]
-    written = parts[0]
-    for part in parts[1:]:
-        written = written.unionByName(part, allowMissingColumns=True)
-    gone = _replaced(spark, folder, batches)
-    if gone is not None:
-        written = written.join(gone, "doc_id", "left").filter("_gone IS NULL OR _layer >= _gone").drop("_gone")
-        snapshot = None if snapshot is None else snapshot.join(gone, "doc_id", "left_anti")
+
+    def union(numbers: list[int]) -> DataFrame:
+        parts = [spark.read.parquet(f"{folder}/d{n}").withColumn("_layer", F.lit(n)) for n in numbers]
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    named = _named(spark, folder, batches)
+    # Names matter to older rows only: none are older than the first batch of a store without a snapshot,
+    # and the rows of the last batch that names documents are not older than any.
+    later = {n: f for n, f in named.items() if base is not None or n > batches[0]}
+    gone = _replaced(spark, later) if later else None
+    old = [n for n in batches if n < max(later, default=0)]
+    new = [n for n in batches if n not in old]
+    written = union(new)
+    if old:
+        alive = union(old).join(gone, "doc_id", "left").filter("_gone IS NULL OR _layer >= _gone").drop("_gone")
+        written = alive.unionByName(written, allowMissingColumns=True)
+    if gone is not None and snapshot is not None:
+        snapshot = snapshot.join(gone, "doc_id", "left_anti")
+    if all(n in named and named[n].endswith(f"/w{n}") for n in batches):
+        written = written.drop("_layer")
+        return written if snapshot is None else snapshot.unionByName(written, allowMissingColumns=True)
     if snapshot is None:
         return last_written(written, key, "_layer")
     return upsert(snapshot, written, key, "_layer")
@@ -94,15 +116,17 @@ def publish(df: DataFrame, folder: str) -> int:
     return number
 
 
-def append(batch: DataFrame, folder: str, replaced: DataFrame | None = None) -> int:
+def append(batch: DataFrame, folder: str, replaced: DataFrame | None = None, whole: bool = False) -> int:
     """Write a batch of upserts; its cost does not grow with the store.
 
     Everything stored of the documents in ``replaced`` (``doc_id``) goes; an
-    empty batch that replaces documents deletes them.
+    empty batch that replaces documents deletes them. ``whole`` says that every
+    row of the batch is of one of these documents and that no key comes twice
+    in it, so that a reader need not look for older rows of the same key.
     """
     number = _claim(batch.sparkSession, folder)
     if replaced is not None:
-        replaced.select("doc_id").distinct().write.mode("overwrite").parquet(f"{folder}/x{number}")
+        replaced.select("doc_id").distinct().write.mode("overwrite").parquet(f"{folder}/{'w' if whole else 'x'}{number}")
     batch.write.mode("overwrite").parquet(f"{folder}/d{number}")
     return number
 
