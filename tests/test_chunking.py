@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from corpusflow.functions.models import CHARACTERS, WORDS, hashed_embedding
 from corpusflow.operators import chunking as ch
 from corpusflow.functions import text as tx
@@ -140,3 +141,36 @@ def test_context_line(one):
     assert line('"About  pumps."', 50) == "About pumps."
     assert line("About pumps. And much more text here", 15) == "About pumps."
     assert line("One unbroken sentence that is too long", 10) == ""
+
+
+ODD = [
+    "", " ", "Dr. Who came. He left. and so on. Then A. B. went!? \"Yes.\" No... maybe. 1.2.3. Next",
+    "a\r\nb\rc\n\n\n\nd \t e f\x85g h. Été came. été left. ⓐ x. (ʰ y. I.E. Z. VİZ. Q. no. 5",
+    ". starts here. \x00 marked. Then more! ok", "x" * 70 + " " + "y" * 9 + ". " + "z" * 30, "v1.2a3. Then.\n" * 30,
+    "one two three\n\nfour five. Six seven eight nine ten.\n" * 5,
+]
+
+
+@pytest.mark.parametrize("size, overlap", [(1, 0), (5, 2), (13, 12), (64, 0), (120, 30)])
+def test_texts_are_cut_in_workers_as_by_columns(spark, size, overlap):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "i int, t string")
+    cut = df.select("t", ch.cut_text(F.col("t"), size, F.lit(overlap)).alias("a"), ch.split_text(F.col("t"), size, F.lit(overlap)).alias("b"))
+    assert all(r["a"] == r["b"] for r in cut.collect())
+
+
+def test_documents_are_cut_in_workers_as_by_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for size, overlap in ((500, 80), (64, 0)):
+        cut = docs.select(ch.cut_text(F.col("text"), size, overlap).alias("a"), ch.split_text(F.col("text"), size, overlap).alias("b"))
+        assert cut.filter("NOT a <=> b").count() == 0
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strategies_of_a_query_share_their_runs(spark):
+    plan = executed(contract.queries()["chunk_strategy_select"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan  # the runs' windows are not in each strategy's plan
+    # The runs of one, and parents and children of the other.
+    assert plan.count("ArrowEvalPython [_cut_characters") == 3
