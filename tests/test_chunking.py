@@ -174,3 +174,20 @@ def test_strategies_of_a_query_share_their_runs(spark):
     assert "Window" not in plan  # the runs' windows are not in each strategy's plan
     # The runs of one, and parents and children of the other.
     assert plan.count("ArrowEvalPython [_cut_characters") == 3
+
+
+def test_replies_are_cleaned_without_a_second_cut(spark):
+    plan = executed(contract.queries()["propositional_chunks"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython [_cut_characters") == 1
+
+
+def test_replies_meet_their_passages_only(spark):
+    runs = spark.createDataFrame(
+        [("a/1", 1, 1, 1, "", "", 40, False, "One short sentence. " * 4), ("a", 1, 1, 2, "", "", 40, True, "| a |")],
+        "doc_id string, page_no int, run_no int, group_no int, section string, header string, body int, atomic boolean, text string",
+    )
+    fact = "- A fact of twenty-odd letters.\n- A fact that is too long for the forty letters of its group."
+    replies = spark.createDataFrame([(key, fact) for key in ("a/1/1/1/1", "a/1/1/1/99", "a/1/2/0", "b/1/1/0", "")], "passage_id string, reply string")
+    got = ch.chunk_with("propositional", runs, 10, replies=replies).orderBy("doc_id", "chunk_index").collect()
+    assert [r["embed_text"] for r in got if r["parent_id"]] == ["A fact of twenty-odd letters."]
+    assert len(got) == len({r["chunk_id"] for r in got}) and "| a |" in {r["embed_text"] for r in got}
