@@ -56,9 +56,10 @@ def clean_variants(replies: DataFrame, count: int = 3) -> DataFrame:
 
 
 def clean_propositions(
-    replies: DataFrame, size: Column | int = 256, measure: Measure = CHARACTERS, cap: int = MAX_PROPOSITIONS
+    replies: DataFrame, size: Column | int = 256, measure: Measure = CHARACTERS, cap: int = MAX_PROPOSITIONS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``passage_id, prop_no, proposition``; the cap is the feature's own."""
+    """``passage_id, prop_no, proposition`` and the columns to ``keep``; the cap is the feature's own."""
     cleaned = reply_lines(replies).withColumn(
         "proposition",
         tx.strip(F.regexp_replace(tx.strip(F.col("line")), "^[-*•0-9.) ]+", "")),
@@ -71,5 +72,5 @@ def clean_propositions(
     return (
         kept.withColumn("prop_no", F.row_number().over(order))
         .filter(F.col("prop_no") <= cap)
-        .select("passage_id", "prop_no", "proposition")
+        .select("passage_id", "prop_no", "proposition", *keep)
     )
